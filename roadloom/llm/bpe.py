@@ -9,6 +9,7 @@ in each task that meets it, by the same function, so results never depend on the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
@@ -27,7 +28,7 @@ from .common import stage
 #: Texts over so many characters are split into words block by block.
 LONG_TEXT = 1 << 18
 BLOCK_WORDS = 1 << 16
-#: Words that a task keeps beyond the broadcast table before it starts anew.
+#: Words that a task keeps beyond the broadcast table before it drops the latest half.
 TASK_WORDS = 200_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -91,6 +92,17 @@ class Tokens:
     def ids(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    @functools.cached_property
+    def single(self) -> Callable[[bytes], list[int]]:
+        """Ids of one word of a byte-level vocabulary, whose ids are the ranks of its merges."""
+        import tiktoken
+
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+        ranks = {bytes(byte_of[c] for c in piece): i for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if i not in self.special.values()}
+        return tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
 
 class WordTable(dict):
     """Word to encoded value; a missing word is made by `make` and kept, up to TASK_WORDS of them."""
@@ -101,9 +113,9 @@ class WordTable(dict):
 
     def __missing__(self, word: str):
         if len(self.own) >= TASK_WORDS:
-            for w in self.own:
+            for w in self.own[TASK_WORDS // 2 :]:  # the first to come are mostly the frequent ones
                 del self[w]
-            self.own = []
+            del self.own[TASK_WORDS // 2 :]
         self.own.append(word)
         value = self[word] = self.make(word)
         return value

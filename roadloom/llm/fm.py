@@ -203,6 +203,22 @@ def _score(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterat
             )
 
 
+def _keep(batches: Iterator[pa.RecordBatch], model, threshold: float, at: int) -> Iterator[pa.RecordBatch]:
+    model = model.value
+    for batch in batches:
+        data, offsets = text_view(batch.column(at))
+        for lo, hi in row_slices(offsets):
+            good = pa.array(model.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) >= threshold)
+            yield batch.slice(lo, hi - lo).filter(good)
+
+
+def keep_rows(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, whose text scores at least `threshold`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda b: _keep(b, shared, threshold, at), docs.schema)
+
+
 def scores(docs: DataFrame, model: Model, modulus: int, rest: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. Reads nothing but the text (null:
     empty) and the id, which decides held_out only."""

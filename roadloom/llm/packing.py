@@ -10,7 +10,9 @@ length go to which sequence; pieces find their rank from their task's counter an
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -107,10 +109,11 @@ def plan(histogram: dict[int, int], capacity: Capacity) -> np.ndarray:
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, most: int) -> Iterator[pa.RecordBatch]:
+    assert sys.byteorder == "little"
     tokens = Tokens.of(path)
-    table = WordTable({}, lambda w: np.array(tokens.ids(w), "<u4").tobytes())
+    table = WordTable({}, lambda w: array("I", tokens.single(w.encode())).tobytes())
     chunk, ranks, rows = TaskContext.get().partitionId(), Counter(), []
-    end = np.zeros(1, "<u4").tobytes()
+    end = bytes(4)
 
     def out(part):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _PIECE_SCHEMA)], schema=_PIECE_SCHEMA)

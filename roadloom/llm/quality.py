@@ -17,3 +17,8 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFra
     are scored each; an empty table of documents gives no rows; without labels the score is 0.5.
     """
     return fm.scores(docs, fm.fit(docs, labels, "quality", MODULUS, REST, sample, 1e-4), MODULUS, REST, THRESHOLD)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
+    """The rows of `docs` that `quality` predicts 1 for, with all their columns."""
+    return fm.keep_rows(docs, fm.fit(docs, labels, "quality", MODULUS, REST, sample, 1e-4), THRESHOLD)

@@ -175,3 +175,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     members = folded.where("kind = 0").select("doc_id", "rep", "top")
     return members.join(owned, "rep").select("doc_id", "keep_id", "group_size", (F.col("top") & (F.col("rep") == F.col("keep_rep"))).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs`, with all columns, without the rows that `exact_dedup` drops; a row that repeats another
+    one's id and text is left out too."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    upper = "".join(map(chr, range(65, 91)))
+    folded = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), upper, upper.lower())
+    marked = docs.withColumn("__of", F.sha2(folded, 256)).withColumn("__by", F.col(id_col).cast("long"))
+    both = marked.join(kept, F.col("__of").eqNullSafe(F.col("__sha")) & F.col("__by").eqNullSafe(F.col("__id")), "left_semi")
+    return both.dropDuplicates(["__of", "__by"]).select(*docs.columns)
