@@ -2,7 +2,8 @@
 
 `SQL` holds one text per view that runs unchanged in Spark SQL and DuckDB; later views read earlier
 ones. `view(spark, sf_dir, name)` gives the DataFrame, `with_sql(name, ...)` the common table
-expressions that an oracle query starts with.
+expressions that an oracle query starts with. The keys of `extra` are the heads of further expressions,
+such as `c` or `sp(q, v, d) using key (q, v)`.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def with_sql(body: str, *, extra: dict[str, str] | None = None, recursive: bool
     """`body` with the views that it and `extra` read as common table expressions."""
     own = extra or {}
     views = needed(" ".join([body, *own.values()]))
-    parts = [f"{x} as materialized ({SQL[x]})" for x in views] + [f"{k} as ({v})" if not v.startswith("USING KEY") else f"{k} {v[9:]}" for k, v in own.items()]
+    parts = [f"{x} as materialized ({SQL[x]})" for x in views] + [f"{head} as ({text})" for head, text in own.items()]
     return f"with {'recursive ' if recursive else ''}" + ",\n".join(parts) + "\n" + body if parts else body
 
 
