@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import static
+from .plans import cooperative, static, timed
 
-_MODULES = [static]
+_MODULES = [static, timed, cooperative]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
