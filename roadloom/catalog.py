@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cooperative, static, timed
+from .plans import cooperative, static, structure, timed
 
-_MODULES = [static, timed, cooperative]
+_MODULES = [static, timed, cooperative, structure]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
