@@ -29,22 +29,19 @@ def loop(edges: DataFrame, seeds: DataFrame, cap: int | None = None, prune: Call
 
     pred is the smallest tail among the last edges of shortest paths found first; null for seeds.
     cap: no distances beyond it. prune: keeps candidates (q, node, dist) for which it holds."""
-    edges = edges.select("tail", "head", "weight").where("weight is not null").groupBy("tail", "head").agg(F.min("weight").alias("weight"))
-    state = cut(seeds.groupBy("q", "node").agg(F.min("dist").alias("dist")).withColumn("pred", F.lit(None).cast("long")))
-    frontier = state
-    while frontier.head(1):
-        cand = frontier.alias("f").join(edges.alias("e"), F.col("f.node") == F.col("e.tail"))
-        cand = cand.select("f.q", F.col("e.head").alias("node"), (F.col("f.dist") + F.col("e.weight")).alias("dist"), F.col("e.tail").alias("pred"))
+    edges = cut(edges.select("tail", "head", "weight").where("weight is not null").groupBy("tail", "head").agg(F.min("weight").alias("weight")))
+    state = cut(seeds.groupBy("q", "node").agg(F.min("dist").alias("dist")).select("q", "node", "dist", F.lit(None).cast("long").alias("pred"), F.lit(True).alias("fresh")))
+    while state.where("fresh").head(1):
+        cand = state.where("fresh").alias("f").join(edges.alias("e"), F.col("f.node") == F.col("e.tail"))
+        cand = cand.select("f.q", F.col("e.head").alias("node"), (F.col("f.dist") + F.col("e.weight")).alias("dist"), F.col("e.tail").alias("pred"), F.lit(None).cast("long").alias("old"))
         if cap is not None:
             cand = cand.where(F.col("dist") <= cap)
         if prune is not None:
             cand = cand.where(prune(cand))
-        best = cand.groupBy("q", "node").agg(F.min(F.struct("dist", "pred")).alias("b")).select("q", "node", "b.dist", "b.pred")
-        old = state.select("q", "node", F.col("dist").alias("old"))
-        frontier = cut(best.join(old, ["q", "node"], "left").where("old is null or dist < old").select("q", "node", "dist", "pred"))
-        both = state.union(frontier)
-        state = cut(both.groupBy("q", "node").agg(F.min(F.struct("dist", "pred")).alias("b")).select("q", "node", "b.dist", "b.pred"))
-    return state
+        both = state.select("q", "node", "dist", "pred", F.col("dist").alias("old")).union(cand)
+        best = both.groupBy("q", "node").agg(F.min(F.struct("dist", "pred")).alias("b"), F.max("old").alias("old"))
+        state = cut(best.select("q", "node", "b.dist", "b.pred", (F.col("old").isNull() | (F.col("b.dist") < F.col("old"))).alias("fresh")))
+    return state.drop("fresh")
 
 
 class Csr:
@@ -151,15 +148,15 @@ def astar(edges: DataFrame, od: DataFrame, potential: DataFrame) -> DataFrame:
     are pruned. Exact for potentials that never overestimate; nodes without one can't reach dst."""
     bound = pairs(edges, od).select("query_id", F.col("dist").alias("ub"))
     seeds = od.select(F.col("query_id").alias("q"), F.col("src").alias("node"), F.lit(0).cast("long").alias("dist"))
-    by_query = F.broadcast(od.select(F.col("query_id").alias("q"), "dst").join(bound.withColumnRenamed("query_id", "q"), "q"))
-    state = cut(seeds.withColumn("pred", F.lit(None).cast("long")))
-    frontier = state
-    while frontier.head(1):
-        cand = frontier.alias("f").join(edges.alias("e"), F.col("f.node") == F.col("e.tail")).select("f.q", F.col("e.head").alias("node"), (F.col("f.dist") + F.col("e.weight")).alias("dist"))
-        cand = cand.join(by_query, "q").join(potential, ["dst", "node"]).where("dist + pi <= ub")
-        best = cand.groupBy("q", "node").agg(F.min("dist").alias("dist"))
-        frontier = cut(best.join(state.select("q", "node", F.col("dist").alias("old")), ["q", "node"], "left").where("old is null or dist < old").select("q", "node", "dist", F.lit(None).cast("long").alias("pred")))
-        state = cut(state.union(frontier).groupBy("q", "node").agg(F.min("dist").alias("dist")).withColumn("pred", F.lit(None).cast("long")))
+    # a row per query and node that can reach the query's target
+    allowed = cut(od.select(F.col("query_id").alias("q"), "dst").join(bound.withColumnRenamed("query_id", "q"), "q").join(potential, "dst").select("q", "node", (F.col("ub") - F.col("pi")).alias("most")))
+    edges = cut(edges.select("tail", "head", "weight"))
+    state = cut(seeds.withColumn("fresh", F.lit(True)))
+    while state.where("fresh").head(1):
+        cand = state.where("fresh").alias("f").join(edges.alias("e"), F.col("f.node") == F.col("e.tail")).select("f.q", F.col("e.head").alias("node"), (F.col("f.dist") + F.col("e.weight")).alias("dist"))
+        cand = cand.join(allowed, ["q", "node"]).where("dist <= most").select("q", "node", "dist", F.lit(None).cast("long").alias("old"))
+        best = state.select("q", "node", "dist", F.col("dist").alias("old")).union(cand).groupBy("q", "node").agg(F.min("dist").alias("dist"), F.max("old").alias("old"))
+        state = cut(best.select("q", "node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
     found = state.select(F.col("q").alias("query_id"), F.col("node").alias("dst"), "dist")
     return od.join(found, ["query_id", "dst"], "left").select("query_id", "src", "dst", "dist")
 
