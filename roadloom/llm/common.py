@@ -7,6 +7,7 @@ Everything here works on whole texts. Memory per task is bounded by `SLICE_BYTES
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,11 +57,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     root = f"{scratch_dir(spark)}/roadloom-{spark.sparkContext.applicationId}"
     _scratch_dirs[root] = spark
     path = f"{root}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results have been staged and are not referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold `rows` rows unless the session says otherwise: texts are long, and a batch is
+    held by the JVM and by Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(rows))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -1,15 +1,16 @@
 """Removal of repeated byte strings by partitioned suffix sorting with linear grouping construction.
 
-Every 100-byte window owns an anchor: the smallest hash among its 50-byte grams (leftmost if equal).
+Every 100-byte window owns an anchor: the smallest hash among its 32-byte grams (leftmost if equal).
 Equal windows have equal anchors at equal places, so all windows can be judged per anchor gram:
   1. Count the anchors' grams over all documents; a bitmap of fixed size tells which can repeat.
   2. Each run of windows with one anchor becomes a context (the bytes it spans). Equal contexts in a
      task collapse to the earliest; the others are removed as a whole. Contexts of grams with very many
      of them are dealt out window by window, so that no gram is a hot key.
-  3. Contexts of one gram meet: shared windows are cut out, and where several distinct strings remain
-     their suffixes are sorted (`suffix_array`); runs of suffixes with 100 equal bytes keep the earliest.
+  3. Contexts of one gram meet by their hashes (of 64 bits, within a gram's 64): where all are the same, all
+     but the earliest are removed. Of the other grams the contexts' bytes meet: shared windows are cut out,
+     and where several distinct strings remain their suffixes are sorted (`suffix_array`); runs of suffixes
+     with 100 equal bytes keep the earliest.
   4. Removed intervals meet their documents.
-Strings are compared byte by byte; hashes only bring together what may be equal.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import Bitmap, collect_bitmap
-from .common import fmix, powers, prefix_hash, row_slices, stage, text_view
+from .common import fmix, powers, prefix_hash, release, row_slices, stage, text_view
 
-WINDOW, GRAM = 100, 50
+WINDOW, GRAM = 100, 32
 #: Contexts of one gram that meet in one task; grams with more are dealt out by windows.
 HOT_CONTEXTS = 64
 #: Contexts that a task holds to collapse equal ones.
-TASK_CONTEXTS = 200_000
+TASK_CONTEXTS = 100_000
 #: Windows of a text that are looked at in one step.
-STEP = 1 << 22
+STEP = 1 << 20
 
 
 def suffix_array(s: bytes) -> list[int]:
@@ -229,15 +230,11 @@ def _hot_windows(batches: Iterator[pa.RecordBatch], hot: Bitmap) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
-def _deal(batches: Iterator[pa.RecordBatch], hot: Bitmap, windows: Bitmap) -> Iterator[pa.RecordBatch]:
-    """Contexts of hot grams as single windows, those that may repeat; the others unchanged."""
+def _deal_hot(batches: Iterator[pa.RecordBatch], hot: Bitmap, windows: Bitmap) -> Iterator[pa.RecordBatch]:
+    """Contexts of hot grams as single windows, those that may repeat."""
     kept = Collapser()
     for batch in batches:
-        hit = hot.has_all(batch.column(1).to_numpy())
-        if not hit.all():
-            mask = pa.array(~hit)
-            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], schema=_ROW_SCHEMA)
-        for i in np.flatnonzero(hit):
+        for i in np.flatnonzero(hot.has_all(batch.column(1).to_numpy())):
             _, key, body, doc_id, dig, a, _ = (c[i].as_py() for c in batch.columns)
             for k, (h, w) in enumerate(_windows(key, body)):
                 if windows.has(h):
@@ -246,6 +243,45 @@ def _deal(batches: Iterator[pa.RecordBatch], hot: Bitmap, windows: Bitmap) -> It
     yield from kept.out(True)
 
 
+def _filtered(batches: Iterator[pa.RecordBatch], keys: Bitmap, inside: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose key (the first column) may be among `keys`, or isn't."""
+    for batch in batches:
+        hit = keys.has_all(batch.column(0).to_numpy())
+        yield batch.filter(pa.array(hit if inside else ~hit))
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, hash of the context, doc_id, dig, a, b) sorted by key: where all contexts of a key are the
+    same, all but the earliest are removed (kind 0); a key with several contexts is named (kind 2)."""
+    schema = pa.schema([("kind", pa.int32()), *((n, pa.int64()) for n in ("key", "doc_id", "dig", "a", "b"))])
+    current, group, mixed, rows = None, [], False, []
+
+    def close():
+        if mixed:
+            rows.append((2, current, None, None, None, None))
+        elif len(group) > 1:
+            best = 0
+            for i in range(1, len(group)):
+                if _earlier(group[i][:3], group[best][:3]):
+                    best = i
+            rows.extend((0, None, *x) for i, x in enumerate(group) if i != best and x != group[best])
+
+    first = None
+    for batch in batches:
+        for key, h, *where in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != current:
+                close()
+                current, group, mixed, first = key, [], False, h
+                if len(rows) >= 16384:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows.clear()
+            mixed |= h != first
+            group.append(where)
+    close()
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def judge(contexts: list[tuple[bytes, tuple]]) -> list[tuple[tuple, int]]:
     """Removed (place, length) among the contexts of one gram, each (bytes, place)."""
     removed, earliest = [], {}
@@ -392,17 +428,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counted = source.select("text").mapInArrow(_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     repeated = collect_bitmap(counted.where("n > 1").select("key"))
     rows = stage(source.mapInArrow(lambda b: _contexts(b, repeated), _ROWS), "contexts")
+    del counted
+    release(docs.sparkSession)
     contexts = rows.where("kind = 1")
-    many = stage(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_CONTEXTS).select("key"), "hot")
     intervals = rows.where("kind = 0").select("doc_id", "dig", "a", "b")
-    if many.head(1):
-        hot = collect_bitmap(many)
-        single = contexts.select("key", "body").mapInArrow(lambda b: _hot_windows(b, hot), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        windows = collect_bitmap(single.where("n > 1").select("key"))
-        dealt = stage(contexts.mapInArrow(lambda b: _deal(b, hot, windows), _ROWS), "dealt")
-        contexts = dealt.where("kind = 1")
-        intervals = intervals.union(dealt.where("kind = 0").select("doc_id", "dig", "a", "b"))
-    met = contexts.select("key", "body", "doc_id", "dig", "a").repartition("key").sortWithinPartitions("key").mapInArrow(_own, "doc_id long, dig long, a long, b long")
+    hot = collect_bitmap(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_CONTEXTS).select("key"))
+    single = contexts.select("key", "body").mapInArrow(lambda b: _hot_windows(b, hot), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    windows = collect_bitmap(single.where("n > 1").select("key"))
+    dealt = stage(contexts.mapInArrow(lambda b: _deal_hot(b, hot, windows), _ROWS), "hot")
+    intervals = intervals.union(dealt.where("kind = 0").select("doc_id", "dig", "a", "b"))
+    slim = ["key", F.xxhash64("body").alias("h"), "doc_id", "dig", "a", "b"]
+    cold = contexts.select(*slim).mapInArrow(lambda b: _filtered(b, hot, False), "key long, h long, doc_id long, dig long, a long, b long")
+    met = cold.union(dealt.where("kind = 1").select(*slim)).repartition("key").sortWithinPartitions("key")
+    settled = stage(met.mapInArrow(_settle, "kind int, key long, doc_id long, dig long, a long, b long"), "settled")
+    release(docs.sparkSession)
+    mixed = collect_bitmap(settled.where("kind = 2").select("key"))
+    full = "key long, body binary, doc_id long, dig long, a long"
+    several = contexts.select("key", "body", "doc_id", "dig", "a").mapInArrow(lambda b: _filtered(_filtered(b, hot, False), mixed, True), full)
+    judged = several.repartition("key").sortWithinPartitions("key").mapInArrow(_own, "doc_id long, dig long, a long, b long")
+    intervals = intervals.union(settled.where("kind = 0").select("doc_id", "dig", "a", "b")).union(judged)
     texts = source.mapInArrow(_digests, "doc_id long, dig long, text string")
-    parts = texts.select("doc_id", "dig", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "text").union(intervals.union(met).withColumn("text", F.lit(None).cast("string")))
+    parts = texts.select("doc_id", "dig", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "text").union(intervals.withColumn("text", F.lit(None).cast("string")))
     return parts.repartition("doc_id", "dig").sortWithinPartitions("doc_id", "dig", F.asc_nulls_last("a"), "b").mapInArrow(_cut, _RESULT)
