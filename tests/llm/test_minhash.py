@@ -62,6 +62,7 @@ def test_planted(spark, monkeypatch):
     want = brute(docs)
     assert run(spark, docs) == want
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 200)
     assert run(spark, docs) == want
 
 
