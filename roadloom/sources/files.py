@@ -80,7 +80,7 @@ def coordinate_lines(nodes: DataFrame) -> DataFrame:
 def read_dimacs(spark: SparkSession, path: str) -> DataFrame:
     """tail, head, weight of the arcs of a .gr file."""
     part = F.split("value", " ")
-    return spark.read.text(path).where("value like 'a %'").select(*((part[k].cast("long") - (k < 3)).alias(n) for k, n in ((1, "tail"), (2, "head"), (3, "weight"))))
+    return spark.read.text(path).where("value like 'a %'").select(*((part[k].cast("long") - int(k < 3)).alias(n) for k, n in ((1, "tail"), (2, "head"), (3, "weight"))))
 
 
 def ttf_lines(edges: DataFrame, ttf: DataFrame, factor: int = 1) -> DataFrame:
