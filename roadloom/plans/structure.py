@@ -138,3 +138,36 @@ def metric_update(spark, d):
     second = edges.where("edge_id % 2 = 0").select("edge_id", F.lit(2).alias("version"), F.when(F.col("edge_id") % 4 != 0, F.col("weight") + 7).alias("weight"))
     unknown = spark.createDataFrame([(-1, 3, 5)], "edge_id long, version int, weight long")
     return tr.apply_updates(edges.select("edge_id", "weight"), first.union(second).union(unknown))
+
+
+@query("ubs_ranges")
+def ubs_ranges(spark, d):
+    """Paths that are shortest by hops, held against shortest ways by weight."""
+    from ..operators import alternatives as alt
+    from ..operators import search as s
+
+    edges = view(spark, d, "g_grid")
+    paths = s.paths(edges.withColumn("weight", F.lit(1).cast("long")), od10(spark, d))
+    return alt.ubs_violations(paths.select(F.col("query_id").alias("path_id"), "idx", "node"), edges, 0.1)
+
+
+@query("penalty_alternatives")
+def penalty_alternatives(spark, d):
+    from ..operators import alternatives as alt
+
+    return alt.penalty_alternatives(view(spark, d, "g_grid"), od10(spark, d))
+
+
+@query("pareto_routes")
+def pareto_routes(spark, d):
+    from ..operators import alternatives as alt
+
+    edges = view(spark, d, "g_trans").withColumn("weight2", 1 + (F.col("tail") + F.col("head")) % 5)
+    return alt.pareto(edges, od10(spark, d))
+
+
+@query("dfs_order")
+def dfs_order(spark, d):
+    from ..operators import alternatives as alt
+
+    return alt.dfs_order(view(spark, d, "g_trans"))

@@ -166,3 +166,18 @@ def test_hierarchy(spark, six):
     want = {r["query_id"]: r["dist"] for r in search.pairs(six, od).collect()}
     assert {r["query_id"]: r["dist"] for r in hierarchy.label_query(label, od).collect()} == want
     assert {r["query_id"]: r["dist"] for r in hierarchy.label_query(hierarchy.pruned_labels(label), od).collect()} == want
+
+
+def test_alternatives(spark, six):
+    from roadloom.operators import alternatives as alt
+
+    way = spark.createDataFrame([(0, 0, 0), (0, 1, 2), (0, 2, 3), (0, 3, 4)], "path_id long, idx long, node long")
+    # 0-2-3-4: 10 + 3 + 2; the shortest 0-3 has 3, 2-4 has 1, 0-4 has 5
+    assert sorted(map(tuple, alt.ubs_violations(way, six, 0.0).collect())) == [(0, 0, 2), (0, 1, 3)]
+    od = spark.createDataFrame([(0, 0, 4)], "query_id long, src long, dst long")
+    assert alt.penalty_alternatives(six, od).where("alternative = 0").first()["length"] == 5
+    from pyspark.sql import functions as F
+
+    two = six.withColumn("weight2", F.when(F.col("edge_id") == 0, 1).otherwise(4).cast("long"))
+    assert sorted(map(tuple, alt.pareto(two, od).drop("query_id").collect())) == [(5, 12), (11, 5)]
+    assert [r["node_id"] for r in alt.dfs_order(six).orderBy("rank").collect()] == [0, 1, 3, 4, 2]
