@@ -6,12 +6,13 @@ Plan
      hashed value that starts with i; rounds t to 2t-1 fill bin i-t, so every coordinate is filled, and
      rounds end as soon as all are. Equal sets become one class; only classes go on.
   2. Bands of four coordinates form buckets. Of each bucket every class is paired with one centre;
-     pairs whose sketches agree in half of the coordinates are verified on the full sets.
-  3. Components of the verified links; then, in buckets that still hold several components, all pairs
-     across components are compared by sketch and verified likewise. No pair of a bucket is left out
-     unless the two are connected already, so components are those of all links that share a bucket.
+     the pair whose sketches agree most, in 96 of 160 coordinates at least, is verified on the full sets.
+  3. Components of the verified links; then, in buckets that still hold several components, sketches are
+     compared across components. A class whose sketch allows a link to another component is held against
+     the full sets of all its members, and one link is kept. So components are those of all links between
+     classes that share a bucket, without listing the pairs of a group.
 With 40 bands of 4 a pair at the threshold shares no bucket with probability (1 - 0.75^4)^40 < 3e-7,
-and its sketches agree in less than half of 160 coordinates with probability < 1e-9.
+and its sketches agree in less than 96 of 160 coordinates with probability < 1e-5.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ COORDINATES = BANDS * ROWS_PER_BAND
 SHINGLE_WORDS = 5
 #: Classes of a bucket that one task compares with each other; larger buckets are dealt out by pairs of blocks.
 BLOCK = 2000
+#: Shingles of a component's members that one task holds to compare with classes that may be linked to them.
+BLOCK_SHINGLES = 1 << 20
+#: Coordinates that two sketches must share to be verified.
+AGREE = 96
 
 _rng = np.random.default_rng(5)
 _ROUND_SEEDS = _rng.integers(0, 2**64, 2 * COORDINATES, np.uint64)
@@ -131,32 +136,40 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted: Bitmap) -> Iterator[pa.Reco
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b of the rows (a, b, sketch of a, sketch of b) that agree in half of the coordinates."""
+    """a, b, agreement of the rows (a, b, sketch of a, sketch of b) whose sketches allow a link."""
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, COORDINATES) for k in (2, 3))
-        good = pa.array((x == y).sum(axis=1) * 2 >= COORDINATES)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+        same = (x == y).sum(axis=1)
+        good = pa.array(same >= AGREE)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good), pa.array(same.astype(np.int64)).filter(good)], names=["a", "b", "same"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, cid, comp, n, sketch) sorted by (key, i, j): pairs of different
-    components in a bucket whose sizes and sketches allow a link."""
+    """Rows (key, i, j, block, cid, comp, n, sketch) sorted by (key, i, j): the classes of a bucket that
+    may be linked to a member of a component with a smaller number, with that component."""
+
+    told: set[tuple[int, int]] = set()  # what this task has passed on; forgotten when it grows large
 
     def compare(group):
+        if len(told) > 1_000_000:
+            told.clear()
         block, cid, comp, n = (np.array([r[k] for r in group]) for k in range(4))
         sk = np.frombuffer(b"".join(r[4] for r in group), np.uint16).reshape(-1, COORDINATES)
-        found = []
+        found, apart = set(), (block != block[0]).any()
         for x in range(len(cid) - 1):
             ok = comp[x + 1 :] != comp[x]
-            if (block != block[0]).any():
+            if apart:
                 ok &= block[x + 1 :] != block[x]
             ok &= (np.minimum(n[x + 1 :], n[x]) * 4) >= np.maximum(n[x + 1 :], n[x]) * 3
             rest = np.flatnonzero(ok) + x + 1
             if len(rest):
-                rest = rest[(sk[rest] == sk[x]).sum(axis=1) * 2 >= COORDINATES]
-                found += [(min(cid[x], cid[y]), max(cid[x], cid[y])) for y in rest]
-        a, b = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                rest = rest[(sk[rest] == sk[x]).sum(axis=1) >= AGREE]
+                found.update((cid[x], c) for c in comp[rest] if c < comp[x])
+                found.update((cid[y], comp[x]) for y in rest if comp[y] > comp[x])
+        found -= told
+        told.update(found)
+        a, b = zip(*sorted(found)) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["cid", "comp"])
 
     current, group = None, []
     for batch in batches:
@@ -170,6 +183,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compare(group)
 
 
+def _alike(both: np.ndarray | int, a: np.ndarray | int, b: int):
+    return 100 * both >= 75 * (a + b - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, b or null, set) sorted with the centre's own set first: links (a, b)."""
     current, centre = None, None
@@ -186,25 +203,72 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             at = np.searchsorted(large, small)
             both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            if 100 * both >= 75 * (len(s) + len(centre) - both):
+            if _alike(both, len(s), len(centre)):
                 found.append((a, b))
         x, y = zip(*found) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, label: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are at least 75 % alike; the sets are made anew from the texts
-    of the classes that occur in pairs."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "h1", "h2"), "cid")
-    wanted = stage(wanted, f"{label}-wanted")
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (comp, block, probe, cid, set) sorted with a block's members first: of each probe, its link
+    to the most similar member, if there is one. Members stand in an index from shingles to members."""
+    current, ids, bodies, index = None, [], [], None
+    for batch in batches:
+        found = []
+        for comp, block, probe, cid, body in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+            if (comp, block) != current:
+                current, ids, bodies, index = (comp, block), [], [], None
+            s = np.frombuffer(body.as_buffer(), np.uint64)
+            if not probe:
+                ids.append(cid)
+                bodies.append(s.copy())
+                continue
+            if not ids:
+                continue
+            if index is None:
+                sizes = np.array([len(x) for x in bodies])
+                items, owner = np.concatenate(bodies), np.repeat(np.arange(len(ids)), sizes)
+                order = np.argsort(items, kind="stable")
+                index, bodies = (items[order], owner[order], sizes), []
+            items, owner, sizes = index
+            lo, hi = np.searchsorted(items, s, "left"), np.searchsorted(items, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(ids))
+            good = np.flatnonzero(_alike(both, sizes, len(s)))
+            if len(good):
+                found.append((ids[good[np.argmax(both[good] / (sizes[good] + len(s) - both[good]))]], cid))
+        x, y = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+
+def _full_sets(wanted: DataFrame, texts: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """cid, shingles of the wanted classes (column cid), made anew from the texts."""
+    wanted = stage(wanted.distinct().join(classes.select("cid", "h1", "h2"), "cid"), f"{label}-wanted")
     bitmap = collect_bitmap(wanted.select(F.col("h1").alias("key")))
     found = texts.mapInArrow(lambda b: _sets(b, bitmap), "h1 long, h2 long, shingles binary").join(wanted, ["h1", "h2"])
-    sets = stage(found.select("cid", "shingles").dropDuplicates(["cid"]), f"{label}-sets")
+    return stage(found.select("cid", "shingles").dropDuplicates(["cid"]), f"{label}-sets")
+
+
+def _star_links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (centre a, member b) whose full sets are at least 75 % alike."""
+    sets = _full_sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")), texts, classes, "star")
     salts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / 500) + 1).alias("salts"))  # a centre with many members is split
     members = pairs.join(sets.withColumnRenamed("cid", "b"), "b").join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b", "shingles")
     centres = salts.join(sets.withColumnRenamed("cid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
     dealt = members.union(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return stage(dealt.mapInArrow(_verify, "a long, b long"), f"{label}-links")
+    return stage(dealt.mapInArrow(_verify, "a long, b long"), "star-links")
+
+
+def _probe_links(probes: DataFrame, named: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """For (cid, comp): a verified link to a member of the component from each of its blocks that has one."""
+    members = stage(named.join(probes.select("comp").distinct(), "comp", "left_semi").join(classes.select("cid", "n"), "cid"), "members")
+    blocks = members.groupBy("comp").agg((F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).alias("blocks"))
+    sets = _full_sets(members.select("cid").union(probes.select("cid")), texts, classes, "probe")
+    inside = members.join(blocks, "comp").join(sets, "cid").select("comp", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), F.lit(False).alias("probe"), "cid", "shingles")
+    asked = probes.join(blocks, "comp").join(sets, "cid").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "cid", "shingles")
+    dealt = inside.union(asked).repartition("comp", "block").sortWithinPartitions("comp", "block", "probe")
+    return stage(dealt.mapInArrow(_probe, "a long, b long"), "probe-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,9 +296,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = spread.join(centres, "key").where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
     sk = crowd.select("cid", "sketch")
     star = star.join(sk.select(F.col("cid").alias("a"), F.col("sketch").alias("x")), "a").join(sk.select(F.col("cid").alias("b"), F.col("sketch").alias("y")), "b")
-    star = stage(star.select("a", "b", "x", "y").mapInArrow(_agree, "a long, b long"), "star")
+    star = star.select("a", "b", "x", "y").mapInArrow(_agree, "a long, b long, same long")
+    # Of a class's centres the one that its sketch agrees with most: one pair a class. What this leaves apart is compared below.
+    star = stage(star.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b"), "star")
     texts = source.select("text")
-    links = _links(star, texts, classes, "star")
+    links = _star_links(star, texts, classes)
     first = components(links)
     # Buckets that still hold several components.
     named = spread.join(first.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
@@ -243,11 +309,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = named.join(mixed, "key").join(crowd.select("cid", "n", "sketch"), "cid")
     again = again.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     again = again.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp", "n", "sketch")
-    across = again.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct()
-    across = stage(across.join(star, ["a", "b"], "left_anti"), "across")
-    more = _links(across, texts, classes, "across") if across.head(1) else None
-    final = components(links.union(more)) if more is not None and more.head(1) else first
-    every = links.union(more) if more is not None else links
+    probes = again.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "cid long, comp long").distinct()
+    probes = stage(probes, "probes")
+    every, final = links, first
+    if probes.head(1):
+        every = links.union(_probe_links(probes, named.select("cid", "comp").distinct(), texts, classes))
+        final = components(every)
     degree = every.select(F.col("a").alias("cid")).union(every.select("b")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
     # Smallest id of each component, carried back to the documents.
     placed = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
