@@ -6,7 +6,7 @@ Equal windows have equal anchors at equal places, so all windows can be judged p
   2. Each run of windows with one anchor becomes a context (the bytes it spans). Equal contexts in a
      task collapse to the earliest; the others are removed as a whole. Contexts of grams with very many
      of them are dealt out window by window, so that no gram is a hot key.
-  3. Contexts of one gram meet by their hashes (of 64 bits, within a gram's 64): where all are the same, all
+  3. Contexts of one gram meet by their hashes (of 64 bits, beside the gram's 64): where all are the same, all
      but the earliest are removed. Of the other grams the contexts' bytes meet: shared windows are cut out,
      and where several distinct strings remain their suffixes are sorted (`suffix_array`); runs of suffixes
      with 100 equal bytes keep the earliest.
@@ -30,7 +30,7 @@ from .common import fmix, powers, prefix_hash, release, row_slices, stage, text_
 
 WINDOW, GRAM = 100, 32
 #: Contexts of one gram that meet in one task; grams with more are dealt out by windows.
-HOT_CONTEXTS = 64
+HOT_CONTEXTS = 256
 #: Contexts that a task holds to collapse equal ones.
 TASK_CONTEXTS = 100_000
 #: Windows of a text that are looked at in one step.
