@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import release, stage
 
 #: Bits of the bitmap of buckets with several documents (8 MB); more documents only make it less selective.
 BITMAP_BITS = 1 << 26
@@ -158,6 +158,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = source.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     rows = stage(ordered.mapInArrow(lambda b: _walk(b, bits, several), _ROWS), "fingerprints")
+    del ordered
+    release(spark)  # the texts in order are not needed again
     # A row per partition: the partition whose first text follows.
     by_pid = Window.orderBy("pid")
     heads = rows.where("edge = 1").select("pid")
@@ -172,5 +174,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result = rows.where("edge = 0").select(*kept).unionByName(ends)
     # Buckets in which two canonical texts differ: none is to be expected of a 128-bit hash.
     clash = rows.where("body is not null").groupBy("fingerprint").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("fingerprint", F.lit(True).alias("clash"))
+    if not clash.head(1):
+        return result
     told = F.when(F.col("clash"), F.concat_ws("-", "fingerprint", "body_sha256")).otherwise(F.col("fingerprint"))
     return result.join(clash, "fingerprint", "left").withColumn("fingerprint", told).select(*kept)
