@@ -161,7 +161,16 @@ def od_population(spark, d):
 @query("od_geometric", sssp(ARCS_G, "select distinct src as q, src as v, 0::bigint as d from od where query_id <= 3000", "select q, min(row(d, v))[2] as node, min(d) as dist from sp where d >= 100000 group by q"))
 def od_geometric(spark, d):
     """The first node beyond a distance, per source."""
-    seeds = view(spark, d, "od").where("query_id <= 3000").select(F.col("src").alias("q"), F.col("src").alias("node"), F.lit(0).cast("long").alias("dist")).distinct()
+    return od_geometric_of(spark, d, view(spark, d, "od").where("query_id <= 3000"))
+
+
+@query("od_geometric_all")
+def od_geometric_all(spark, d):
+    return od_geometric_of(spark, d, view(spark, d, "od"))
+
+
+def od_geometric_of(spark, d, od):
+    seeds = od.select(F.col("src").alias("q"), F.col("src").alias("node"), F.lit(0).cast("long").alias("dist")).distinct()
     return w.first_beyond(s.search(view(spark, d, "g_grid"), seeds), 100_000)
 
 

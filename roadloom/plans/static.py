@@ -37,6 +37,18 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def workload(name: str, sql: str, query=query):
+    """Registers f(spark, d, od) twice: as `name` over the part of the workload that its SQL names, and as
+    `name`_all, which has no SQL, over the whole of it."""
+
+    def keep(f):
+        query(name, sql)(lambda spark, d: f(spark, d, od10(spark, d)))
+        query(f"{name}_all")(lambda spark, d: f(spark, d, od_all(spark, d)))
+        return f
+
+    return keep
+
+
 ARCS_T, ARCS_G = "select tail, head, weight from g_trans", "select tail, head, weight from g_grid"
 ZERO = "select 0::bigint as q, 0::bigint as v, 0::bigint as d"
 
@@ -46,7 +58,11 @@ def longs(spark: SparkSession, rows, names: str) -> DataFrame:
 
 
 def od10(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "od").where("src <> dst and query_id <= 3000")
+    return od_all(spark, d).where("query_id <= 3000")
+
+
+def od_all(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "od").where("src <> dst")
 
 
 # --- shortest paths ---------------------------------------------------------------------------------
@@ -65,32 +81,32 @@ def one_to_all_local(spark, d):
 PAIRS = sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD10})", f"select query_id, src, dst, d as dist from ({OD10}) o left join sp on q = src and v = dst")
 
 
-@query("p2p_distance", PAIRS)
-def p2p_distance(spark, d):
-    return s.pairs(view(spark, d, "g_grid"), od10(spark, d))
+@workload("p2p_distance", PAIRS)
+def p2p_distance(spark, d, od):
+    return s.pairs(view(spark, d, "g_grid"), od)
 
 
-@query("bidirectional", PAIRS)
-def bidirectional(spark, d):
-    return s.bidirectional(view(spark, d, "g_grid"), od10(spark, d))
+@workload("bidirectional", PAIRS)
+def bidirectional(spark, d, od):
+    return s.bidirectional(view(spark, d, "g_grid"), od)
 
 
 T_PAIRS = sssp(ARCS_T, f"select distinct src as q, src as v, 0::bigint as d from ({OD10})", f"select query_id, src, dst, d as dist from ({OD10}) o left join sp on q = src and v = dst")
 
 
-@query("astar_zero", T_PAIRS)
-def astar_zero(spark, d):
-    od, edges = od10(spark, d), view(spark, d, "g_trans")
+@workload("astar_zero", T_PAIRS)
+def astar_zero(spark, d, od):
+    edges = view(spark, d, "g_trans")
     nodes = edges.select(F.col("head").alias("node")).distinct()
     targets = od.select("dst").distinct()
-    # no information: 0 wherever a target exists; nodes times the (few) targets of the workload
-    pi = nodes.withColumn("dst", F.explode(F.lit([r["dst"] for r in targets.collect()]))).select("dst", "node", F.lit(0).cast("long").alias("pi"))
+    # no information: 0 wherever a target exists
+    pi = nodes.crossJoin(targets).select("dst", "node", F.lit(0).cast("long").alias("pi"))
     return s.astar(edges, od, pi)
 
 
-@query("astar_exact_potential", T_PAIRS)
-def astar_exact_potential(spark, d):
-    od, edges = od10(spark, d), view(spark, d, "g_trans")
+@workload("astar_exact_potential", T_PAIRS)
+def astar_exact_potential(spark, d, od):
+    edges = view(spark, d, "g_trans")
     back = edges.select(F.col("head").alias("tail"), F.col("tail").alias("head"), "weight")
     pi = s.one_to_all(back, od.select(F.col("dst").alias("node")).distinct()).select(F.col("source").alias("dst"), "node", F.col("dist").alias("pi"))
     return s.astar(edges, od, pi)
@@ -111,7 +127,7 @@ def edge_filtered_search(spark, d):
     return s.loop(view(spark, d, "g_trans").where("(tail + head) % 5 <> 0"), longs(spark, [(0, 0, 0)], "q node dist")).select("node", "dist")
 
 
-@query(
+@workload(
     "shortest_path_nodes",
     sssp(
         ARCS_G,
@@ -121,8 +137,8 @@ def edge_filtered_search(spark, d):
         **{"walk(query_id, q, node, dist)": f"select query_id, src, dst, d from ({OD10}) o join sp on q = src and v = dst union all select w.query_id, w.q, t.pred, p.d from walk w join tight t on t.q = w.q and t.v = w.node join sp p on p.q = w.q and p.v = t.pred"},
     ),
 )
-def shortest_path_nodes(spark, d):
-    return s.paths(view(spark, d, "g_grid"), od10(spark, d))
+def shortest_path_nodes(spark, d, od):
+    return s.paths(view(spark, d, "g_grid"), od)
 
 
 @query("reachability", sssp("select tail, head, 0::bigint as weight from g_trans", ZERO, "select v as node from sp"))
@@ -178,18 +194,26 @@ MANY = "select distinct src as q, src as v, 0::bigint as d from od where query_i
 
 @query("many_to_many", sssp(ARCS_G, MANY, "select q as src, v as dst, d as dist from sp where v in (select dst from od where query_id <= 3000)"))
 def many_to_many(spark, d):
-    od = view(spark, d, "od").where("query_id <= 3000")
+    return many_to_many_of(spark, d, view(spark, d, "od").where("query_id <= 3000"))
+
+
+@query("many_to_many_all")
+def many_to_many_all(spark, d):
+    return many_to_many_of(spark, d, view(spark, d, "od"))
+
+
+def many_to_many_of(spark, d, od):
     reached = s.one_to_all(view(spark, d, "g_grid"), od.select(F.col("src").alias("node")).distinct())
     return reached.join(od.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").select(F.col("source").alias("src"), F.col("node").alias("dst"), "dist")
 
 
-@query(
+@workload(
     "penalty_metrics_base",
     sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD10})", f"select query_id, (d * 125 // 100)::bigint as accept, (d // 100)::bigint as rejoin from ({OD10}) o join sp on q = src and v = dst"),
 )
-def penalty_metrics_base(spark, d):
+def penalty_metrics_base(spark, d, od):
     """What an alternative may cost at most, and the penalty for rejoining the base path."""
-    base = s.pairs(view(spark, d, "g_grid"), od10(spark, d)).where("dist is not null")
+    base = s.pairs(view(spark, d, "g_grid"), od).where("dist is not null")
     return base.select("query_id", F.expr("dist * 125 div 100").alias("accept"), F.expr("dist div 100").alias("rejoin"))
 
 
@@ -453,16 +477,16 @@ def filter_covered(spark, d):
     return g.filter_covered(view(spark, d, "links").where("trip % 3 = 0").selectExpr("seq as a", "seq + 1 + link_id % 7 as b"))
 
 
-@query("path_prefix_dist", sssp(
+@workload("path_prefix_dist", sssp(
     ARCS_G,
     f"select distinct src as q, src as v, 0::bigint as d from ({OD10})",
     "select query_id as path_id, row_number() over (partition by query_id order by dist) - 1 as idx, node, dist from walk",
     tight="select b.q, b.v, min(e.tail) as pred from sp a join arcs e on e.tail = a.v join sp b on b.q = a.q and b.v = e.head and b.d = a.d + e.weight group by b.q, b.v",
     **{"walk(query_id, q, node, dist)": f"select query_id, src, dst, d from ({OD10}) o join sp on q = src and v = dst union all select w.query_id, w.q, t.pred, p.d from walk w join tight t on t.q = w.q and t.v = w.node join sp p on p.q = w.q and p.v = t.pred"},
 ))
-def path_prefix_dist(spark, d):
+def path_prefix_dist(spark, d, od):
     edges = view(spark, d, "g_grid")
-    return g.path_prefix(s.paths(edges, od10(spark, d)).select(F.col("query_id").alias("path_id"), "idx", "node"), edges)
+    return g.path_prefix(s.paths(edges, od).select(F.col("query_id").alias("path_id"), "idx", "node"), edges)
 
 
 @query("query_stats", with_sql("select count(*) as n, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as std, min(v) as lo, round(quantile_cont(v, 0.25), 6) as q25, round(quantile_cont(v, 0.5), 6) as q50, round(quantile_cont(v, 0.75), 6) as q75, max(v) as hi from (select ff_time::double as v from capacity)"))

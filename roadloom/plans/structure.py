@@ -9,7 +9,7 @@ from ..operators import graph as g
 from ..operators import hierarchy as h
 from ..session import cut
 from ..streaming import traces as tr
-from .static import ARCS_G, OD10, PAIRS, PERMUTED, od10, sssp
+from .static import ARCS_G, OD10, PAIRS, PERMUTED, od_all, sssp, workload
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -73,9 +73,9 @@ def rank_od(spark, d, od):
     return od.join(a, "src").join(b, "dst")
 
 
-@query("cch_query", PAIRS)
-def cch_query(spark, d):
-    od = rank_od(spark, d, od10(spark, d))
+@workload("cch_query", PAIRS, query)
+def cch_query(spark, d, od):
+    od = rank_od(spark, d, od)
     ends = od.select(F.col("s").alias("rank")).union(od.select("t")).distinct()
     found = h.label_query(h.labels(weights(spark, d), ends), od.select("query_id", F.col("s").alias("src"), F.col("t").alias("dst")))
     return od.select("query_id", "src", "dst").join(found, "query_id")
@@ -94,19 +94,19 @@ def cch_perfect_distances(spark, d):
     return e.select("lo", "hi").join(weights(spark, d, True).select("lo", "hi", "up"), ["lo", "hi"])
 
 
-@query("hub_label_query", PAIRS)
-def hub_label_query(spark, d):
-    od = rank_od(spark, d, od10(spark, d))
+@workload("hub_label_query", PAIRS, query)
+def hub_label_query(spark, d, od):
+    od = rank_od(spark, d, od)
     all_nodes = view(spark, d, "grid_order").select("rank")
     label = cut(h.labels(weights(spark, d), all_nodes))
     found = h.label_query(h.pruned_labels(label), od.select("query_id", F.col("s").alias("src"), F.col("t").alias("dst")))
     return od.select("query_id", "src", "dst").join(found, "query_id")
 
 
-@query("rphast", sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD10})", f"select q as src, v as dst, d as dist from sp where v in (select dst from ({OD10}))"))
-def rphast(spark, d):
+@workload("rphast", sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD10})", f"select q as src, v as dst, d as dist from sp where v in (select dst from ({OD10}))"), query)
+def rphast(spark, d, od):
     """All sources to all targets: labels restricted to the targets' upward space, joined by hub."""
-    od = rank_od(spark, d, od10(spark, d))
+    od = rank_od(spark, d, od)
     ends = od.select(F.col("s").alias("rank")).union(od.select("t")).distinct()
     label = cut(h.labels(weights(spark, d), ends))
     s, t = od.select("s", "src").distinct(), od.select("t", "dst").distinct()
@@ -147,7 +147,7 @@ def ubs_ranges(spark, d):
     from ..operators import search as s
 
     edges = view(spark, d, "g_grid")
-    paths = s.paths(edges.withColumn("weight", F.lit(1).cast("long")), od10(spark, d))
+    paths = s.paths(edges.withColumn("weight", F.lit(1).cast("long")), od_all(spark, d))
     return alt.ubs_violations(paths.select(F.col("query_id").alias("path_id"), "idx", "node"), edges, 0.1)
 
 
@@ -155,7 +155,7 @@ def ubs_ranges(spark, d):
 def penalty_alternatives(spark, d):
     from ..operators import alternatives as alt
 
-    return alt.penalty_alternatives(view(spark, d, "g_grid"), od10(spark, d))
+    return alt.penalty_alternatives(view(spark, d, "g_grid"), od_all(spark, d))
 
 
 @query("pareto_routes")
@@ -163,7 +163,7 @@ def pareto_routes(spark, d):
     from ..operators import alternatives as alt
 
     edges = view(spark, d, "g_trans").withColumn("weight2", 1 + (F.col("tail") + F.col("head")) % 5)
-    return alt.pareto(edges, od10(spark, d))
+    return alt.pareto(edges, od_all(spark, d))
 
 
 @query("dfs_order")

@@ -133,13 +133,21 @@ EA = (
 
 @query("td_earliest_arrival", with_sql("select query_id, d - departure as duration from o left join sp on q = query_id and v = dst", extra={"s": SEG, "o": "select * from od where src <> dst and query_id <= 3000", EA[0]: EA[1]}, recursive=True))
 def td_earliest_arrival(spark, d):
-    od = view(spark, d, "od").where("src <> dst and query_id <= 3000")
+    return td_earliest_arrival_of(spark, d, view(spark, d, "od").where("src <> dst and query_id <= 3000"))
+
+
+@query("td_earliest_arrival_all")
+def td_earliest_arrival_all(spark, d):
+    return td_earliest_arrival_of(spark, d, view(spark, d, "od").where("src <> dst"))
+
+
+def td_earliest_arrival_of(spark, d, od):
     return t.earliest_arrival(view(spark, d, "g_grid"), view(spark, d, "ttf"), od).select("query_id", "duration")
 
 
 @query("td_path")
 def td_path(spark, d):
-    od = view(spark, d, "od").where("src <> dst and query_id <= 3000")
+    od = view(spark, d, "od").where("src <> dst")
     return t.earliest_arrival(view(spark, d, "g_grid"), view(spark, d, "ttf"), od).select("query_id", F.posexplode("path").alias("idx", "node"))
 
 
@@ -150,7 +158,7 @@ def td_sampled_corridor(spark, d):
     from ..operators import search as s
 
     edges, ttf = view(spark, d, "g_grid"), view(spark, d, "ttf")
-    od = view(spark, d, "od").where("src <> dst and query_id <= 1500")
+    od = view(spark, d, "od").where("src <> dst")
     windows = [(79_200_000, 18_000_000), (25_200_000, 36_000_000), (39_600_000, 54_000_000), (57_600_000, 68_400_000)]
     used = None
     for a, b in windows:
