@@ -424,8 +424,17 @@ def vector_compare(spark, d):
     ),
 )
 def nearest_node(spark, d):
-    points = view(spark, d, "orders").where("o_orderkey % 50 = 0").selectExpr("cast(o_orderkey as bigint) as point_id", "cast(o_orderkey * 7919L % 200 as bigint) as x", "cast(o_orderkey * 104729L % 260 as bigint) as y")
-    nodes = view(spark, d, "grid_nodes").where("node_id % 3 = 0").selectExpr("node_id", "x * 3 as x", "y * 5 as y")
+    return nearest_node_of(view(spark, d, "orders").where("o_orderkey % 50 = 0"), view(spark, d, "grid_nodes").where("node_id % 3 = 0"))
+
+
+@query("nearest_node_all")
+def nearest_node_all(spark, d):
+    return nearest_node_of(view(spark, d, "orders"), view(spark, d, "grid_nodes"))
+
+
+def nearest_node_of(orders, grid):
+    points = orders.selectExpr("cast(o_orderkey as bigint) as point_id", "cast(o_orderkey * 7919L % 200 as bigint) as x", "cast(o_orderkey * 104729L % 260 as bigint) as y")
+    nodes = grid.selectExpr("node_id", "x * 3 as x", "y * 5 as y")
     return g.nearest(points, nodes, 16)
 
 
@@ -464,7 +473,16 @@ def path_cycles(spark, d):
 
 @query("distinct_paths", with_sql("select count(distinct p) as variants from (select string_agg(node::varchar, ',' order by idx) as p from (select trip as path_id, seq as idx, link_id % 3 as node from links where seq < 4) group by path_id)"))
 def distinct_paths(spark, d):
-    steps = view(spark, d, "links").where("seq < 4").selectExpr("trip as path_id", "seq as idx", "link_id % 3 as node")
+    return distinct_paths_of(view(spark, d, "links").where("seq < 4"))
+
+
+@query("distinct_paths_all")
+def distinct_paths_all(spark, d):
+    return distinct_paths_of(view(spark, d, "links"))
+
+
+def distinct_paths_of(links):
+    steps = links.selectExpr("trip as path_id", "seq as idx", "link_id % 3 as node")
     whole = steps.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("idx", "node"))).alias("p"))
     return whole.agg(F.count_distinct(F.array_join(F.col("p.node").cast("array<string>"), ",")).alias("variants"))
 
@@ -474,7 +492,16 @@ RANGES = "select distinct seq as a, seq + 1 + link_id % 7 as b from links where
 
 @query("filter_covered", with_sql("select a, b from r where not exists (select 1 from r q where q.a >= r.a and q.b <= r.b and (q.a > r.a or q.b < r.b))", extra={"r": RANGES}))
 def filter_covered(spark, d):
-    return g.filter_covered(view(spark, d, "links").where("trip % 3 = 0").selectExpr("seq as a", "seq + 1 + link_id % 7 as b"))
+    return filter_covered_of(view(spark, d, "links").where("trip % 3 = 0"))
+
+
+@query("filter_covered_all")
+def filter_covered_all(spark, d):
+    return filter_covered_of(view(spark, d, "links"))
+
+
+def filter_covered_of(links):
+    return g.filter_covered(links.selectExpr("seq as a", "seq + 1 + link_id % 7 as b"))
 
 
 @workload("path_prefix_dist", sssp(

@@ -88,8 +88,17 @@ def cch_query(spark, d, od):
 ))
 def cch_perfect_distances(spark, d):
     """After perfect customization an edge's weight is the distance between its ends."""
+    return cch_perfect_distances_of(spark, d, view(spark, d, "g_grid").where("tail < 20"))
+
+
+@query("cch_perfect_distances_all")
+def cch_perfect_distances_all(spark, d):
+    return cch_perfect_distances_of(spark, d, view(spark, d, "g_grid"))
+
+
+def cch_perfect_distances_of(spark, d, edges):
     order = view(spark, d, "grid_order")
-    e = view(spark, d, "g_grid").where("tail < 20").select(F.least("tail", "head").alias("t"), F.greatest("tail", "head").alias("hd")).distinct()
+    e = edges.select(F.least("tail", "head").alias("t"), F.greatest("tail", "head").alias("hd")).distinct()
     e = e.join(order.select(F.col("node_id").alias("t"), F.col("rank").alias("lo")), "t").join(order.select(F.col("node_id").alias("hd"), F.col("rank").alias("hi")), "hd").where("lo < hi")
     return e.select("lo", "hi").join(weights(spark, d, True).select("lo", "hi", "up"), ["lo", "hi"])
 
@@ -117,12 +126,12 @@ def rphast(spark, d, od):
 
 @query("biconnected_components")
 def biconnected_components(spark, d):
-    return h.biconnected(view(spark, d, "g_trans").where("weight <= 3"))
+    return h.biconnected(view(spark, d, "g_trans"))
 
 
 @query("degree_one_core")
 def degree_one_core(spark, d):
-    return h.core(view(spark, d, "g_trans").where("weight <= 3"))
+    return h.core(view(spark, d, "g_trans"))
 
 
 @query("link_speed_estimate")
