@@ -19,7 +19,7 @@ ROUNDS = 10
 
 _PARTS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++",
-    "secret": r"(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api_key|apikey|access_key)[ \t]*+[:=][ \t]*+[\"']?[A-Za-z0-9_/+=.-]{8,}+",
+    "secret": r"(?=[AaPpSsTt])(?i:token|secret|password|passwd|api_key|apikey|access_key)[ \t]*+[:=][ \t]*+[\"']?[A-Za-z0-9_/+=.-]{8,}+",
     "address": r"(?<![0-9.])(?:[0-9]{1,3}[.]){3}[0-9]{1,3}(?![0-9]|[.][0-9])",
     "date": r"(?<![0-9-])[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])",
     "phone": r"[+][0-9]{1,3}[ -]?[(]?[0-9]{2,4}[)]?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])|(?<![0-9])[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}(?![0-9])",
@@ -130,11 +130,11 @@ def _keyed(key: str, kind: str, value: str) -> str:
 def _value(key: str) -> str:
     """SQL: the pseudonym of the match m."""
     email = f"concat(substr(sha2(concat_ws('|', {_quote(key)}, 'email', lower(m)), 256), 1, least(64, greatest(8, instr(m, '@') - 1))), substr(m, instr(m, '@')))"
-    head = "regexp_extract(m, '^[a-z_]+[ \\\\t]*[:=][ \\\\t]*[\"\\']?', 0)"
+    head = "regexp_extract(m, '^[A-Za-z_]+[ \\\\t]*[:=][ \\\\t]*[\"\\']?', 0)"
     secret = _let(head, "h", _let("substr(m, length(h) + 1)", "r", f"concat(h, {_keyed(key, 'secret', 'r')})"))
     return (
         f"case when m like '%@%' then {email} "
-        f"when m rlike '^[a-z]' then {secret} "
+        f"when m rlike '^[A-Za-z]' then {secret} "
         f"when m rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then {_address(key)} "
         f"when m rlike '^([0-9]{{4}}[-/][0-9]{{2}}[-/][0-9]{{2}}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}})$' then {_date(key)} "
         f"when m rlike '^[+(]' then {_number(key, 'phone')} "

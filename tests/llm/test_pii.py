@@ -117,3 +117,16 @@ def test_documents(spark):
     pattern = regex.compile(pii.PATTERN)
     got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, KEY).collect()}
     assert got == {r["doc_id"]: pattern.sub(lambda m: one(m[0]), r["text"]) for r in docs.collect()}
+
+
+def test_secret_names(spark):
+    """Names in any case and with a prefix, the values gone, the rest as it was."""
+    planted = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike(pii._PARTS["secret"])).select(F.upper("text").alias("text")).collect()
+    value = re.compile(r"(?i:token|secret|password)[ \t]*[:=][ \t]*[\"']?([A-Z0-9_/+=.-]{8,})")
+    texts = [r["text"] for r in planted] + ['TOKEN = "9233A8EC0011"', "Token: 9233A8EC0011", "PASSWORD=9233A8EC0011", "API_KEY='9233A8EC0011'", "export AWS_SECRET=9233A8EC0011;", "myApp.dbPassword: 9233A8EC0011", "Access_Key=9233A8EC0011"]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), KEY).orderBy("n").collect()]
+    assert len(planted) > 5 and all(not set(value.findall(t)) & set(value.findall(g)) for t, g in zip(texts, got))
+    for t, g in zip(texts[len(planted) :], got[len(planted) :]):
+        head = t[: t.index("9233")]
+        assert g.startswith(head) and "9233A8EC0011" not in g and len(g) == len(t)
+    assert got[-1][-12:] == hashlib.sha256(f"{KEY}|secret|9233A8EC0011".encode()).hexdigest()[:12]
