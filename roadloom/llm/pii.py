@@ -21,11 +21,13 @@ _PARTS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++",
     "secret": r"(?=[AaPpSsTt])(?i:token|secret|password|passwd|api_key|apikey|access_key)[ \t]*+[:=][ \t]*+[\"']?[A-Za-z0-9_/+=.-]{8,}+",
     "address": r"(?<![0-9.])(?:[0-9]{1,3}[.]){3}[0-9]{1,3}(?![0-9]|[.][0-9])",
-    "date": r"(?<![0-9-])[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])",
+    "date": r"(?<![0-9-])[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}(?![0-9-])|(?<![0-9./])[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?![0-9])",
     "phone": r"[+][0-9]{1,3}[ -]?[(]?[0-9]{2,4}[)]?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])|(?<![0-9])[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+# a whole run of groups of digits, up to a group that starts another value; two groups of 13 digits are two runs
+_OTHER = "|".join([*(_PARTS[k] for k in ("email", "address", "date", "ssn")), r"(?<=[0-9]{13}[ -])[0-9]{13}"])
+_PARTS["card"] = rf"(?<![0-9])[0-9](?:(?:[ -](?!{_OTHER}))?[0-9]){{12,}}+(?![0-9])"
 PATTERN = "|".join(_PARTS.values())
 
 
@@ -72,9 +74,23 @@ def _let(value: str, name: str, body: str) -> str:
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
 
 
+#: How cards are written: their groups' numbers of digits.
+_WRITTEN = "^(1[3-9]|4-4-4-4(-3)?|4-6-[45]|4-4-4-1)$"
+
+
 def _card(key: str) -> str:
+    """The whole run if it is a card; else, from left to right, those of its groups that make up one. Groups
+    written as cards come before other ones, then longer stretches."""
     anew = _let(permuted_digits("substr(d, 1, length(d) - 1)", key, "card"), "q", f"concat(q, cast(pmod(10 - {luhn("concat(q, '0')")} % 10, 10) as string))")
-    return _let(_DIGITS, "d", f"if({luhn('d')} % 10 = 0, {_let(anew, 'w', _refill('m', 'w'))}, m)")
+    valid = f"length(d) between 13 and 19 and {luhn('d')} % 10 = 0"
+    shape = "array_join(transform(slice(gs, ga, gk), y -> cast(length(regexp_replace(y, '[^0-9]', '')) as string)), '-')"
+    card = _let("regexp_replace(array_join(slice(gs, ga, gk), ''), '[^0-9]', '')", "d", f"if({valid}, named_struct('written', {shape} rlike '{_WRITTEN}', 'k', gk), null)")
+    best = f"transform(sequence(1, size(gs)), ga -> array_max(transform(sequence(1, least(19, size(gs) - ga + 1)), gk -> {card})))"
+    later = "gb.k > 1 and not gb.written and exists(slice(bs, gi + 1, gb.k - 1), z -> coalesce(z.written, false))"
+    put = _let("array_join(slice(gs, gi, gb.k), '')", "v", _let("regexp_replace(v, '[^0-9]', '')", "d", _let(anew, "w", _refill("v", "w"))))
+    here = f"if(gb is null or ({later}), named_struct('next', gi + 1, 'out', concat(st.out, gs[gi - 1])), named_struct('next', gi + gb.k, 'out', concat(st.out, {put})))"
+    parts = _let("regexp_extract_all(m, '[0-9]+[ -]?', 0)", "gs", _let(best, "bs", f"aggregate(sequence(1, size(gs)), named_struct('next', 1, 'out', ''), (st, gi) -> if(gi < st.next, st, {_let('bs[gi - 1]', 'gb', here)}), st -> st.out)"))
+    return _let(_DIGITS, "d", f"if({valid}, {_let(anew, 'w', _refill('m', 'w'))}, if(m rlike '[ -]', {parts}, m))")
 
 
 def _number(key: str, kind: str) -> str:
@@ -111,11 +127,12 @@ def _date(key: str) -> str:
         body = f"if({valid} and y >= 200, {_let(era, 'e', _let(moved, 't', fill))}, {otherwise})"
         return _let(f"cast({year} as int)", "y", _let(f"cast({month} as int)", "mo", _let(f"cast({dayno} as int)", "da", body)))
 
-    sep = lambda a: f"substr(m, {a}, 1)"
-    first = using("substr(m, 1, 4)", "substr(m, 6, 2)", "substr(m, 9, 2)", f"concat('yyyy', {_lit(sep(5))}, 'MM', {_lit(sep(8))}, 'dd')", "m")
-    month_first = using("substr(m, 7, 4)", "substr(m, 1, 2)", "substr(m, 4, 2)", f"concat('MM', {_lit(sep(3))}, 'dd', {_lit(sep(6))}, 'yyyy')", "m")
-    day_first = using("substr(m, 7, 4)", "substr(m, 4, 2)", "substr(m, 1, 2)", f"concat('dd', {_lit(sep(3))}, 'MM', {_lit(sep(6))}, 'yyyy')", month_first)
-    return f"if(m rlike '^[0-9]{{4}}', {first}, {day_first})"
+    two = lambda k, c: f"if(length(ps[{k}]) = 1, '{c}', '{c}{c}')"
+    sep = (_lit("substr(m, length(ps[0]) + 1, 1)"), _lit("substr(m, length(m) - length(ps[2]), 1)"))
+    first = using("ps[0]", "ps[1]", "ps[2]", f"concat('yyyy', {sep[0]}, {two(1, 'M')}, {sep[1]}, {two(2, 'd')})", "m")
+    month_first = using("ps[2]", "ps[0]", "ps[1]", f"concat({two(0, 'M')}, {sep[0]}, {two(1, 'd')}, {sep[1]}, 'yyyy')", "m")
+    day_first = using("ps[2]", "ps[1]", "ps[0]", f"concat({two(0, 'd')}, {sep[0]}, {two(1, 'M')}, {sep[1]}, 'yyyy')", month_first)
+    return _let("split(m, '[-/.]')", "ps", f"if(m rlike '^[0-9]{{4}}', {first}, {day_first})")
 
 
 def _lit(c: str) -> str:
@@ -136,7 +153,7 @@ def _value(key: str) -> str:
         f"case when m like '%@%' then {email} "
         f"when m rlike '^[A-Za-z]' then {secret} "
         f"when m rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then {_address(key)} "
-        f"when m rlike '^([0-9]{{4}}[-/][0-9]{{2}}[-/][0-9]{{2}}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}})$' then {_date(key)} "
+        f"when m rlike '^([0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}|[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}})$' then {_date(key)} "
         f"when m rlike '^[+(]' then {_number(key, 'phone')} "
         f"when m rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if(m rlike '^(000|666|9)', m, {_number(key, 'ssn')}) "
         f"else {_card(key)} end"
