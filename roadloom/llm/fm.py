@@ -114,7 +114,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(row, feature, len(offsets) - 1), -40, 40)))
 
 
-def train(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, factors: int = 8, kept: int = 512, epochs: int = 60, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Model:
+def train(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, factors: int = 8, epochs: int = 60, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Model:
     """Fit by AdaGrad on the logistic loss. Without rows of both classes the score is the prior."""
     n, positive = len(labels), int(labels.sum())
     keep = np.full(FEATURES, -1, np.int64)
@@ -127,8 +127,7 @@ def train(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, factors: int
     cells = [(hit, seen * positive / n), (seen - hit, seen * (n - positive) / n), (positive - hit, (n - seen) * positive / n), (n - seen - (positive - hit), (n - seen) * (n - positive) / n)]
     g = 2 * sum(np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(e, 1e-9)), 0) for a, e in cells)
     g[(seen < 3) & (np.arange(FEATURES) < 1 << TERM_BITS)] = 0
-    chosen = np.sort(np.argsort(-g, kind="stable")[:kept])
-    chosen = chosen[g[chosen] > 10.83]  # p < 0.001
+    chosen = np.flatnonzero(g > 10.83)  # p < 0.001
     keep[chosen] = np.arange(len(chosen))
     row, feature = row[keep[feature] >= 0], keep[feature[keep[feature] >= 0]]
     rng = np.random.default_rng(seed)
@@ -222,6 +221,6 @@ def keep_rows(docs: DataFrame, model: Model, threshold: float, text_col: str = "
 def scores(docs: DataFrame, model: Model, modulus: int, rest: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. Reads nothing but the text (null:
     empty) and the id, which decides held_out only."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers and `kept` weights: of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers and at most as many weights: of fixed size
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus, rest).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(lambda b: _score(b, shared, threshold), "doc_id long, held_out boolean, score double, predicted int")
