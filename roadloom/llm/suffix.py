@@ -416,6 +416,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dig, pa.int64()), batch.column(1)], names=["doc_id", "dig", "text"])
 
 
+def _several(contexts: DataFrame, dealt: DataFrame, hot: Bitmap, mixed: Bitmap) -> DataFrame:
+    """Contexts, and dealt windows, of the keys that have different ones; to be told apart by bytes."""
+    full, columns = "key long, body binary, doc_id long, dig long, a long", ["key", "body", "doc_id", "dig", "a"]
+    cold = contexts.select(*columns).mapInArrow(lambda b: _filtered(_filtered(b, hot, False), mixed, True), full)
+    return cold.union(dealt.where("kind = 1").select(*columns).mapInArrow(lambda b: _filtered(b, mixed, True), full))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -443,9 +450,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = stage(met.mapInArrow(_settle, "kind int, key long, doc_id long, dig long, a long, b long"), "settled")
     release(docs.sparkSession)
     mixed = collect_bitmap(settled.where("kind = 2").select("key"))
-    full = "key long, body binary, doc_id long, dig long, a long"
-    several = contexts.select("key", "body", "doc_id", "dig", "a").mapInArrow(lambda b: _filtered(_filtered(b, hot, False), mixed, True), full)
-    judged = several.repartition("key").sortWithinPartitions("key").mapInArrow(_own, "doc_id long, dig long, a long, b long")
+    judged = _several(contexts, dealt, hot, mixed).repartition("key").sortWithinPartitions("key").mapInArrow(_own, "doc_id long, dig long, a long, b long")
     intervals = intervals.union(settled.where("kind = 0").select("doc_id", "dig", "a", "b")).union(judged)
     texts = source.mapInArrow(_digests, "doc_id long, dig long, text string")
     parts = texts.select("doc_id", "dig", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "text").union(intervals.withColumn("text", F.lit(None).cast("string")))

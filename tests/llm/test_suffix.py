@@ -68,3 +68,16 @@ def test_odd_rows(spark):
     # one of the rows with id 5 is the first, its repetition and all later ones lose the common text
     assert [g[2] for g in got if g[0]] == [300] and [g[2] for g in got if g[1] == 6] == [300]
     assert sorted(g[2] for g in got if g[1] == 5) == [0, 300, 300]
+
+
+def test_clashing_windows(spark):
+    """Two different windows of hot grams under one hash: each one's later copy is found by bytes."""
+    x, y = bytearray(b"x" * suffix.WINDOW), bytearray(b"y" * suffix.WINDOW)
+    rows = [(1, 5, x, 1, 0, 10, 110), (1, 5, y, 2, 0, 20, 120), (1, 5, y, 3, 0, 30, 130), (1, 5, x, 4, 0, 40, 140), (1, 6, x, 5, 0, 50, 150)]
+    dealt = spark.createDataFrame(rows, suffix._ROWS)
+    settled = dealt.select("key", suffix.F.xxhash64("body").alias("h"), "doc_id", "dig", "a", "b").coalesce(1).sortWithinPartitions("key").mapInArrow(suffix._settle, "kind int, key long, doc_id long, dig long, a long, b long")
+    mixed = suffix.collect_bitmap(settled.where("kind = 2").select("key"))
+    hot = suffix.collect_bitmap(spark.createDataFrame([(9,)], "key long"))
+    several = suffix._several(dealt.limit(0), dealt, hot, mixed).coalesce(1).sortWithinPartitions("key")
+    found = several.mapInArrow(suffix._own, "doc_id long, dig long, a long, b long").collect()
+    assert sorted(map(tuple, found)) == [(3, 0, 30, 130), (4, 0, 40, 140)]
