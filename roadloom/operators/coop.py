@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ttf import DAY, speed_profile_times
+from .ttf import DAY, small, speed_profile_times
 
 
 def init_capacity(edges: DataFrame, buckets: int) -> DataFrame:
@@ -66,8 +66,8 @@ def rebuild_functions(profiles: DataFrame, network: DataFrame) -> DataFrame:
 
 def tightest_metric(queries: DataFrame, metrics: DataFrame) -> DataFrame:
     """query_id, metric_id of the shortest interval that covers [departure, latest] (ties: smaller id);
-    metric 0 if the trip ends on another day. Metrics are a bounded parameter (at most a few hundred)."""
-    few = F.broadcast(metrics.limit(10_000))
+    metric 0 if the trip ends on another day. Metrics are broadcast up to 10,000."""
+    few = small(metrics, 10_000)
     fits = queries.where(F.col("latest") < DAY).join(few, (F.col("start") <= F.col("departure")) & (F.col("latest") <= F.col("end")))
     best = fits.groupBy("query_id").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("len"), "metric_id")).alias("b"))
     return queries.join(best, "query_id", "left").select("query_id", F.coalesce("b.metric_id", F.lit(0)).cast("long").alias("metric_id"))

@@ -97,11 +97,17 @@ def live_at(ttf: DataFrame, live: DataFrame, at: DataFrame, soon: int) -> DataFr
     return base.select("key", "edge_id", "t", F.when(F.col("live_tt").isNull(), F.col("tt")).when(F.col("t") <= soon, F.col("live_tt")).otherwise(later).cast("long").alias("tt"))
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """The whole table; with a hint to broadcast it if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def interval_minima(ttf: DataFrame, intervals: DataFrame) -> DataFrame:
     """edge_id, interval_id, lowest: over [start, end], breakpoints and the values at both borders."""
-    inside = ttf.join(F.broadcast(intervals.limit(100_000)), F.col("dep").between(F.col("start"), F.col("end"))).select("edge_id", "interval_id", "tt")  # intervals are a workload parameter
+    few = small(intervals, 100_000)
+    inside = ttf.join(few, F.col("dep").between(F.col("start"), F.col("end"))).select("edge_id", "interval_id", "tt")
     seg = segments(ttf)
-    border = F.broadcast(intervals.select("interval_id", F.explode(F.array("start", "end")).alias("x")))
+    border = few.select("interval_id", F.explode(F.array("start", "end")).alias("x"))
     edge = seg.join(border, (F.col("dep") <= F.col("x")) & (F.col("x") < F.col("dep1"))).select("edge_id", "interval_id", at_line("x").alias("tt"))
     return inside.union(edge).groupBy("edge_id", "interval_id").agg(F.min("tt").alias("lowest"))
 

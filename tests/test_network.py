@@ -181,3 +181,14 @@ def test_alternatives(spark, six):
     two = six.withColumn("weight2", F.when(F.col("edge_id") == 0, 1).otherwise(4).cast("long"))
     assert sorted(map(tuple, alt.pareto(two, od).drop("query_id").collect())) == [(5, 12), (11, 5)]
     assert [r["node_id"] for r in alt.dfs_order(six).orderBy("rank").collect()] == [0, 1, 3, 4, 2]
+
+
+def test_many_intervals(spark):
+    from roadloom.operators import coop
+
+    f = spark.createDataFrame([(0, 0, 0, 50), (0, 1, 40_000_000, 10), (0, 2, 86_400_000, 50)], "edge_id long, idx long, dep long, tt long")
+    many = spark.range(100_010).selectExpr("id as interval_id", "10000000L as start", "80000000L as end")
+    assert ttf.interval_minima(f, many).where("lowest = 10").count() == 100_010
+    metrics = spark.range(10_010).selectExpr("id as metric_id", "0L as start", "86400000L - id as end")
+    q = spark.createDataFrame([(1, 0, 1000)], "query_id long, departure long, latest long")
+    assert coop.tightest_metric(q, metrics).first()["metric_id"] == 10_009
