@@ -2,15 +2,19 @@
 
 Every 100-byte window owns an anchor: the smallest hash among its 32-byte grams (leftmost if equal).
 Equal windows have equal anchors at equal places, so all windows can be judged per anchor gram:
-  1. Count the anchors' grams over all documents; a bitmap of fixed size tells which can repeat.
+  1. Count the anchors' grams over all documents; a bitmap tells which can repeat.
   2. Each run of windows with one anchor becomes a context (the bytes it spans). Equal contexts in a
-     task collapse to the earliest; the others are removed as a whole. Contexts of grams with very many
-     of them are dealt out window by window, so that no gram is a hot key.
-  3. Contexts of one gram meet by their hashes (of 64 bits, beside the gram's 64): where all are the same, all
-     but the earliest are removed. Of the other grams the contexts' bytes meet: shared windows are cut out,
-     and where several distinct strings remain their suffixes are sorted (`suffix_array`); runs of suffixes
-     with 100 equal bytes keep the earliest.
-  4. Removed intervals meet their documents.
+     task collapse to the earliest; the others are removed as a whole.
+  3. Equal contexts of all tasks meet (by gram and 128 bits of hashes, so that no gram is a hot key): all but
+     the earliest are removed. Grams that are left with one context are done.
+  4. Of a gram with several different contexts the bytes meet: shared windows are cut out, and where several
+     distinct strings remain their suffixes are sorted (`suffix_array`); runs of suffixes with 100 equal
+     bytes keep the earliest.
+  5. Grams with more contexts than one task should sort are anchored anew by a longer gram and go through
+     steps 3 and 4 again. The last gram is the window itself, whose contexts differ only if hashes clash;
+     these are always told apart by their bytes.
+  6. Removed intervals meet their documents.
+A context has few anchors of each longer gram, so every level makes rows in proportion to what it reads.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import Bitmap, collect_bitmap
+from .bitmap import Bitmap, bits_for, collect_bitmap
 from .common import fmix, powers, prefix_hash, release, row_slices, stage, text_view
 
-WINDOW, GRAM = 100, 32
-#: Contexts of one gram that meet in one task; grams with more are dealt out by windows.
+WINDOW = 100
+#: Lengths of the anchors' grams, level by level.
+GRAMS = (32, 64, 88, WINDOW)
+#: Different contexts of one gram that one task sorts; grams with more go to the next level.
 HOT_CONTEXTS = 256
 #: Contexts that a task holds to collapse equal ones.
 TASK_CONTEXTS = 100_000
@@ -107,8 +113,8 @@ def suffix_array(s: bytes) -> list[int]:
     return out[1:]
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of windows with one anchor: gram hash, row, first window, number of windows.
+def anchors(data: np.ndarray, offsets: np.ndarray, size: int = GRAMS[0]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of windows with one anchor of `size` bytes: gram hash, row, first window, number of windows.
 
     Positions are within `data`. A text is worked through in steps, which may cut a run in two."""
     for lo, hi in row_slices(offsets, STEP):
@@ -118,13 +124,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
                 continue
             h = prefix_hash(data[start:stop])
             _, down = powers(stop - start)
-            grams = fmix((h[GRAM:] - h[:-GRAM]) * down[: stop - start - GRAM + 1])
+            grams = fmix((h[size:] - h[:-size]) * down[: stop - start - size + 1])
             best = (grams & ~np.uint64(2**24 - 1)) | np.arange(len(grams), dtype=np.uint64)
             width = 1
-            while width * 2 <= WINDOW - GRAM + 1:
+            while width * 2 <= WINDOW - size + 1:
                 best = np.minimum(best[:-width], best[width:])
                 width *= 2
-            rest = WINDOW - GRAM + 1 - width
+            rest = WINDOW - size + 1 - width
             best = np.minimum(best[: len(best) - rest], best[rest:]) if rest else best
             at = (best & np.uint64(2**24 - 1)).astype(np.int64)
             windows = np.arange(min(len(at), STEP))
@@ -200,86 +206,79 @@ class Collapser:
         self.rows = []
 
 
+def _add_runs(kept: Collapser, data: np.ndarray, offsets: np.ndarray, size: int, place, wanted: Bitmap | None = None) -> None:
+    """The contexts of all rows, those of wanted grams only; place(row) gives id, digest and where the row starts."""
+    for gram, row, first, n in anchors(data, offsets, size):
+        hit = np.flatnonzero(wanted.has_all(gram)) if wanted else slice(None)
+        for g, r, a, k in zip(gram[hit].tolist(), row[hit].tolist(), first[hit].tolist(), n[hit].tolist()):
+            doc_id, digest, at = place(r)
+            kept.add(g, data[a : a + k - 1 + WINDOW].tobytes(), (doc_id, digest, at + a - int(offsets[r])))
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], repeated: Bitmap) -> Iterator[pa.RecordBatch]:
     kept = Collapser()
     for batch in batches:
         data, offsets = text_view(batch.column(1))
         ids, digests = batch.column(0).to_pylist(), {}
-        for gram, row, first, n in anchors(data, offsets):
-            hit = np.flatnonzero(repeated.has_all(gram))
-            for g, r, a, k in zip(gram[hit].tolist(), row[hit].tolist(), first[hit].tolist(), n[hit].tolist()):
-                if r not in digests:
-                    digests[r] = xxhash.xxh3_64_intdigest(data[offsets[r] : offsets[r + 1]]) - (1 << 63)
-                kept.add(g, data[a : a + k - 1 + WINDOW].tobytes(), (ids[r], digests[r], a - int(offsets[r])))
-            yield from kept.out()
-    yield from kept.out(True)
-
-
-def _windows(key: int, body: bytes) -> list[tuple[int, bytes]]:
-    """(hash, window) of a context's windows."""
-    found = [body[i : i + WINDOW] for i in range(len(body) - WINDOW + 1)]
-    return [(xxhash.xxh3_64_intdigest(w, key & 0xFFFFFFFF) - (1 << 63), w) for w in found]
 
+        def place(r):
+            if r not in digests:
+                digests[r] = xxhash.xxh3_64_intdigest(data[offsets[r] : offsets[r + 1]]) - (1 << 63)
+            return ids[r], digests[r], 0
 
-def _hot_windows(batches: Iterator[pa.RecordBatch], hot: Bitmap) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hit = hot.has_all(batch.column(0).to_numpy())
-        keys = [h for i in np.flatnonzero(hit) for h, _ in _windows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())]
-        if keys:
-            found, n = np.unique(np.array(keys, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["key", "n"])
+        _add_runs(kept, data, offsets, GRAMS[0], place, repeated)
+        yield from kept.out()
+    yield from kept.out(True)
 
 
-def _deal_hot(batches: Iterator[pa.RecordBatch], hot: Bitmap, windows: Bitmap) -> Iterator[pa.RecordBatch]:
-    """Contexts of hot grams as single windows, those that may repeat."""
+def _reanchor(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Contexts (key, body, doc_id, dig, a) cut into those of longer grams."""
     kept = Collapser()
     for batch in batches:
-        for i in np.flatnonzero(hot.has_all(batch.column(1).to_numpy())):
-            _, key, body, doc_id, dig, a, _ = (c[i].as_py() for c in batch.columns)
-            for k, (h, w) in enumerate(_windows(key, body)):
-                if windows.has(h):
-                    kept.add(h, w, (doc_id, dig, a + k))
+        data, offsets = text_view(batch.column(1))
+        places = list(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))))
+        _add_runs(kept, data, offsets, size, places.__getitem__)
         yield from kept.out()
     yield from kept.out(True)
 
 
-def _filtered(batches: Iterator[pa.RecordBatch], keys: Bitmap, inside: bool) -> Iterator[pa.RecordBatch]:
-    """The rows whose key (the first column) may be among `keys`, or isn't."""
-    for batch in batches:
-        hit = keys.has_all(batch.column(0).to_numpy())
-        yield batch.filter(pa.array(hit if inside else ~hit))
+_SETTLED = "kind int, key long, doc_id long, dig long, a long, b long"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, hash of the context, doc_id, dig, a, b) sorted by key: where all contexts of a key are the
-    same, all but the earliest are removed (kind 0); a key with several contexts is named (kind 2)."""
+    """Rows (key, two hashes of the context, doc_id, dig, a, b) in this order: of equal contexts the first
+    stays (kind 1), the others are removed (kind 0)."""
     schema = pa.schema([("kind", pa.int32()), *((n, pa.int64()) for n in ("key", "doc_id", "dig", "a", "b"))])
-    current, group, mixed, rows = None, [], False, []
-
-    def close():
-        if mixed:
-            rows.append((2, current, None, None, None, None))
-        elif len(group) > 1:
-            best = 0
-            for i in range(1, len(group)):
-                if _earlier(group[i][:3], group[best][:3]):
-                    best = i
-            rows.extend((0, None, *x) for i, x in enumerate(group) if i != best and x != group[best])
-
-    first = None
+    last = None  # key and hashes, then place, of the context that stays
     for batch in batches:
-        for key, h, *where in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != current:
-                close()
-                current, group, mixed, first = key, [], False, h
-                if len(rows) >= 16384:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows.clear()
-            mixed |= h != first
-            group.append(where)
-    close()
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).fill_null(0).to_numpy() for k in range(6)]
+        full = np.stack([*columns, ~batch.column(3).is_null().to_numpy(zero_copy_only=False)])
+        if last is not None:
+            full = np.concatenate([last[:, None], full], axis=1)
+        new = np.ones(full.shape[1], bool)
+        new[1:] = (full[:3, 1:] != full[:3, :-1]).any(axis=0)
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        again = ~new & (full[3:, head] != full[3:]).any(axis=0)  # a repeated row is no other occurrence
+        skip = int(last is not None)
+        last = full[:, head[-1]]
+        new, out = new[skip:], (new | again)[skip:]
+        taken = pa.array(out)
+        key = pa.array(full[0, skip:][out], mask=~new[out])
+        yield pa.RecordBatch.from_arrays([pa.array(new[out].astype(np.int32)), key, *(batch.column(k).filter(taken) for k in range(3, 7))], schema=schema)
+
+
+def _filtered(batches: Iterator[pa.RecordBatch], mixed: Bitmap, idents: Bitmap | None = None, hot: Bitmap | None = None, inside: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows (key, ident, ...) whose key may be among `mixed`, whose ident may be among `idents`, and whose
+    key may be among `hot` or isn't."""
+    for batch in batches:
+        hit = mixed.has_all(batch.column(0).to_numpy())
+        if idents:
+            hit &= idents.has_all(batch.column(1).to_numpy())
+        if hot:
+            hit &= hot.has_all(batch.column(0).to_numpy()) == inside
+        yield batch.filter(pa.array(hit))
 
 
 def judge(contexts: list[tuple[bytes, tuple]]) -> list[tuple[tuple, int]]:
@@ -376,6 +375,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(removed)
 
 
+_INTERVALS = "doc_id long, dig long, a long, b long"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -416,11 +416,26 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dig, pa.int64()), batch.column(1)], names=["doc_id", "dig", "text"])
 
 
-def _several(contexts: DataFrame, dealt: DataFrame, hot: Bitmap, mixed: Bitmap) -> DataFrame:
-    """Contexts, and dealt windows, of the keys that have different ones; to be told apart by bytes."""
-    full, columns = "key long, body binary, doc_id long, dig long, a long", ["key", "body", "doc_id", "dig", "a"]
-    cold = contexts.select(*columns).mapInArrow(lambda b: _filtered(_filtered(b, hot, False), mixed, True), full)
-    return cold.union(dealt.where("kind = 1").select(*columns).mapInArrow(lambda b: _filtered(b, mixed, True), full))
+def _level(contexts: DataFrame, bound: int | None, bits: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """What is removed among `contexts`: whole equal ones, and parts of different ones of one gram; and the
+    contexts (key, body, doc_id, dig, a) of grams with more than `bound` different ones, if there are any."""
+    slim = contexts.select("key", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"), "doc_id", "dig", "a", "b")
+    met = slim.repartition("key", "h1", "h2").sortWithinPartitions("key", "h1", "h2", F.asc_nulls_last("doc_id"), "dig", "a")
+    settled = stage(met.mapInArrow(_settle, _SETTLED), "settled")
+    release(contexts.sparkSession)
+    kept, ident = settled.where("kind = 1"), F.xxhash64("key", "doc_id", "dig", "a")
+    several = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mixed = collect_bitmap(several.select("key"), bits)
+    idents = collect_bitmap(kept.select("key", ident.alias("ident")).mapInArrow(lambda b: _filtered(b, mixed), "key long, ident long").select(F.col("ident").alias("key")), bits)
+    hot = collect_bitmap(several.where(F.col("n") > bound).select("key"), bits) if bound is not None else None
+    columns, full = ["key", "body", "doc_id", "dig", "a"], "key long, ident long, body binary, doc_id long, dig long, a long"
+    bodies = contexts.select("key", ident.alias("ident"), *columns[1:])
+    cold = bodies.mapInArrow(lambda b: _filtered(b, mixed, idents, hot), full).select(*columns)
+    judged = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_own, _INTERVALS)
+    removed = settled.where("kind = 0").select("doc_id", "dig", "a", "b")
+    if hot is None or hot.empty:
+        return removed, judged, None
+    return removed, judged, bodies.mapInArrow(lambda b: _filtered(b, mixed, idents, hot, True), full).select(*columns)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -432,26 +447,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     to remove. An empty table gives no rows. Other columns of `docs` are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    bits = bits_for(docs)
     counted = source.select("text").mapInArrow(_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    repeated = collect_bitmap(counted.where("n > 1").select("key"))
+    repeated = collect_bitmap(counted.where("n > 1").select("key"), bits)
     rows = stage(source.mapInArrow(lambda b: _contexts(b, repeated), _ROWS), "contexts")
     del counted
     release(docs.sparkSession)
-    contexts = rows.where("kind = 1")
-    intervals = rows.where("kind = 0").select("doc_id", "dig", "a", "b")
-    hot = collect_bitmap(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_CONTEXTS).select("key"))
-    single = contexts.select("key", "body").mapInArrow(lambda b: _hot_windows(b, hot), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    windows = collect_bitmap(single.where("n > 1").select("key"))
-    dealt = stage(contexts.mapInArrow(lambda b: _deal_hot(b, hot, windows), _ROWS), "hot")
-    intervals = intervals.union(dealt.where("kind = 0").select("doc_id", "dig", "a", "b"))
-    slim = ["key", F.xxhash64("body").alias("h"), "doc_id", "dig", "a", "b"]
-    cold = contexts.select(*slim).mapInArrow(lambda b: _filtered(b, hot, False), "key long, h long, doc_id long, dig long, a long, b long")
-    met = cold.union(dealt.where("kind = 1").select(*slim)).repartition("key").sortWithinPartitions("key")
-    settled = stage(met.mapInArrow(_settle, "kind int, key long, doc_id long, dig long, a long, b long"), "settled")
-    release(docs.sparkSession)
-    mixed = collect_bitmap(settled.where("kind = 2").select("key"))
-    judged = _several(contexts, dealt, hot, mixed).repartition("key").sortWithinPartitions("key").mapInArrow(_own, "doc_id long, dig long, a long, b long")
-    intervals = intervals.union(settled.where("kind = 0").select("doc_id", "dig", "a", "b")).union(judged)
+    intervals, gram = None, 0
+    while True:
+        removed, judged, hot = _level(rows.where("kind = 1"), HOT_CONTEXTS if gram + 1 < len(GRAMS) else None, bits)
+        found = rows.where("kind = 0").select("doc_id", "dig", "a", "b").union(removed).union(judged)
+        intervals = intervals.union(found) if intervals else found
+        if hot is None:
+            break
+        gram += 1
+        rows = stage(hot.mapInArrow(lambda b, size=GRAMS[gram]: _reanchor(b, size), _ROWS), "longer")
     texts = source.mapInArrow(_digests, "doc_id long, dig long, text string")
     parts = texts.select("doc_id", "dig", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "text").union(intervals.withColumn("text", F.lit(None).cast("string")))
     return parts.repartition("doc_id", "dig").sortWithinPartitions("doc_id", "dig", F.asc_nulls_last("a"), "b").mapInArrow(_cut, _RESULT)

@@ -71,13 +71,24 @@ def test_odd_rows(spark):
 
 
 def test_clashing_windows(spark):
-    """Two different windows of hot grams under one hash: each one's later copy is found by bytes."""
+    """Two different windows under one hash at the last level: each one's later copy is found, the first ones are told apart by bytes."""
     x, y = bytearray(b"x" * suffix.WINDOW), bytearray(b"y" * suffix.WINDOW)
     rows = [(1, 5, x, 1, 0, 10, 110), (1, 5, y, 2, 0, 20, 120), (1, 5, y, 3, 0, 30, 130), (1, 5, x, 4, 0, 40, 140), (1, 6, x, 5, 0, 50, 150)]
-    dealt = spark.createDataFrame(rows, suffix._ROWS)
-    settled = dealt.select("key", suffix.F.xxhash64("body").alias("h"), "doc_id", "dig", "a", "b").coalesce(1).sortWithinPartitions("key").mapInArrow(suffix._settle, "kind int, key long, doc_id long, dig long, a long, b long")
-    mixed = suffix.collect_bitmap(settled.where("kind = 2").select("key"))
-    hot = suffix.collect_bitmap(spark.createDataFrame([(9,)], "key long"))
-    several = suffix._several(dealt.limit(0), dealt, hot, mixed).coalesce(1).sortWithinPartitions("key")
-    found = several.mapInArrow(suffix._own, "doc_id long, dig long, a long, b long").collect()
-    assert sorted(map(tuple, found)) == [(3, 0, 30, 130), (4, 0, 40, 140)]
+    removed, judged, hot = suffix._level(spark.createDataFrame(rows, suffix._ROWS), None, 1 << 20)
+    assert hot is None and judged.collect() == []
+    assert sorted(map(tuple, removed.collect())) == [(3, 0, 30, 130), (4, 0, 40, 140)]
+
+
+def test_common_gram(spark, monkeypatch):
+    """One gram in many different contexts: each level makes few rows for each one that it reads."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choices("abcdefghijkl ", k=n))
+    line = noise(96)
+    docs = [(i, noise(150) + line + noise(150)) for i in range(400)] + [(500 + i, noise(150) + line + "!same" + noise(150)) for i in range(30)]
+    monkeypatch.setattr(suffix, "HOT_CONTEXTS", 20)
+    made = []
+    plain = suffix.stage
+    monkeypatch.setattr(suffix, "stage", lambda df, label: made.append((label, plain(df, label))) or made[-1][1])
+    assert run(spark, docs) == brute([(i, t.encode()) for i, t in docs])
+    sizes = [df.count() for label, df in made if label in ("contexts", "longer")]
+    assert len(sizes) > 1 and all(n <= 20 * len(docs) for n in sizes)
