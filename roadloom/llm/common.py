@@ -80,6 +80,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names, made of `names`, that `docs` doesn't have."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name)
+    return tuple(out)
+
+
 def held_out(id_col: Column, modulus: int, rest: int) -> Column:
     """crc32 of the id as text, modulo `modulus`, equals `rest`; a null id is hashed as an empty string."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == rest

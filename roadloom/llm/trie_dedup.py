@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, row_slices, stage, text_view
+from .common import LOWER, fresh, row_slices, stage, text_view
 
 #: Bytes of distinct text that an input task's trie holds before it is emptied.
 TASK_TRIE_BYTES = 48 << 20
@@ -179,10 +179,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs`, with all columns, without the rows that `exact_dedup` drops; a row that repeats another
-    one's id and text is left out too."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    one's id and text is left out too. Null counts as an empty text; a null id is the lowest. An empty table
+    gives an empty one. Columns of `docs` may have any names."""
+    of, by = fresh(docs, "of", "by")
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))  # noqa: E731  plain equality, so that rows are dealt out once
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("text_sha256").alias(of), name(F.col("doc_id")).alias(by))
     upper = "".join(map(chr, range(65, 91)))
     folded = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), upper, upper.lower())
-    marked = docs.withColumn("__of", F.sha2(folded, 256)).withColumn("__by", F.col(id_col).cast("long"))
-    both = marked.join(kept, F.col("__of").eqNullSafe(F.col("__sha")) & F.col("__by").eqNullSafe(F.col("__id")), "left_semi")
-    return both.dropDuplicates(["__of", "__by"]).select(*docs.columns)
+    marked = docs.withColumn(of, F.sha2(folded, 256)).withColumn(by, name(F.col(id_col).cast("long")))
+    return marked.join(kept, [of, by], "left_semi").dropDuplicates([of, by]).select(*docs.columns)

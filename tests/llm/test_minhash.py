@@ -66,6 +66,53 @@ def test_planted(spark, monkeypatch):
     assert run(spark, docs) == want
 
 
+def test_large_group(spark, monkeypatch):
+    """A group of near copies, few of which are linked to any one: what is emitted stays below the classes, not their pairs."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(2000)]
+    base = rng.choices(words, k=60)
+    docs = []
+    for n in range(600):
+        body = list(base)
+        for _ in range(rng.randint(1, 3)):
+            body[rng.randrange(60)] = rng.choice(words)
+        docs.append((n, " ".join(body)))
+    want, made, plain = brute(docs), {}, minhash.stage
+    for block in (2000, 50):
+
+        def counted(df, label):
+            made[label] = plain(df, label)
+            return made[label]
+
+        monkeypatch.setattr(minhash, "stage", counted)
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1 << 20 if block > 50 else 10_000)
+        assert run(spark, docs) == want
+        assert made["star-links"].count() < len(docs)
+        if "across-links" in made:
+            assert made["members"].count() <= len(docs) and made["across-links"].where("a <> b").count() < len(docs) * (1 if block > 50 else 4)
+
+
+def test_links_without_stars(spark, monkeypatch):
+    """Components are whole even if the stars find no link at all."""
+    docs = planted(3, 6, 8)
+    monkeypatch.setattr(minhash, "_star_links", lambda pairs, *rest: pairs.limit(0))
+    assert run(spark, docs) == brute(docs)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 200)
+    assert run(spark, docs) == brute(docs)
+
+
+def test_drop_near_copies(spark):
+    t = "a b c d e f g h"
+    rows = [(1, t, 5, "x", True), (1, t, 5, "x", True), (2, t.upper(), 6, "y", False), (3, None, 7, "z", None), (3, None, 8, "z", None), (4, "", 9, None, None), (None, t, 1, "n", None), (None, None, 2, "m", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of int, by string, kept boolean")
+    got = minhash.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r[0]), r[1]) for r in got.collect()) == [("1", t), ("3", None), ("4", ""), ("None", None)]
+    assert minhash.drop_near_copies(docs.limit(0)).collect() == []
+
+
 def test_tables(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     docs = [(r[0], r[1]) for r in rows]
