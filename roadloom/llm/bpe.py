@@ -1,25 +1,29 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Words are split in the tasks; the distinct words of all documents are counted in Spark, each of the
-frequent ones is encoded once, its ids are joined with the id-to-piece table, and the resulting
-table goes to the tasks, which put ids and pieces back by position. The table has a row bound
-(`hot_words`), so its broadcast does not grow with the data; a word beyond the bound is encoded once
-in each task that meets it, by the same function, so results never depend on the bound.
+  1. Each task splits its texts into words and numbers the distinct ones of a chunk of texts; a text becomes the
+     sequence of its words' numbers, and a distinct word leaves the chunk once.
+  2. Words of all chunks meet by word: each distinct word of the corpus is encoded once, and its ids go back to
+     the chunks that have it, in one row for each chunk and task.
+  3. The numbered texts meet their chunk's ids and put them back by position; the ids are decoded by a join with
+     the id-to-piece table, which is as large as the tokenizer file and is looked up in the task.
+A chunk's distinct words and its length are bounded, so a task holds one dictionary of bounded size; a word that
+all chunks have is one short row for each of them.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import itertools
 import json
 import re
 import unicodedata
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +32,11 @@ from .common import stage
 #: Texts over so many characters are split into words block by block.
 LONG_TEXT = 1 << 18
 BLOCK_WORDS = 1 << 16
-#: Words that a task keeps beyond the broadcast table before it drops the latest half.
+#: Distinct words that a task keeps encoded at once, and those of a chunk of texts; a chunk's words in all.
 TASK_WORDS = 200_000
+CHUNK_REFS = 4 << 20
+#: Rows (word, chunk) whose ids a task gathers before it passes them on by chunk.
+GATHERED = 500_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _BEYOND_LATIN = re.compile(f"[^\x00-\x7f{_LATIN}]")
@@ -63,27 +70,46 @@ def word_blocks(text: str, kind: str) -> Iterator[list[str]]:
         yield block
 
 
+# What the files must say for the patterns and the normalisation here to be theirs.
+_KNOWN = {
+    "word": [
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ],
+    "byte": [None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}],
+}
+
+
 class Tokens:
     """A tokenizer file with what the operators need from it; made once in each Python worker."""
 
-    _made: dict[str, Tokens] = {}
+    _made: dict[tuple[str, str], Tokens] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
-            added = json.load(file)["added_tokens"]
+            content = json.load(file)
+        if [content["normalizer"], content["pre_tokenizer"]] != _KNOWN[kind]:
+            raise ValueError(f"{path} splits or normalises texts otherwise than this operator")
+        added = content["added_tokens"]
         self.special = {t["content"]: t["id"] for t in added}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
 
     @classmethod
-    def of(cls, path: str) -> Tokens:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, kind: str) -> Tokens:
+        if (path, kind) not in cls._made:
+            cls._made[path, kind] = cls(path, kind)
+        return cls._made[path, kind]
 
     def parts(self, text: str) -> list[str]:
         """`text` cut at special tokens: ordinary texts at even places, special tokens at odd ones."""
@@ -121,91 +147,178 @@ class WordTable(dict):
         return value
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tokens, seen = Tokens.of(path), Counter()
+class Numbers(dict):
+    """Word to number; a missing word gets the next one."""
 
-    def out():
-        words, counts = list(seen), list(seen.values())
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+_WIDE = 0xFFFF  # stands before a number that needs two places, of base _WIDE
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers (uint32) in two bytes each, large ones in six."""
+    wide = numbers >= _WIDE
+    if not wide.any():
+        return numbers.astype("<u2").tobytes()
+    at = np.arange(len(numbers)) + 2 * (np.cumsum(wide) - wide)
+    out = np.empty(len(numbers) + 2 * int(wide.sum()), "<u2")
+    out[at] = np.where(wide, _WIDE, numbers)
+    out[at[wide] + 1], out[at[wide] + 2] = numbers[wide] // _WIDE, numbers[wide] % _WIDE
+    return out.tobytes()
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    found = np.frombuffer(body, "<u2").astype(np.int64)
+    at = np.flatnonzero(found == _WIDE)
+    if not len(at):
+        return found
+    found[at] = found[at + 1] * _WIDE + found[at + 2]
+    return np.delete(found, np.concatenate([at + 1, at + 2]))
+
+
+_SPLIT = "chunk long, at long, doc_id long, word string, refs binary"
+_SPLIT_SCHEMA = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("refs", pa.binary())])
+
+
+def _split(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Texts as packed word numbers of their chunk (chunk, at, doc_id, refs), and the chunk's words (chunk, at, word)."""
+    tokens, chunk, numbers, texts, refs = Tokens.of(path, "word"), TaskContext.get().partitionId() << 32, Numbers(), 0, 0
+
+    def out(at, ids, words, bodies):
+        n = len(at)
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(ids or [None] * n, pa.int64()), pa.array(words or [None] * n, pa.string()), pa.array(bodies or [None] * n, pa.binary())], schema=_SPLIT_SCHEMA)
+
+    def close():
+        words = list(numbers)
         for lo in range(0, len(words), 16384):
-            yield pa.RecordBatch.from_arrays([pa.array(words[lo : lo + 16384], pa.string()), pa.array(counts[lo : lo + 16384], pa.int64())], names=["word", "n"])
+            part = words[lo : lo + 16384]
+            yield out(range(lo, lo + len(part)), None, part, None)
 
     for batch in batches:
-        for text in batch.column(0):
-            for part in tokens.parts(text.as_py() or "")[::2]:
-                for block in word_blocks(normalise(part), "word"):
-                    seen.update(block)
-            if len(seen) > TASK_WORDS:
-                yield from out()
-                seen = Counter()
-    yield from out()
+        at, ids, bodies = [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = array("I")
+            for k, part in enumerate(tokens.parts(text.as_py() or "")):
+                for block in [[part]] if k % 2 else word_blocks(normalise(part), "word"):
+                    own.extend(map(numbers.__getitem__, block))
+            at.append(texts)
+            ids.append(doc_id)
+            bodies.append(packed(np.frombuffer(own, np.uint32)))
+            texts, refs = texts + 1, refs + len(own)
+            if len(numbers) > TASK_WORDS or refs > CHUNK_REFS:
+                yield out(at, ids, None, bodies)
+                yield from close()
+                chunk, numbers, texts, refs, at, ids, bodies = chunk + 1, Numbers(), 0, 0, [], [], []
+        if at:
+            yield out(at, ids, None, bodies)
+    yield from close()
+
+
+_IDS = "chunk long, at binary, sizes binary, ids binary"
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tokens = Tokens.of(path)
-    for batch in batches:
-        words = batch.column(0)
-        ids = [e.ids for e in tokens.tokenizer.encode_batch(words.to_pylist(), add_special_tokens=False)]
-        yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+    """Rows (word, chunk, at) sorted by word: each word's ids, made once, gathered by chunk."""
+    tokens = Tokens.of(path, "word")
+    ids, chunks, ats, which, last, gathered = [], [], [], [], None, 0
 
+    def out():
+        chunk, at, word = np.concatenate(chunks), np.concatenate(ats), np.concatenate(which)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        flat = np.array(list(itertools.chain.from_iterable(ids)), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(chunk, kind="stable")
+        cuts = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+        for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
+            mine = order[lo:hi]
+            n = sizes[word[mine]]
+            place = np.repeat(starts[word[mine]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            row = [[int(chunk[mine[0]])], [at[mine].astype("<u4").tobytes()], [n.astype("<u4").tobytes()], [flat[place].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, [pa.int64()] + [pa.binary()] * 3)], names=["chunk", "at", "sizes", "ids"])
 
-def piece_table(spark, path: str) -> DataFrame:
-    """id, piece of every token; as many rows as the tokenizer file has."""
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        new = [i for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
+        base = len(ids)
+        ids += [e.ids for e in tokens.tokenizer.encode_batch([words[i] for i in new], add_special_tokens=False)]
+        mark = np.zeros(len(words), np.int64)
+        mark[new] = 1
+        which.append(base - 1 + np.cumsum(mark))
+        chunks.append(batch.column(1).to_numpy())
+        ats.append(batch.column(2).to_numpy())
+        last, gathered = words[-1] if words else last, gathered + len(words)
+        if gathered >= GATHERED:
+            yield from out()
+            ids, chunks, ats, which, gathered = ids[-1:], [], [], [], 0
+    if gathered:
+        yield from out()
+
+
+def pieces_of(path: str) -> list[str]:
+    """The id-to-piece table of a tokenizer file, by id."""
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
     pieces = {v: k for k, v in content["model"]["vocab"].items()} | {t["id"]: t["content"] for t in content["added_tokens"]}
-    return spark.createDataFrame(sorted(pieces.items()), "id int, piece string")
-
-
-def word_table(docs: DataFrame, path: str, text_col: str, hot_words: int) -> DataFrame:
-    """word, ids, pieces of the `hot_words` most frequent distinct words (ties: smaller word)."""
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(lambda b: _distinct(b, path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    hot = counted.orderBy(F.desc("n"), "word").limit(hot_words).select("word")
-    encoded = stage(hot.repartition(16, "word").mapInArrow(lambda b: _encode_words(b, path), "word string, ids array<int>"), "words")
-    pieces = F.broadcast(piece_table(docs.sparkSession, path))  # as large as the tokenizer file, whatever the data
-    spelled = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(pieces, "id")
-    spelled = spelled.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("spelled"))
-    return encoded.join(spelled, "word").select("word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.array_join(F.col("spelled.piece"), " ").alias("pieces"))
-
-
-def _apply(batches: Iterator[pa.RecordBatch], path: str, hot) -> Iterator[pa.RecordBatch]:
-    tokens = Tokens.of(path)
-    piece = tokens.tokenizer.id_to_token
-    words, ids, pieces = hot.value
-    to_ids = WordTable(dict(zip(words, ids)), lambda w: " ".join(map(str, tokens.ids(w))))
-    to_pieces = WordTable(dict(zip(words, pieces)), lambda w: " ".join(piece(i) for i in tokens.ids(w)))
+    return [pieces.get(i, "") for i in range(max(pieces) + 1)]
+
+
+def _join_back(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, text or not, doc_id, refs, at, sizes, ids) sorted with a chunk's ids before its texts."""
+    piece, current = pieces_of(path), None
     for batch in batches:
         rows = []
-        for text in batch.column(1):
-            id_hash, text_hash, count, gap = hashlib.sha256(), hashlib.sha256(), 0, ""
-            for at, part in enumerate(tokens.parts(text.as_py() or "")):
-                blocks = [[part]] if at % 2 else word_blocks(normalise(part), "word")
-                for block in blocks:
-                    if not block:
-                        continue
-                    if at % 2:
-                        i, p = str(tokens.special[part]), part
-                    else:
-                        i, p = " ".join(map(to_ids.__getitem__, block)), " ".join(map(to_pieces.__getitem__, block))
-                    count += i.count(" ") + 1
-                    id_hash.update((gap + i).encode())
-                    text_hash.update((gap + p).encode())
-                    gap = " "
-            rows.append((count, id_hash.hexdigest(), text_hash.hexdigest()))
-        n, a, b = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 150_000) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
+        for chunk, text, doc_id, refs, at, sizes, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            if chunk != current:
+                current, parts, starts = chunk, [], None
+            if not text:
+                parts.append((np.frombuffer(at, "<u4"), np.frombuffer(sizes, "<u4"), np.frombuffer(ids, "<u4")))
+                continue
+            if starts is None:
+                places = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]).astype(np.int64)
+                n = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)]).astype(np.int64)
+                flat = np.concatenate([np.zeros(0, "<u4"), *(p[2] for p in parts)])
+                parts, starts, counts = [], np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+                starts[places], counts[places] = np.cumsum(n) - n, n
+                joined = flat.tolist()
+                spelled = [" ".join([piece[i] for i in joined[a : a + k]]) for a, k in zip(starts.tolist(), counts.tolist())]
+            words = unpacked(refs)
+            n = counts[words]
+            found = flat[np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            rows.append((doc_id, found.astype(np.int32), " ".join([spelled[w] for w in words.tolist()])))
+        for lo in range(0, len(rows), 64):
+            doc_ids, arrays, texts = zip(*rows[lo : lo + 64])
+            offsets = np.cumsum([0, *(len(x) for x in arrays)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays))), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
+            )
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, ids, decoded (the text that the ids decode to).
 
     Same ids as the tokenizer gives for the whole text without added special tokens (special tokens'
     strings in a text count as such). Null and empty texts, and those of white space only, have no
-    tokens and the digest of the empty string. Repeated rows are encoded each; an empty table gives
-    no rows. Other columns of `docs` are not read.
+    ids and decode to the empty string. Repeated rows are encoded each; an empty table gives
+    no rows. Other columns of `docs` are not read. A file that splits or normalises texts otherwise
+    than the patterns here is refused.
     """
-    spark = docs.sparkSession
-    table = word_table(docs, path, text_col, hot_words).toPandas()  # at most hot_words rows
-    hot = spark.sparkContext.broadcast((table["word"].tolist(), table["ids"].tolist(), table["pieces"].tolist()))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        lambda b: _apply(b, path, hot), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    Tokens.of(path, "word")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    split = stage(source.mapInArrow(lambda b: _split(b, path), _SPLIT), "split")
+    met = split.where("word is not null").select("word", "chunk", "at").repartition("word").sortWithinPartitions("word")
+    encoded = met.mapInArrow(lambda b: _encode_words(b, path), _IDS)
+    none = lambda kind: F.lit(None).cast(kind)
+    words = encoded.select("chunk", F.lit(False).alias("text"), none("long").alias("doc_id"), none("binary").alias("refs"), "at", "sizes", "ids")
+    texts = split.where("refs is not null").select("chunk", F.lit(True).alias("text"), "doc_id", "refs", none("binary").alias("at"), none("binary").alias("sizes"), none("binary").alias("ids"))
+    dealt = words.union(texts).repartition("chunk").sortWithinPartitions("chunk", "text")
+    return dealt.mapInArrow(lambda b: _join_back(b, path), "doc_id long, ids array<int>, decoded string")
+
+
+def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document of `encode`: doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by one
+    space), decoded_sha256."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encode(docs, path, id_col, text_col).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -110,7 +110,7 @@ def plan(histogram: dict[int, int], capacity: Capacity) -> np.ndarray:
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, most: int) -> Iterator[pa.RecordBatch]:
     assert sys.byteorder == "little"
-    tokens = Tokens.of(path)
+    tokens = Tokens.of(path, "byte")
     table = WordTable({}, lambda w: array("I", tokens.single(w.encode())).tobytes())
     chunk, ranks, rows = TaskContext.get().partitionId(), Counter(), []
     end = bytes(4)

@@ -88,18 +88,59 @@ def test_fingerprints_of_table(spark):
         assert got[i]["fingerprint"] == fingerprint.digest(fingerprint.canonical(t)) and got[i]["edited_fingerprint"] == fingerprint.digest(fingerprint.canonical(e))
 
 
-@pytest.mark.parametrize("hot,task", [(150_000, 200_000), (5, 7)])
-def test_bpe(odd, none, spark, monkeypatch, hot, task):
+def encoded(path):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(bpe, "TASK_WORDS", task)
-    path = queries.tokenizer_path("word_bpe_49k.json")
     t, want = Tokenizer.from_file(path), []
     for r in odd_docs():
         e = t.encode(r[1] or "", add_special_tokens=False).ids
-        want.append((str(r[0]), len(e), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(t.decode(e, skip_special_tokens=False).encode()).hexdigest()))
-    assert sorted((str(r[0]), *r[1:]) for r in bpe.encode_digest(odd, path, hot_words=hot).collect()) == sorted(want)
+        want.append((str(r[0]), e, t.decode(e, skip_special_tokens=False)))
+    return want
+
+
+def test_bpe(odd, none, spark):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert sorted((str(r[0]), r[1], r[2]) for r in bpe.encode(odd, path).collect()) == sorted(encoded(path))
+    want = [(i, len(e), sha(" ".join(map(str, e))), sha(d)) for i, e, d in encoded(path)]
+    assert sorted((str(r[0]), *r[1:]) for r in bpe.encode_digest(odd, path).collect()) == sorted(want)
     assert bpe.encode_digest(none, path).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode(odd, queries.tokenizer_path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("words,refs,gathered", [(3, 1 << 20, 4), (200_000, 10, 1), (200_000, 1 << 20, 500_000)])
+def test_bpe_chunks(monkeypatch, words, refs, gathered):
+    """The steps one by one, with chunks and gathered rows of any size."""
+    import pyarrow as pa
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)
+
+    for name, value in (("TASK_WORDS", words), ("CHUNK_REFS", refs), ("GATHERED", gathered), ("TaskContext", Task)):
+        monkeypatch.setattr(bpe, name, value)
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    docs = [(r[0], r[1]) for r in odd_docs()]
+    source = [pa.RecordBatch.from_pydict({"doc_id": pa.array([d[0] for d in docs[lo : lo + 3]], pa.int64()), "text": pa.array([d[1] for d in docs[lo : lo + 3]], pa.string())}) for lo in range(0, len(docs), 3)]
+    rows = [r for b in bpe._split(iter(source), path) for r in b.to_pylist()]
+    met = sorted((r["word"], r["chunk"], r["at"]) for r in rows if r["word"] is not None)
+    assert len(set(met)) == len(met)
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("word", "chunk", "at"), map(list, zip(*met[lo : lo + 5]))))) for lo in range(0, len(met), 5)]
+    back = [(r["chunk"], False, None, None, r["at"], r["sizes"], r["ids"]) for b in bpe._encode_words(iter(batches), path) for r in b.to_pylist()]
+    back += [(r["chunk"], True, r["doc_id"], r["refs"], None, None, None) for r in rows if r["refs"] is not None]
+    back.sort(key=lambda r: r[:2])
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    joined = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*back[lo : lo + 4]), types)], names=list("abcdefg")) for lo in range(0, len(back), 4)]
+    got = [(str(r["doc_id"]), r["ids"], r["decoded"]) for b in bpe._join_back(iter(joined), path) for r in b.to_pylist()]
+    assert sorted(got) == sorted(encoded(path))
+
+
+def test_bpe_numbers():
+    import numpy as np
+
+    for numbers in ([], [0, 5], [0xFFFE, 0xFFFF, 0x10000, 3, 4_000_000, 0xFFFF * 7]):
+        assert bpe.unpacked(bpe.packed(np.array(numbers, np.uint32))).tolist() == numbers
 
 
 def check_packing(rows, texts, path, most=2048):
