@@ -208,11 +208,52 @@ def test_language(odd, none, spark):
     assert langid.identify(none).count() == 0
 
 
-def test_code_lengths():
-    grams = np.array([0x202061, 0x206162, 0x616263])
-    table = langid.code_table(grams, np.array([4.0, 2.0, 1.0])).reshape(1 << 16, 256)
-    p = np.exp2(-table[0x2061].astype(float) / langid.UNIT)
-    assert abs(p[0x62] - 2 / 3) < 0.03 and 0.2 < p.sum() < 1.2
+def plain_ppm(learnt, text):
+    """Bits of `text` (bytes) after the texts `learnt`, byte by byte."""
+    fold = lambda s: bytes(c + 32 if 65 <= c <= 90 else c for c in s)
+    counts = [{} for _ in range(langid.ORDER + 1)]
+    for s in learnt:
+        s = b" " * langid.ORDER + fold(s)
+        for i in range(langid.ORDER, len(s)):
+            for k in range(langid.ORDER + 1):
+                seen = counts[k].setdefault(s[i - k : i], {})
+                seen[s[i]] = seen.get(s[i], 0) + 1
+    s, bits = b" " * langid.ORDER + fold(text), 0.0
+    for i in range(langid.ORDER, len(s)):
+        for k in range(langid.ORDER, -1, -1):
+            seen = counts[k].get(s[i - k : i])
+            if not seen or (k > 1 and sum(seen.values()) < 2):
+                continue
+            total, kinds = sum(seen.values()), len(seen)
+            if s[i] in seen:
+                bits -= np.log2(seen[s[i]] / (total + kinds))
+                break
+            bits -= np.log2(kinds / (total + kinds))
+        else:
+            bits += 8
+    return bits
+
+
+def test_language_against_plain_ppm():
+    learnt = {"en": [b"the cat sat on the mat, The Hat", b"a theme", b""], "de": ["die Katze saß auf der Matte".encode(), b"der Hut"], "xx": [b"q"]}
+    texts = [b"the hat", "die Maße".encode(), b"", b"zzz", b"Q", b"a", b"the cat sat on the mat" * 9]
+    trees = []
+    for own in learnt.values():
+        data, offsets = np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
+        trees.append(langid.Tree(*(x.astype(float) if k else x.astype(np.int64) for k, x in enumerate(np.unique(langid.contexts(data, offsets), return_counts=True)))))
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    best, score = langid.score_texts(trees, data, offsets)
+    for i, text in enumerate(texts):
+        bits = np.array([plain_ppm(own, text) for own in learnt.values()])
+        mean = bits / max(len(text), 1)
+        assert best[i] == bits.argmin() and abs(score[i] - 2 ** -mean.min() / (2**-mean).sum()) < 1e-9
+
+
+def test_language_score_tells(spark):
+    """The score isn't the same for all texts, and wrong predictions have low ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scores = [r["score"] for r in langid.identify(docs).collect()]
+    assert 0.25 < np.percentile(scores, 5) < np.percentile(scores, 95) < 1 and len(set(scores)) > len(scores) / 4
 
 
 @pytest.mark.parametrize("name,f,column,modulus,rest", [("toxicity", toxicity.toxicity, "toxic", 3, 1), ("quality", quality.quality, "quality", 5, 0)])
