@@ -1,32 +1,42 @@
 """Format-preserving pseudonyms for personal data, in Spark SQL expressions only.
 
-Values are found by one pattern, validated (Luhn sum, octets, calendar, number plan) and permuted within
-their format by a keyed Feistel network, so that equal values get equal pseudonyms in every document and
-different ones different pseudonyms:
-  numbers   decimal halves, ten rounds of modular addition (cards: all but the check digit, which is made anew)
+Values are found by one pattern in one pass, validated (Luhn sum, octets, calendar, number plan) and permuted
+within their format by a keyed Feistel network, so that equal values get equal pseudonyms in every document and
+different ones different pseudonyms. Each network permutes the valid values of its kind among themselves, so no
+pseudonym meets a value that is left alone:
+  cards     decimal halves of all but the check digit, ten rounds of modular addition; the check digit is made anew
+  phones    likewise, all digits but those of the country code, in whatever way the number is written
   addresses two halves of 16 bits
   dates     the day within its 400 years: 146,097 = 189 x 773 days, a network over these two radices
-Names before @ and secrets have no numeric format; they get a keyed digest of the same alphabet and length.
+  social security numbers  898 areas x (99 groups x 9,999 serials), likewise
+Names before @ and secrets have no numeric format; they get a keyed digest, of 64 bits at least for names.
 The round function is the SHA-256 of key, kind, round and half. Expressions run in the JVM, on matches only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 10
+#: The setting that holds the key.
+KEY_SETTING = "spark.roadloom.pii.secret"
+_drawn: dict[str, str] = {}
 
 _PARTS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++",
     "secret": r"(?=[AaPpSsTt])(?i:token|secret|password|passwd|api_key|apikey|access_key)[ \t]*+[:=][ \t]*+[\"']?[A-Za-z0-9_/+=.-]{8,}+",
     "address": r"(?<![0-9.])(?:[0-9]{1,3}[.]){3}[0-9]{1,3}(?![0-9]|[.][0-9])",
     "date": r"(?<![0-9-])[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}(?![0-9-])|(?<![0-9./])[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?![0-9])",
-    "phone": r"[+][0-9]{1,3}[ -]?[(]?[0-9]{2,4}[)]?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])|(?<![0-9])[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}(?![0-9])",
+    "phone": r"[+][0-9]{1,3}[ -]?[(]?[0-9]{2,4}[)]?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])|(?<![0-9])[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 # a whole run of groups of digits, up to a group that starts another value; two groups of 13 digits are two runs
-_OTHER = "|".join([*(_PARTS[k] for k in ("email", "address", "date", "ssn")), r"(?<=[0-9]{13}[ -])[0-9]{13}"])
+_OTHER = "|".join([*(_PARTS[k] for k in ("email", "address", "date", "ssn")), r"(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])", r"(?<=[0-9]{13}[ -])[0-9]{13}"])
 _PARTS["card"] = rf"(?<![0-9])[0-9](?:(?:[ -](?!{_OTHER}))?[0-9]){{12,}}+(?![0-9])"
 PATTERN = "|".join(_PARTS.values())
 
@@ -93,12 +103,33 @@ def _card(key: str) -> str:
     return _let(_DIGITS, "d", f"if({valid}, {_let(anew, 'w', _refill('m', 'w'))}, if(m rlike '[ -]', {parts}, m))")
 
 
-def _number(key: str, kind: str) -> str:
-    """Digits permuted in place; of a telephone number with a country code the code stays."""
-    if kind == "phone":
-        code = _let("if(m like '+%', regexp_extract(m, '^[+][0-9]{1,3}(?=[ (-])', 0), '')", "h", _let("substr(m, length(h) + 1)", "r", _let(permuted_digits("regexp_replace(r, '[^0-9]', '')", key, kind), "w", f"concat(h, {_refill('r', 'w')})")))
-        return code
-    return _let(permuted_digits(_DIGITS, key, kind), "w", _refill("m", "w"))
+#: Country codes of one and two digits (fixed values of the public numbering plan); all others have three.
+_CODES = "^([17]|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+
+
+def _phone(key: str) -> str:
+    """All digits permuted but those of the country code, which is told by its digits, not by the way of writing."""
+    code = f"if(m like '+%', coalesce(nullif(length(regexp_extract(d, '{_CODES}', 1)), 0), 3), 0)"
+    anew = f"concat(substr(d, 1, c), {_let('substr(d, c + 1)', 'r', permuted_digits('r', key, 'phone'))})"
+    return _let(_DIGITS, "d", _let(code, "c", _let(anew, "w", _refill("m", "w"))))
+
+
+def _two_radices(key: str, kind: str, a: str, b: str, first: int, second: int, finish: str) -> str:
+    """SQL: `finish` with s.a and s.b for the numbers a and b, permuted among first x second pairs."""
+    step = (
+        f"if(i % 2 = 0, named_struct('a', pmod(s.a + {_round(key, kind, 'i', 's.b')}, {first}), 'b', s.b), "
+        f"named_struct('a', s.a, 'b', pmod(s.b + {_round(key, kind, 'i', 's.a')}, {second})))"
+    )
+    return f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('a', cast({a} as bigint), 'b', cast({b} as bigint)), (s, i) -> {step}, s -> {finish})"
+
+
+def _ssn(key: str) -> str:
+    """Areas 001 to 899 without 666, groups and serials without zero; other numbers are left alone."""
+    pad = lambda n, k: f"lpad(cast({n} as string), {k}, '0')"
+    area = "if(s.a < 665, s.a + 1, s.a + 2)"
+    finish = f"concat({pad(area, 3)}, '-', {pad('s.b div 9999 + 1', 2)}, '-', {pad('s.b % 9999 + 1', 4)})"
+    body = _two_radices(key, "ssn", "if(n[0] < 666, n[0] - 1, n[0] - 2)", "(n[1] - 1) * 9999 + n[2] - 1", 898, 99 * 9999, finish)
+    return _let("transform(split(m, '-'), x -> cast(x as int))", "n", f"if(n[0] in (0, 666) or n[0] > 899 or n[1] = 0 or n[2] = 0, m, {body})")
 
 
 def _address(key: str) -> str:
@@ -114,12 +145,8 @@ def _date(key: str) -> str:
     """Year first, or day (else month) first with the year last; other dates are left alone."""
     leap = "((y % 4 = 0 and y % 100 <> 0) or y % 400 = 0)"
     valid = f"y >= 1 and mo between 1 and 12 and da between 1 and element_at(array(31, if({leap}, 29, 28), 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), greatest(1, least(12, mo)))"
-    step = (
-        f"if(i % 2 = 0, named_struct('a', pmod(s.a + {_round(key, 'date', 'i', 's.b')}, 189), 'b', s.b), "
-        f"named_struct('a', s.a, 'b', pmod(s.b + {_round(key, 'date', 'i', 's.a')}, 773)))"
-    )
-    day = f"datediff(make_date(y, mo, da), make_date(e, 1, 1))"
-    moved = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('a', cast({day} div 773 as bigint), 'b', cast({day} % 773 as bigint)), (s, i) -> {step}, s -> date_add(make_date(e, 1, 1), cast(s.a * 773 + s.b as int)))"
+    day = "datediff(make_date(y, mo, da), make_date(e, 1, 1))"
+    moved = _two_radices(key, "date", f"{day} div 773", f"{day} % 773", 189, 773, "date_add(make_date(e, 1, 1), cast(s.a * 773 + s.b as int))")
     era = "if(y < 200, 1, 200 + 400 * ((y - 200) div 400))"  # 200, 600, ... 1800: 400 years each
 
     def using(year: str, month: str, dayno: str, shape: str, otherwise: str) -> str:
@@ -146,7 +173,7 @@ def _keyed(key: str, kind: str, value: str) -> str:
 
 def _value(key: str) -> str:
     """SQL: the pseudonym of the match m."""
-    email = f"concat(substr(sha2(concat_ws('|', {_quote(key)}, 'email', lower(m)), 256), 1, least(64, greatest(8, instr(m, '@') - 1))), substr(m, instr(m, '@')))"
+    email = f"concat(substr(sha2(concat_ws('|', {_quote(key)}, 'email', lower(m)), 256), 1, least(64, greatest(16, instr(m, '@') - 1))), substr(m, instr(m, '@')))"
     head = "regexp_extract(m, '^[A-Za-z_]+[ \\\\t]*[:=][ \\\\t]*[\"\\']?', 0)"
     secret = _let(head, "h", _let("substr(m, length(h) + 1)", "r", f"concat(h, {_keyed(key, 'secret', 'r')})"))
     return (
@@ -154,29 +181,43 @@ def _value(key: str) -> str:
         f"when m rlike '^[A-Za-z]' then {secret} "
         f"when m rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then {_address(key)} "
         f"when m rlike '^([0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}|[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}})$' then {_date(key)} "
-        f"when m rlike '^[+(]' then {_number(key, 'phone')} "
-        f"when m rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if(m rlike '^(000|666|9)', m, {_number(key, 'ssn')}) "
+        f"when m rlike '^[+(]|^[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}$' then {_phone(key)} "
+        f"when m rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {_ssn(key)} "
         f"else {_card(key)} end"
     )
 
 
-def pseudonymised(text: str, key: str) -> str:
-    """SQL: the text with every value replaced."""
+#: Stands around the matches in a marked text; texts that have it themselves are cut by the pattern twice.
+_MARK = "\x01"
+
+
+def parts(text: str) -> str:
+    """SQL: the text cut into ordinary stretches, at even places, and matches at odd ones."""
     p = _quote(PATTERN)
-    found = f"concat(transform(regexp_extract_all({text}, {p}, 0), m -> {_value(key)}), array(''))"
-    return f"array_join(zip_with(split({text}, {p}, -1), {found}, (x, y) -> concat(x, y)), '')"
+    between = f"concat(transform(regexp_extract_all({text}, {p}, 0), m -> array(m)), array(cast(array() as array<string>)))"
+    twice = f"flatten(zip_with(split({text}, {p}, -1), {between}, (x, y) -> concat(array(x), y)))"
+    return f"if(contains({text}, '{_MARK}'), {twice}, split(regexp_replace({text}, {p}, '{_MARK}$0{_MARK}'), '{_MARK}', -1))"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's setting; without one each application draws its own, and pseudonyms of
+    different applications aren't linked."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
-def pseudonymise(docs: DataFrame, key: str = "change-this-key", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """`docs` with the text's values replaced; all other columns and rows are as they were.
 
-    count_col: the name of a column for the number of values found, if wanted. Null texts stay null,
+    count_col: the name of a new column for the number of values found, if wanted. Null texts stay null,
     empty ones empty. Invalid numbers, addresses and dates are left alone. Rows are independent, so
-    repeated rows and ties have no special case; an empty table gives an empty one.
+    repeated rows and ties have no special case; an empty table gives an empty one. Columns of `docs` may
+    have any names, but for count_col.
     """
-    p = F.lit(PATTERN)
-    text = F.col(f"`{text_col}`")
-    out = docs
+    if count_col and count_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {count_col} already")
+    (cut,) = fresh(docs, "parts")
+    out = docs.withColumn(cut, F.expr(parts(f"`{text_col}`")))
+    out = out.withColumn(text_col, F.expr(f"array_join(transform(`{cut}`, (m, at) -> if(at % 2 = 1, {_value(key)}, m)), '')"))
     if count_col:
-        out = out.withColumn(count_col, F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, p)).cast("long"))
-    return out.withColumn(text_col, F.when(text.rlike(PATTERN), F.expr(pseudonymised(f"`{text_col}`", key))).otherwise(text))
+        out = out.withColumn(count_col, F.coalesce((F.size(cut) - 1) / 2, F.lit(0)).cast("long") * F.when(F.col(text_col).isNull(), 0).otherwise(1))
+    return out.drop(cut)

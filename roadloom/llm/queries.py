@@ -22,7 +22,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, count_col="n_values")
+    return pii.pseudonymise(docs, pii.session_key(spark), count_col="n_values")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def one(m):
     only = re.sub("[^0-9]", "", m)
     if "@" in m:
         k = m.index("@")
-        return hashlib.sha256(f"{KEY}|email|{m.lower()}".encode()).hexdigest()[: min(64, max(8, k))] + m[k:]
+        return hashlib.sha256(f"{KEY}|email|{m.lower()}".encode()).hexdigest()[: min(64, max(16, k))] + m[k:]
     if re.match("[a-z]", m):
         h = re.match(r"[a-z_]+[ \t]*[:=][ \t]*[\"']?", m)[0]
         r = m[len(h) :]
@@ -64,12 +64,23 @@ def one(m):
                     b = (b + number("date", i, a)) % 773
             return (e + datetime.timedelta(a * 773 + b)).strftime(fmt)
         return m
-    if m[0] in "+(":
-        h = (re.match(r"[+]\d{1,3}(?=[ (-])", m) or [""])[0]
-        r = m[len(h) :]
-        return h + refill(r, digits(re.sub("[^0-9]", "", r), "phone"))
+    if m[0] in "+(" or re.fullmatch(r"\d{3}-\d{3}-\d{4}", m):
+        c = 0
+        if m[0] == "+":
+            two = {*"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+            c = 1 if only[0] in "17" else 2 if only[:2] in two else 3
+        return refill(m, only[:c] + digits(only[c:], "phone"))
     if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
-        return m if re.match("000|666|9", m) else refill(m, digits(only, "ssn"))
+        x, y, z = map(int, m.split("-"))
+        if x in (0, 666) or x > 899 or not y or not z:
+            return m
+        a, b = x - 1 - (x > 666), (y - 1) * 9999 + z - 1
+        for i in range(pii.ROUNDS):
+            if i % 2 == 0:
+                a = (a + number("ssn", i, b)) % 898
+            else:
+                b = (b + number("ssn", i, a)) % (99 * 9999)
+        return f"{a + 1 + (a >= 665):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
     if luhn(only) % 10:
         return m
     q = digits(only[:-1], "card")
@@ -86,6 +97,8 @@ TEXTS = [
     "hosts 97.51.17.173 256.1.1.1 1.2.3.4.5 10.0.0.1.",
     "born 1984-02-29, 31.12.1999, 12/31/1999, 2023-02-30, 29.02.2023, ssn 123-45-6789 000-12-3456",
     "4111111111111111",
+    "with \x01 marks 10.0.0.1\x01 and 10.0.0.2",
+    "numbers 212-555-0199, +44 20 7946 0958, +442079460958 and 666-12-3456, 123-00-6789, 123-45-0000",
     "é" * 3000 + " 4111111111111111 " + "x@y " * 2000,
 ]
 
@@ -100,7 +113,7 @@ def test_against_plain(spark):
     assert [r["text"] for r in got] == want
     assert [r["found"] for r in got][:5] == [0, 0, 0, 2, 5]
     assert "4929348385146306" not in got[4]["text"] and "4929348385146307" in got[4]["text"]
-    assert pii.pseudonymise(spark.createDataFrame([], "text string")).count() == 0
+    assert pii.pseudonymise(spark.createDataFrame([], "text string"), KEY).count() == 0
 
 
 def test_permutation(spark):
@@ -110,6 +123,44 @@ def test_permutation(spark):
     assert pii.pseudonymise(days, KEY).distinct().count() == 146_097
 
 
+def test_numbers_stay_apart(spark):
+    """Social security numbers: valid ones go to valid ones, one to one; others stay, so none of both ever meet."""
+    text = F.format_string("%03d-%02d-%04d", (F.col("id") * 7919 % 1000).cast("int"), (F.col("id") * 31 % 100).cast("int"), (F.col("id") % 10_000).cast("int"))
+    valid = F.col("was").rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
+    numbers = spark.range(60_000).select(text.alias("text")).distinct().withColumn("was", F.col("text"))
+    out = pii.pseudonymise(numbers, KEY).select("text", "was", valid.alias("ok")).cache()
+    assert out.select("text").distinct().count() == out.count()
+    assert out.where("not ok and text <> was").count() == 0 and out.where("ok and text rlike '^(000|666|9)|-00-|-0000$'").count() == 0
+    assert out.where("ok and text = was").count() < 3
+
+
+def test_phones_stay_linked(spark):
+    """The same number in several ways of writing, with or without its country code."""
+    ways = ["+1 (017) 555-7713", "+10175557713", "+1-017-555-7713", "(017) 555-7713", "017-555-7713"]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(ways)), "n int, text string"), KEY).orderBy("n").collect()]
+    assert len({re.sub("[^0-9]", "", g)[-10:] for g in got}) == 1 and all(g != w for g, w in zip(got, ways))
+    assert [re.sub("[0-9]", "0", g) for g in got] == [re.sub("[0-9]", "0", w) for w in ways] and all(g.startswith("+1") for g in got[:3])
+
+
+def test_names_stay_apart(spark):
+    names = spark.range(200_000).select(F.format_string("n%d@mail.example.com", "id").alias("text"))
+    assert pii.pseudonymise(names, KEY).distinct().count() == 200_000
+
+
+def test_key_and_columns(spark):
+    import pytest
+
+    docs = spark.createDataFrame([("10.0.0.1", 1, "x"), (None, None, None)], "text string, parts int, _parts string")
+    out = pii.pseudonymise(docs, KEY, count_col="found")
+    assert out.columns == [*docs.columns, "found"] and sorted((r["found"], r["parts"]) for r in out.collect()) == [(0, None), (1, 1)]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, KEY, count_col="parts")
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 64
+    spark.conf.set(pii.KEY_SETTING, "abc")
+    assert pii.session_key(spark) == "abc"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     import regex
