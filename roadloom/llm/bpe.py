@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +33,10 @@ from .common import stage
 #: Texts over so many characters are split into words block by block.
 LONG_TEXT = 1 << 18
 BLOCK_WORDS = 1 << 16
-#: Distinct words that a task keeps encoded at once, and those of a chunk of texts; a chunk's words in all.
+#: Words that a task keeps encoded at once (packing).
 TASK_WORDS = 200_000
-CHUNK_REFS = 4 << 20
+#: Distinct words of a chunk of texts, and its words in all; words of the texts that travel in one row.
+CHUNK_WORDS, CHUNK_REFS, ROW_REFS = 500_000, 8 << 20, 1 << 17
 #: Rows (word, chunk) whose ids a task gathers before it passes them on by chunk.
 GATHERED = 500_000
 
@@ -155,65 +157,57 @@ class Numbers(dict):
         return number
 
 
-_WIDE = 0xFFFF  # stands before a number that needs two places, of base _WIDE
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, by planes of bytes: most have small high bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Numbers (uint32) in two bytes each, large ones in six."""
-    wide = numbers >= _WIDE
-    if not wide.any():
-        return numbers.astype("<u2").tobytes()
-    at = np.arange(len(numbers)) + 2 * (np.cumsum(wide) - wide)
-    out = np.empty(len(numbers) + 2 * int(wide.sum()), "<u2")
-    out[at] = np.where(wide, _WIDE, numbers)
-    out[at[wide] + 1], out[at[wide] + 2] = numbers[wide] // _WIDE, numbers[wide] % _WIDE
-    return out.tobytes()
+def expanded(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(4, -1).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
 
 
-def unpacked(body: bytes) -> np.ndarray:
-    found = np.frombuffer(body, "<u2").astype(np.int64)
-    at = np.flatnonzero(found == _WIDE)
-    if not len(at):
-        return found
-    found[at] = found[at + 1] * _WIDE + found[at + 2]
-    return np.delete(found, np.concatenate([at + 1, at + 2]))
-
-
-_SPLIT = "chunk long, at long, doc_id long, word string, refs binary"
-_SPLIT_SCHEMA = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("refs", pa.binary())])
+_SPLIT = "chunk long, at long, word string, ids array<long>, sizes array<long>, refs binary"
+_LONGS = pa.list_(pa.int64())
+_SPLIT_SCHEMA = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("word", pa.string()), ("ids", _LONGS), ("sizes", _LONGS), ("refs", pa.binary())])
 
 
 def _split(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Texts as packed word numbers of their chunk (chunk, at, doc_id, refs), and the chunk's words (chunk, at, word)."""
-    tokens, chunk, numbers, texts, refs = Tokens.of(path, "word"), TaskContext.get().partitionId() << 32, Numbers(), 0, 0
+    """Rows of several texts as word numbers of their chunk (chunk, ids, sizes, refs), and the chunk's words
+    (chunk, at, word)."""
+    tokens, chunk, numbers, refs = Tokens.of(path, "word"), TaskContext.get().partitionId() << 32, Numbers(), 0
+    ids, sizes, own = [], [], array("I")
 
-    def out(at, ids, words, bodies):
-        n = len(at)
-        return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(ids or [None] * n, pa.int64()), pa.array(words or [None] * n, pa.string()), pa.array(bodies or [None] * n, pa.binary())], schema=_SPLIT_SCHEMA)
+    def out(n, **columns):
+        columns["chunk"] = [chunk] * n
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SPLIT_SCHEMA], schema=_SPLIT_SCHEMA)
 
     def close():
         words = list(numbers)
         for lo in range(0, len(words), 16384):
             part = words[lo : lo + 16384]
-            yield out(range(lo, lo + len(part)), None, part, None)
+            yield out(len(part), at=range(lo, lo + len(part)), word=part)
+
+    def texts():
+        return out(1, ids=[ids], sizes=[sizes], refs=[squeezed(np.frombuffer(own, np.uint32))])
 
     for batch in batches:
-        at, ids, bodies = [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = array("I")
+            before = len(own)
             for k, part in enumerate(tokens.parts(text.as_py() or "")):
                 for block in [[part]] if k % 2 else word_blocks(normalise(part), "word"):
                     own.extend(map(numbers.__getitem__, block))
-            at.append(texts)
             ids.append(doc_id)
-            bodies.append(packed(np.frombuffer(own, np.uint32)))
-            texts, refs = texts + 1, refs + len(own)
-            if len(numbers) > TASK_WORDS or refs > CHUNK_REFS:
-                yield out(at, ids, None, bodies)
+            sizes.append(len(own) - before)
+            full = len(numbers) > CHUNK_WORDS or refs + len(own) > CHUNK_REFS
+            if full or len(own) > ROW_REFS:
+                yield texts()
+                refs, ids, sizes, own = refs + len(own), [], [], array("I")
+            if full:
                 yield from close()
-                chunk, numbers, texts, refs, at, ids, bodies = chunk + 1, Numbers(), 0, 0, [], [], []
-        if at:
-            yield out(at, ids, None, bodies)
+                chunk, numbers, refs = chunk + 1, Numbers(), 0
+    if ids:
+        yield texts()
     yield from close()
 
 
@@ -228,15 +222,15 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
     def out():
         chunk, at, word = np.concatenate(chunks), np.concatenate(ats), np.concatenate(which)
         sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.array(list(itertools.chain.from_iterable(ids)), "<u4")
+        flat = np.array(list(itertools.chain.from_iterable(ids)), np.int64)
         starts = np.cumsum(sizes) - sizes
-        order = np.argsort(chunk, kind="stable")
+        order = np.lexsort((at, chunk))
         cuts = np.flatnonzero(np.diff(chunk[order], prepend=-1))
         for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
             mine = order[lo:hi]
             n = sizes[word[mine]]
             place = np.repeat(starts[word[mine]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            row = [[int(chunk[mine[0]])], [at[mine].astype("<u4").tobytes()], [n.astype("<u4").tobytes()], [flat[place].tobytes()]]
+            row = [[int(chunk[mine[0]])], [squeezed(np.diff(at[mine], prepend=0))], [squeezed(n)], [squeezed(flat[place])]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, [pa.int64()] + [pa.binary()] * 3)], names=["chunk", "at", "sizes", "ids"])
 
     for batch in batches:
@@ -266,34 +260,42 @@ def pieces_of(path: str) -> list[str]:
 
 
 def _join_back(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, text or not, doc_id, refs, at, sizes, ids) sorted with a chunk's ids before its texts."""
-    piece, current = pieces_of(path), None
+    """Rows (chunk, text or not, doc_ids, lengths, refs, at, sizes, ids) sorted with a chunk's ids before its texts."""
+    piece, current, none = pieces_of(path), None, np.zeros(0, np.int64)
+
+    def out(rows):
+        doc_ids, arrays, texts = zip(*rows)
+        offsets = np.cumsum([0, *(len(x) for x in arrays)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays))), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
+        )
+
     for batch in batches:
-        rows = []
-        for chunk, text, doc_id, refs, at, sizes, ids in zip(*(c.to_pylist() for c in batch.columns)):
-            if chunk != current:
-                current, parts, starts = chunk, [], None
-            if not text:
-                parts.append((np.frombuffer(at, "<u4"), np.frombuffer(sizes, "<u4"), np.frombuffer(ids, "<u4")))
+        for chunk, text, doc_ids, lengths, refs, at, sizes, ids in zip(*batch.columns):
+            if chunk.as_py() != current:
+                current, parts, starts = chunk.as_py(), [], None
+            if not text.as_py():
+                parts.append((np.cumsum(expanded(at.as_py())), expanded(sizes.as_py()), expanded(ids.as_py())))
                 continue
             if starts is None:
-                places = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]).astype(np.int64)
-                n = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)]).astype(np.int64)
-                flat = np.concatenate([np.zeros(0, "<u4"), *(p[2] for p in parts)])
+                places, n, flat = (np.concatenate([none, *(p[k] for p in parts)]) for k in range(3))
                 parts, starts, counts = [], np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
                 starts[places], counts[places] = np.cumsum(n) - n, n
-                joined = flat.tolist()
+                joined, flat = flat.tolist(), flat.astype(np.int32)
                 spelled = [" ".join([piece[i] for i in joined[a : a + k]]) for a, k in zip(starts.tolist(), counts.tolist())]
-            words = unpacked(refs)
-            n = counts[words]
-            found = flat[np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            rows.append((doc_id, found.astype(np.int32), " ".join([spelled[w] for w in words.tolist()])))
-        for lo in range(0, len(rows), 64):
-            doc_ids, arrays, texts = zip(*rows[lo : lo + 64])
-            offsets = np.cumsum([0, *(len(x) for x in arrays)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays))), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
-            )
+                del joined
+            words, lo, rows, held = expanded(refs.as_py()), 0, [], 0
+            for doc_id, k in zip(doc_ids.as_py(), lengths.as_py()):
+                mine = words[lo : lo + k]
+                n = counts[mine]
+                found = flat[np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                rows.append((doc_id, found, " ".join([spelled[w] for w in mine.tolist()])))
+                lo, held = lo + k, held + k
+                if held > ROW_REFS // 4:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,8 +313,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     met = split.where("word is not null").select("word", "chunk", "at").repartition("word").sortWithinPartitions("word")
     encoded = met.mapInArrow(lambda b: _encode_words(b, path), _IDS)
     none = lambda kind: F.lit(None).cast(kind)
-    words = encoded.select("chunk", F.lit(False).alias("text"), none("long").alias("doc_id"), none("binary").alias("refs"), "at", "sizes", "ids")
-    texts = split.where("refs is not null").select("chunk", F.lit(True).alias("text"), "doc_id", "refs", none("binary").alias("at"), none("binary").alias("sizes"), none("binary").alias("ids"))
+    words = encoded.select("chunk", F.lit(False).alias("text"), none("array<long>").alias("doc_ids"), none("array<long>").alias("lengths"), none("binary").alias("refs"), "at", "sizes", "ids")
+    texts = split.where("refs is not null").select("chunk", F.lit(True).alias("text"), F.col("ids").alias("doc_ids"), F.col("sizes").alias("lengths"), "refs", none("binary").alias("at"), none("binary").alias("sizes"), none("binary").alias("ids"))
     dealt = words.union(texts).repartition("chunk").sortWithinPartitions("chunk", "text")
     return dealt.mapInArrow(lambda b: _join_back(b, path), "doc_id long, ids array<int>, decoded string")
 

@@ -118,7 +118,7 @@ def test_bpe_chunks(monkeypatch, words, refs, gathered):
         get = staticmethod(lambda: Task)
         partitionId = staticmethod(lambda: 3)
 
-    for name, value in (("TASK_WORDS", words), ("CHUNK_REFS", refs), ("GATHERED", gathered), ("TaskContext", Task)):
+    for name, value in (("CHUNK_WORDS", words), ("CHUNK_REFS", refs), ("ROW_REFS", refs // 2), ("GATHERED", gathered), ("TaskContext", Task)):
         monkeypatch.setattr(bpe, name, value)
     path = queries.tokenizer_path("word_bpe_49k.json")
     docs = [(r[0], r[1]) for r in odd_docs()]
@@ -127,11 +127,11 @@ def test_bpe_chunks(monkeypatch, words, refs, gathered):
     met = sorted((r["word"], r["chunk"], r["at"]) for r in rows if r["word"] is not None)
     assert len(set(met)) == len(met)
     batches = [pa.RecordBatch.from_pydict(dict(zip(("word", "chunk", "at"), map(list, zip(*met[lo : lo + 5]))))) for lo in range(0, len(met), 5)]
-    back = [(r["chunk"], False, None, None, r["at"], r["sizes"], r["ids"]) for b in bpe._encode_words(iter(batches), path) for r in b.to_pylist()]
-    back += [(r["chunk"], True, r["doc_id"], r["refs"], None, None, None) for r in rows if r["refs"] is not None]
+    back = [(r["chunk"], False, None, None, None, r["at"], r["sizes"], r["ids"]) for b in bpe._encode_words(iter(batches), path) for r in b.to_pylist()]
+    back += [(r["chunk"], True, r["ids"], r["sizes"], r["refs"], None, None, None) for r in rows if r["refs"] is not None]
     back.sort(key=lambda r: r[:2])
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    joined = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*back[lo : lo + 4]), types)], names=list("abcdefg")) for lo in range(0, len(back), 4)]
+    types = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    joined = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*back[lo : lo + 4]), types)], names=list("abcdefgh")) for lo in range(0, len(back), 4)]
     got = [(str(r["doc_id"]), r["ids"], r["decoded"]) for b in bpe._join_back(iter(joined), path) for r in b.to_pylist()]
     assert sorted(got) == sorted(encoded(path))
 
@@ -139,8 +139,8 @@ def test_bpe_chunks(monkeypatch, words, refs, gathered):
 def test_bpe_numbers():
     import numpy as np
 
-    for numbers in ([], [0, 5], [0xFFFE, 0xFFFF, 0x10000, 3, 4_000_000, 0xFFFF * 7]):
-        assert bpe.unpacked(bpe.packed(np.array(numbers, np.uint32))).tolist() == numbers
+    for numbers in ([], [0, 5], [0xFFFF, 0x10000, 3, 4_000_000, (1 << 24) - 1]):
+        assert bpe.expanded(bpe.squeezed(np.array(numbers, np.uint32))).tolist() == numbers
 
 
 def check_packing(rows, texts, path, most=2048):
