@@ -95,7 +95,7 @@ def with_sql(body: str, *, extra: dict[str, str] | None = None, recursive: bool
     """`body` with the views that it and `extra` read as common table expressions."""
     own = extra or {}
     views = needed(" ".join([body, *own.values()]))
-    parts = [f"{x} as materialized ({SQL[x]})" for x in views] + [f"{head} as ({text})" for head, text in own.items()]
+    parts = [f"{x} as materialized ({SQL[x]})" for x in views] + [f"{head} as {'' if '(' in head else 'materialized '}({text})" for head, text in own.items()]
     return f"with {'recursive ' if recursive else ''}" + ",\n".join(parts) + "\n" + body if parts else body
 
 

@@ -22,15 +22,51 @@ def init_capacity(edges: DataFrame, buckets: int) -> DataFrame:
     return out.withColumn("ff_time", F.when(F.col("capacity") > 0, F.expr("3600 * dist_m div ff_speed")))
 
 
-def bpr_time(ff: Column, used: Column, capacity: Column) -> Column:
-    """Free-flow time grown by the square of the load, rounded, at least 1."""
+def _load(used: Column, capacity: Column, alpha: float, beta: float) -> Column:
     load = used / capacity
-    return F.greatest(F.round(ff * (1 + load * load)), F.lit(1)).cast("long")
+    grown = load * load if beta == 2 else F.pow(load, F.lit(float(beta)))
+    return 1 + (grown if alpha == 1 else F.lit(float(alpha)) * grown)
 
 
-def bpr_speed(ff: Column, used: Column, capacity: Column) -> Column:
-    load = used / capacity
-    return F.greatest(F.round(ff / (1 + load * load)), F.lit(1)).cast("long")
+def bpr_time(ff: Column, used: Column, capacity: Column, alpha: float = 1, beta: float = 2) -> Column:
+    """Free-flow time times 1 + alpha * load^beta, rounded, at least 1."""
+    return F.greatest(F.round(ff * _load(used, capacity, alpha, beta)), F.lit(1)).cast("long")
+
+
+def bpr_speed(ff: Column, used: Column, capacity: Column, alpha: float = 1, beta: float = 2) -> Column:
+    """Free-flow speed divided by the same."""
+    return F.greatest(F.round(ff / _load(used, capacity, alpha, beta)), F.lit(1)).cast("long")
+
+
+def free_flow(network: DataFrame, profiles: DataFrame, at: DataFrame) -> DataFrame:
+    """edge_id, t, tt: the time on an edge entered at t by the speeds of current use alone (profiles edge_id, start,
+    kmh), without any history; free flow where there is no profile, null where the edge is closed."""
+    both = at.join(network.select("edge_id", "dist_m", "ff_time"), "edge_id")
+    now = both.join(profiles, (both.edge_id == profiles.edge_id) & (F.col("start") <= F.expr(f"pmod(t, {DAY})")), "left").groupBy(both.edge_id, "t")
+    found = now.agg(F.max_by("kmh", "start").alias("kmh"), F.max("dist_m").alias("dist_m"), F.max("ff_time").alias("ff_time"))
+    return found.select("edge_id", "t", F.expr("case when ff_time is null then null when kmh is null then ff_time else 3600 * dist_m div kmh end").alias("tt"))
+
+
+def with_history(profiles: DataFrame, history: DataFrame) -> DataFrame:
+    """Speed profiles (edge_id, start, kmh) lowered to historic ones: at each start of either the smaller of the
+    speeds in force."""
+    starts = profiles.select("edge_id", "start").union(history.select("edge_id", "start")).distinct()
+
+    def force(p: DataFrame, name: str) -> DataFrame:
+        hit = starts.join(p.select("edge_id", F.col("start").alias("since"), "kmh"), "edge_id").where("since <= start")
+        return hit.groupBy("edge_id", "start").agg(F.max_by("kmh", "since").alias(name))
+
+    both = starts.join(force(profiles, "own"), ["edge_id", "start"], "left").join(force(history, "past"), ["edge_id", "start"], "left")
+    return both.select("edge_id", "start", F.least("own", "past").alias("kmh"))
+
+
+def usage_statistics(network: DataFrame, used: DataFrame) -> DataFrame:
+    """One row: edges, edges that are used, buckets in use, trips over edges, the largest number in one bucket, and
+    buckets beyond their capacity."""
+    totals = used.join(network.select("edge_id", "capacity"), "edge_id").agg(
+        F.countDistinct("edge_id").alias("used_edges"), F.count(F.lit(1)).alias("buckets"), F.sum("used").alias("uses"), F.max("used").alias("most"), F.count_if(F.col("used") > F.col("capacity")).alias("over")
+    )
+    return network.agg(F.count(F.lit(1)).alias("edges")).crossJoin(totals)  # two single rows
 
 
 def bucket_of(t: str, size: int) -> Column:
@@ -73,16 +109,31 @@ def tightest_metric(queries: DataFrame, metrics: DataFrame) -> DataFrame:
     return queries.join(best, "query_id", "left").select("query_id", F.coalesce("b.metric_id", F.lit(0)).cast("long").alias("metric_id"))
 
 
-def interval_pattern(spark, sizes_h: list[float]) -> DataFrame:
-    """metric_id, start, end: for each length, intervals of that length at half steps through the day."""
-    rows, k = [(0, 0, DAY)], 1
-    for h in sizes_h:
-        length = int(h * 3_600_000)
-        start = 0
-        while start + length <= DAY:
-            rows.append((k, start, start + length))
-            k, start = k + 1, start + length // 2
-    return spark.createDataFrame(rows, "metric_id long, start long, end long")
+def _steps(first: int, last: int, step_min: int, length_min: int) -> list[tuple[int, int]]:
+    return [(i * step_min, i * step_min + length_min) for i in range(first, last)]
+
+
+#: Intervals in minutes of the day. balanced: 8, 4, 2 and 1 hours long at half steps, but for the night;
+#: complete: the whole day likewise; rush_hour: fixed values.
+PATTERNS = {
+    "balanced": _steps(1, 4, 240, 480) + _steps(3, 9, 120, 240) + _steps(5, 20, 60, 120) + _steps(10, 40, 30, 30),
+    "complete": _steps(0, 5, 240, 480) + _steps(0, 11, 120, 240) + _steps(0, 23, 60, 120) + _steps(0, 47, 30, 30),
+    "rush_hour": [
+        *((0, 360), (1200, 1440), (360, 600), (600, 900), (600, 612), (720, 840), (660, 780), (900, 1200), (420, 540)),
+        *((420, 480), (480, 540), (900, 1020), (1020, 1140), (1140, 1260), (960, 1020), (1020, 1080), (1080, 1140), (1140, 1200)),
+    ],
+}
+
+
+def interval_pattern(spark, pattern: str | list[float]) -> DataFrame:
+    """metric_id, start, end: metric 0 is the whole day; then the intervals of a pattern by name, or, for a list of
+    lengths in hours, intervals of each length at half steps through the day."""
+    if isinstance(pattern, str):
+        found = [(a * 60_000, b * 60_000) for a, b in PATTERNS[pattern]]
+    else:
+        lengths = [int(h * 3_600_000) for h in pattern]
+        found = [(start, start + n) for n in lengths for start in range(0, DAY - n + 1, n // 2)]
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate([(0, DAY), *found])], "metric_id long, start long, end long")
 
 
 def metric_difference(metrics: DataFrame) -> DataFrame:

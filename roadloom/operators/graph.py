@@ -8,39 +8,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import carry_last, number_rows, running_sum
+
 
 def csr_offsets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node_id, first_out: the running number of edges before the node's."""
     degree = edges.groupBy(F.col("tail").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    before = F.sum(n).over(Window.orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1))
-    return nodes.select("node_id").join(degree, "node_id", "left").select("node_id", F.coalesce(before, F.lit(0)).cast("long").alias("first_out"))
+    both = nodes.select("node_id").join(degree, "node_id", "left")
+    return running_sum(both, ["node_id"], F.coalesce("n", F.lit(0)), "first_out").select("node_id", "first_out")
 
 
 def tails_from_offsets(offsets: DataFrame, edges: DataFrame) -> DataFrame:
     """edge_id, tail by the position of the edge among the offsets: one pass over both, sorted by position."""
     marks = offsets.select(F.col("first_out").alias("at"), F.lit(0).alias("kind"), "node_id").unionByName(edges.select(F.col("edge_id").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("node_id")))
-    found = F.last("node_id", ignorenulls=True).over(Window.orderBy("at", "kind", "node_id"))
-    return marks.select("kind", F.col("at").alias("edge_id"), found.alias("tail")).where("kind = 1").select("edge_id", "tail")
+    return carry_last(marks, ["at", "kind", "node_id"], "node_id", "tail").where("kind = 1").select(F.col("at").alias("edge_id"), "tail")
 
 
 def reverse(edges: DataFrame) -> DataFrame:
     """Edges the other way, numbered by (tail, old edge)."""
-    number = F.row_number().over(Window.orderBy("head", "edge_id")) - 1
-    return edges.select(number.cast("long").alias("edge_id"), F.col("head").alias("tail"), F.col("tail").alias("head"), "weight", F.col("edge_id").alias("original"))
+    turned = edges.select(F.col("head").alias("tail"), F.col("tail").alias("head"), "weight", F.col("edge_id").alias("original"))
+    return number_rows(turned, ["tail", "original"], "edge_id").select("edge_id", "tail", "head", "weight", "original")
 
 
-def permute(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """Edges between ranks, sorted by (tail, head) rank."""
+def ranked(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """Edges between ranks (edge_id as before)."""
     a, b = order.select(F.col("node_id").alias("tail"), F.col("rank").alias("t")), order.select(F.col("node_id").alias("head"), F.col("rank").alias("h"))
-    both = edges.join(a, "tail").join(b, "head")
-    return both.select((F.row_number().over(Window.orderBy("t", "h", "edge_id")) - 1).cast("long").alias("edge_id"), F.col("t").alias("tail"), F.col("h").alias("head"), "weight")
+    return edges.join(a, "tail").join(b, "head").select("edge_id", F.col("t").alias("tail"), F.col("h").alias("head"), "weight")
+
+
+def permute(edges: DataFrame, order: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Edges between ranks that `keep` (of edge_id, tail, head, weight as they were) holds for, numbered by
+    (tail, head) rank."""
+    chosen = ranked(edges if keep is None else edges.where(keep), order)
+    return number_rows(chosen.withColumnRenamed("edge_id", "was"), ["tail", "head", "was"], "edge_id").select("edge_id", "tail", "head", "weight")
 
 
 def rank_split(edges: DataFrame, order: DataFrame) -> DataFrame:
     """dir, low, high, weight: edges to a higher rank are up, the others go down and are turned."""
-    r = permute(edges, order)
-    return r.where("tail <> head").select(
+    return ranked(edges, order).where("tail <> head").select(
         F.when(F.col("tail") < F.col("head"), "up").otherwise("down").alias("dir"), F.least("tail", "head").alias("low"), F.greatest("tail", "head").alias("high"), "weight"
     )
 
@@ -65,15 +70,13 @@ def no_uturns(edges: DataFrame) -> DataFrame:
 
 def dense_ids(keys: DataFrame, col: str) -> DataFrame:
     """global_id, local_id: numbers from 0 in ascending order of the distinct keys."""
-    ids = keys.select(F.col(col).alias("global_id")).distinct()
-    return ids.select("global_id", (F.row_number().over(Window.orderBy("global_id")) - 1).cast("long").alias("local_id"))
+    return number_rows(keys.select(F.col(col).alias("global_id")).distinct(), ["global_id"], "local_id")
 
 
 def next_lower(ids: DataFrame, keys: DataFrame) -> DataFrame:
     """key, local_id of the largest global id that isn't above the key (null if all are)."""
     marks = ids.select(F.col("global_id").alias("at"), F.lit(0).alias("kind"), "local_id").unionByName(keys.select(F.col("key").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("local_id")))
-    last = F.last("local_id", ignorenulls=True).over(Window.orderBy("at", "kind"))
-    return marks.select("kind", F.col("at").alias("key"), last.alias("local_id")).where("kind = 1").select("key", "local_id")
+    return carry_last(marks, ["at", "kind"], "local_id", "found").where("kind = 1").select(F.col("at").alias("key"), F.col("found").alias("local_id"))
 
 
 def box(nodes: DataFrame, edges: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
@@ -140,6 +143,14 @@ def fastest(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("speed", F.floor(36 * F.col("dist_m") * 1000 / F.col("ff_time")).cast("long")).orderBy(F.desc("speed"), "edge_id").limit(k).select("edge_id", "speed")
 
 
+def slow_some(edges: DataFrame, k: int, n: int, factor: int, seed: int) -> DataFrame:
+    """edge_id, ff_time: of the k fastest edges n, drawn by a hash, take `factor` times as long."""
+    from .workload import draw
+
+    chosen = fastest(edges, k).orderBy(draw(F.col("edge_id"), seed, 1_000_003), "edge_id").limit(n).select("edge_id", F.lit(True).alias("hit"))
+    return edges.join(F.broadcast(chosen), "edge_id", "left").select("edge_id", F.when(F.col("hit"), F.col("ff_time") * factor).otherwise(F.col("ff_time")).alias("ff_time"))
+
+
 def nearest(points: DataFrame, nodes: DataFrame, cell: int) -> DataFrame:
     """point_id, node_id, d2: the nearest node by squared distance (ties: smaller node).
 

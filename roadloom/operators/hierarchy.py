@@ -6,14 +6,21 @@ size; everything else is relational on its result: cch(lo, hi) with the weights
 
 from __future__ import annotations
 
+import heapq
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import number_rows
+
 #: Largest completion that one task may build and customize.
 MOST_EDGES = 20_000_000
+#: Largest customized completion that goes to every task, as four arrays (128 MB).
+MOST_SHARED = 4_000_000
 
 
 def contract(ranked: DataFrame) -> DataFrame:
@@ -104,39 +111,255 @@ def ancestors(tree: DataFrame, starts: DataFrame) -> DataFrame:
         jump = cut(step.select("a.rank", "b.parent"))
 
 
+class Cch:
+    """A customized completion in memory: weights up and down of every edge, by its lower and its higher end."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, up: np.ndarray, down: np.ndarray):
+        self.above: dict[int, list[tuple[int, float, float]]] = {}
+        self.below: dict[int, dict[int, tuple[float, float]]] = {}
+        order = np.lexsort((hi, lo))
+        for v, w, u, d in zip(lo[order].tolist(), hi[order].tolist(), up[order].tolist(), down[order].tolist()):
+            self.above.setdefault(v, []).append((w, u, d))
+            self.below.setdefault(w, {})[v] = (u, d)
+
+    def climb(self, v: int, k: int) -> tuple[dict[int, float], dict[int, int]]:
+        """Distances from (k = 1) or to (k = 2) v over rising paths, of the nodes above it in ascending order (in a whole
+        completion its ancestors in the elimination tree), and where each is reached from."""
+        dist, pred, todo, out = {v: 0.0}, {}, [v], {}
+        while todo:  # by rank: all lower neighbours of a node are done before it
+            u = heapq.heappop(todo)
+            out[u] = dist[u]
+            for edge in self.above.get(u, ()):
+                new = dist[u] + edge[k]
+                if new < INFINITE:
+                    if edge[0] not in dist:
+                        heapq.heappush(todo, edge[0])
+                    if new < dist.get(edge[0], INFINITE):
+                        dist[edge[0]], pred[edge[0]] = new, u
+        return out, pred
+
+    def meet(self, s: int, t: int) -> tuple[float, int | None, dict[int, int], dict[int, int]]:
+        """Distance, the best common ancestor (ties: lowest), and both climbs' predecessors."""
+        (a, pa), (b, pb) = self.climb(s, 1), self.climb(t, 2)
+        best, mid = min(((a[v] + b[v], v) for v in a if v in b), default=(INFINITE, None))
+        return best, mid, pa, pb
+
+    def weight(self, a: int, b: int) -> float:
+        return self.below[b][a][0] if a < b else self.below[a][b][1]
+
+    def split(self, a: int, b: int) -> int | None:
+        """The lowest common lower neighbour that the edge from a to b leads over; none if it is an edge of its own."""
+        least, w = (a, b) if len(self.below.get(a, ())) < len(self.below.get(b, ())) else (b, a), self.weight(a, b)
+        for v in sorted(self.below.get(least[0], ())):
+            if v in self.below.get(least[1], ()) and self.below[a][v][1] + self.below[b][v][0] == w:
+                return v
+        return None
+
+    def path(self, s: int, t: int) -> list[int]:
+        """The ranks of a shortest path."""
+        _, mid, pa, pb = self.meet(s, t)
+        if mid is None:
+            return []
+        front, back = [mid], [mid]
+        while front[-1] != s:
+            front.append(pa[front[-1]])
+        while back[-1] != t:
+            back.append(pb[back[-1]])
+        out, corners = [s], front[::-1] + back[1:]
+        todo = list(zip(corners[:-1], corners[1:]))[::-1]
+        while todo:
+            a, b = todo.pop()
+            v = self.split(a, b)
+            if v is None:
+                out.append(b)
+            else:
+                todo += [(v, b), (a, v)]
+        return out
+
+    def potential(self, t: int):
+        """A function from rank to the distance to t, which looks at a rank's ancestors once for all calls."""
+        known, _ = self.climb(t, 2)
+        done: dict[int, float] = {}
+
+        def to_target(v: int) -> float:
+            todo = [v]
+            while todo:
+                u = todo[-1]
+                missing = [x for x, w, _ in self.above.get(u, ()) if w < INFINITE and x not in done] if u not in done else ()
+                if missing:
+                    todo += missing
+                    continue
+                todo.pop()
+                if u not in done:
+                    done[u] = min([known.get(u, INFINITE), *(w + done[x] for x, w, _ in self.above.get(u, ()) if w < INFINITE)])
+            return done[v]
+
+        return to_target
+
+
+INFINITE = float("inf")
+_made: dict[str, Cch] = {}
+
+
+class SharedCch:
+    """A customized completion of checked size, sent to tasks as arrays; each worker builds it once."""
+
+    def __init__(self, weights: DataFrame):
+        if weights.count() > MOST_SHARED:
+            raise ValueError("the hierarchy is too large to send to tasks")
+        x = weights.select("lo", "hi", "up", "down").toPandas()
+        arrays = [x["lo"].to_numpy(np.int64), x["hi"].to_numpy(np.int64), x["up"].astype("float64").fillna(INFINITE).to_numpy(), x["down"].astype("float64").fillna(INFINITE).to_numpy()]
+        self.key, self.arrays = uuid.uuid4().hex, weights.sparkSession.sparkContext.broadcast(arrays)
+
+    def get(self) -> Cch:
+        if self.key not in _made:
+            _made.clear()
+            _made[self.key] = Cch(*self.arrays.value)
+        return _made[self.key]
+
+
+def etree_query(weights: DataFrame, od: DataFrame, with_path: bool = False) -> DataFrame:
+    """query_id, dist (null: no way), and the path's ranks if wanted, of od (query_id, src, dst) between ranks: both
+    ends' ancestors in the elimination tree are walked once, edges of the path are unpacked by lower triangles."""
+    shared = SharedCch(weights)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cch = shared.get()
+        for part in parts:
+            rows = []
+            for q, s, t in zip(part["query_id"], part["src"], part["dst"]):
+                best = cch.meet(s, t)[0]
+                rows.append((q, None if best == INFINITE else int(best), *([cch.path(s, t)] if with_path else [])))
+            yield pd.DataFrame(rows, columns=["query_id", "dist", *(["path"] if with_path else [])]).astype({"dist": "Int64"})
+
+    return od.select("query_id", "src", "dst").repartition(16, "query_id").mapInPandas(run, "query_id long, dist long" + (", path array<long>" if with_path else ""))
+
+
+def cch_potentials(weights: DataFrame, targets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """dst, node, pi: exact distances (null: none) of all ranks in `nodes` (rank) to each target (rank)."""
+    shared, ranks = SharedCch(weights), [r[0] for r in nodes.select("rank").distinct().collect()] if nodes.count() <= MOST_SHARED else None
+    if ranks is None:
+        raise ValueError("too many nodes to send to tasks")
+    sent = weights.sparkSession.sparkContext.broadcast(np.array(sorted(ranks), np.int64))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cch = shared.get()
+        for part in parts:
+            for t in part["rank"]:
+                pi = cch.potential(t)
+                found = [pi(v) for v in sent.value.tolist()]
+                yield pd.DataFrame({"dst": t, "node": sent.value, "pi": [None if x == INFINITE else int(x) for x in found]}).astype({"pi": "Int64"})
+
+    return targets.select("rank").distinct().repartition(16, "rank").mapInPandas(run, "dst long, node long, pi long")
+
+
+def unpack_arcs(weights: DataFrame) -> DataFrame:
+    """lo, hi, up_mid, down_mid: the lowest common lower neighbour whose two edges weigh as much as the edge in each
+    direction; null where the edge has no such triangle or no weight. A join of lower triangles with their sides."""
+    w = weights.select("lo", "hi", "up", "down")
+    side = lambda lo, hi, n: w.select(F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("up").alias(f"up{n}"), F.col("down").alias(f"down{n}"))
+    both = side("low", "mid", 1).join(side("low", "high", 2), "low").where("mid < high").join(side("mid", "high", 0), ["mid", "high"])
+    found = both.groupBy("mid", "high").agg(F.min(F.when(F.col("down1") + F.col("up2") == F.col("up0"), F.col("low"))).alias("up_mid"), F.min(F.when(F.col("down2") + F.col("up1") == F.col("down0"), F.col("low"))).alias("down_mid"))
+    return w.select("lo", "hi").join(found.select(F.col("mid").alias("lo"), F.col("high").alias("hi"), "up_mid", "down_mid"), ["lo", "hi"], "left")
+
+
+def without_dominated(before: DataFrame, perfect: DataFrame) -> DataFrame:
+    """The edges that a query needs after perfect customization: a weight that a shorter way beats is taken away,
+    and edges without any weight left go."""
+    p = perfect.select("lo", "hi", F.col("up").alias("u"), F.col("down").alias("d"))
+    kept = before.join(p, ["lo", "hi"]).select("lo", "hi", F.when(F.col("up") <= F.col("u"), F.col("up")).alias("up"), F.when(F.col("down") <= F.col("d"), F.col("down")).alias("down"))
+    return kept.where("up is not null or down is not null")
+
+
+def directed(cch: DataFrame, ranked: DataFrame) -> DataFrame:
+    """dir, lo, hi of the completion's edges that can ever have a weight in that direction: those that a
+    customization with weight 0 for every original edge reaches."""
+    zero = customize(respecting(cch, ranked.withColumn("weight", F.lit(0).cast("long"))))
+    up, down = (zero.where(f"{c} is not null").select(F.lit(c).alias("dir"), "lo", "hi") for c in ("up", "down"))
+    return up.union(down)
+
+
+def separator_tree(tree: DataFrame) -> DataFrame:
+    """rank, cell: the elimination tree (rank, parent, one row a node, null for roots) with chains of single children
+    joined into cells, each named by its highest rank."""
+    from ..session import cut
+
+    children = tree.where("parent is not null").groupBy(F.col("parent").alias("rank")).agg(F.count(F.lit(1)).alias("children"))
+    # a node goes with its parent if it is the only child
+    single = children.where("children = 1").select(F.col("rank").alias("parent"))
+    jump = cut(tree.select("rank", "parent").join(single, "parent", "left_semi").select("rank", F.col("parent").alias("cell")).union(tree.select("rank").join(tree.join(single, "parent", "left_semi"), "rank", "left_anti").select("rank", F.col("rank").alias("cell"))))
+    while True:  # by doubling
+        step = jump.alias("a").join(jump.alias("b"), F.col("a.cell") == F.col("b.rank")).select("a.rank", F.col("b.cell").alias("cell"))
+        step = cut(step)
+        if not step.join(jump.withColumnRenamed("cell", "was"), "rank").where("cell <> was").head(1):
+            return step
+        jump = step
+
+
+def separator_levels(tree: DataFrame) -> DataFrame:
+    """level, cells, nodes: how many cells of the separator tree there are at each depth (roots: 0), and their sizes in sum."""
+    from ..session import cut
+
+    cells = cut(separator_tree(tree))
+    above = tree.where("parent is not null").join(cells.select("rank", "cell"), "rank").join(cells.select(F.col("rank").alias("parent"), F.col("cell").alias("up")), "parent").where("cell <> up").select("cell", "up").distinct()
+    size = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes"))
+    above = cut(above)
+    now = cut(size.select("cell").join(above, "cell", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    found = now
+    while now.head(1):
+        now = cut(now.select(F.col("cell").alias("up"), (F.col("level") + 1).alias("level")).join(above, "up").select("cell", "level"))
+        found = found.union(now)
+    return found.join(size, "cell").groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.sum("nodes").alias("nodes"))
+
+
+def full_tree(cch: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rank, parent (null for roots) of all nodes (rank)."""
+    return nodes.select("rank").distinct().join(elimination_tree(cch), "rank", "left")
+
+
+def reordered(tree: DataFrame, by: str = "breadth") -> DataFrame:
+    """rank, position: another order of the same separator tree, cells above others later: 'breadth' level by level,
+    'size' with the larger of a cell's subtrees first. Inside a cell ranks stay in order."""
+    from ..session import cut
+
+    cells = cut(separator_tree(tree))
+    above = tree.where("parent is not null").join(cells.select("rank", "cell"), "rank").join(cells.select(F.col("rank").alias("parent"), F.col("cell").alias("up")), "parent").where("cell <> up").select("cell", "up").distinct()
+    links, sizes = {r["cell"]: r["up"] for r in _few(above)}, {r["cell"]: r["n"] for r in _few(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))}
+    below: dict[int, list[int]] = {}
+    for c, u in links.items():
+        below.setdefault(u, []).append(c)
+    roots, total = [c for c in sizes if c not in links], {}
+    for c in sorted(sizes):  # a cell's name is its highest rank, so children come first
+        total[c] = sizes[c] + sum(total[x] for x in below.get(c, ()))
+    order, todo = [], sorted(roots)
+    while todo:  # highest cell first
+        if by == "breadth":
+            order += todo
+            todo = [x for c in todo for x in sorted(below.get(c, ()))]
+        else:
+            c = todo.pop(0)
+            order.append(c)
+            todo = sorted(below.get(c, ()), key=lambda x: (-total[x], x)) + todo
+    places = tree.sparkSession.createDataFrame([(c, -k) for k, c in enumerate(order)], "cell long, place long")
+    return number_rows(cells.join(places, "cell").select("rank", "place"), ["place", "rank"], "position").select("rank", "position")
+
+
+def _few(df: DataFrame) -> list:
+    """Rows of a table with a row for each cell, if they are few enough for the driver."""
+    if df.count() > MOST_SHARED:
+        raise ValueError("too many cells for one place")
+    return df.collect()
+
+
 def labels(weights: DataFrame, nodes: DataFrame) -> DataFrame:
     """dir, node, hub, dist: distances from (up) and to (down) each node over rising paths, to all of its
     ancestors that it reaches. Nodes are dealt to tasks; the hierarchy (of checked size) goes to each."""
-    rows = weights.collect() if weights.count() <= MOST_EDGES else None
-    if rows is None:
-        raise ValueError("the hierarchy is too large to send to tasks")
-    up: dict[int, list] = {}
-    for r in rows:
-        up.setdefault(r["lo"], []).append((r["hi"], r["up"], r["down"]))
-    shared = weights.sparkSession.sparkContext.broadcast(up)
+    shared = SharedCch(weights)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = shared.value
+        cch = shared.get()
         for part in parts:
-            out = []
-            for v in part["rank"]:
-                for k, name in ((1, "up"), (2, "down")):
-                    dist, todo = {v: 0}, [v]
-                    import heapq
-
-                    seen = {v}
-                    while todo:  # in order of rank: all of a node's lower neighbours are final
-                        u = heapq.heappop(todo)
-                        for edge in graph.get(u, ()):
-                            w = edge[k]
-                            if w is not None:
-                                new = dist[u] + w
-                                if new < dist.get(edge[0], new + 1):
-                                    dist[edge[0]] = new
-                                if edge[0] not in seen:
-                                    seen.add(edge[0])
-                                    heapq.heappush(todo, edge[0])
-                    out += [(name, v, h, d) for h, d in dist.items()]
+            out = [(name, v, h, int(d)) for v in part["rank"] for k, name in ((1, "up"), (2, "down")) for h, d in cch.climb(v, k)[0].items() if d < INFINITE]
             yield pd.DataFrame(out, columns=["dir", "node", "hub", "dist"])
 
     return nodes.select("rank").distinct().repartition(16).mapInPandas(run, "dir string, node long, hub long, dist long")
@@ -151,13 +374,15 @@ def label_query(label: DataFrame, od: DataFrame) -> DataFrame:
 
 
 def pruned_labels(label: DataFrame) -> DataFrame:
-    """Labels without entries that a better hub covers."""
+    """Labels without entries that a better hub covers: of an entry (node, hub) the hub's own labels are looked
+    up, and for each of their hubs the node's distance to it. No node meets another one's whole label."""
     up, down = label.where("dir = 'up'"), label.where("dir = 'down'")
 
     def keep(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        via = own.select("node", F.col("hub").alias("mid"), F.col("dist").alias("d1")).join(other.select(F.col("node").alias("hub"), F.col("hub").alias("mid"), F.col("dist").alias("d2")), "mid")
-        best = via.groupBy("node", "hub").agg(F.min(F.col("d1") + F.col("d2")).alias("best"))
-        return own.join(best, ["node", "hub"]).where("dist <= best").select(F.lit(name).alias("dir"), "node", "hub", "dist")
+        after = other.select(F.col("node").alias("hub"), F.col("hub").alias("mid"), F.col("dist").alias("d2")).where("hub <> mid")
+        first = own.select("node", F.col("hub").alias("mid"), F.col("dist").alias("d1"))
+        best = own.select("node", "hub").join(after, "hub").join(first, ["node", "mid"]).groupBy("node", "hub").agg(F.min(F.col("d1") + F.col("d2")).alias("best"))
+        return own.join(best, ["node", "hub"], "left").where("best is null or dist <= best").select(F.lit(name).alias("dir"), "node", "hub", "dist")
 
     return keep(up, down, "up").union(keep(down, up, "down"))
 

@@ -88,6 +88,75 @@ class Csr:
                     pred[v] = u
         return dist, pred
 
+    def turned(self) -> Csr:
+        """The same network backwards."""
+        tails = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        return Csr(self.ids[np.array(self.head, np.int64)], self.ids[tails], np.array(self.weight, np.int64)) if len(self.ids) else self
+
+    def to_all(self, start: int, targets: set[int]) -> dict[int, int]:
+        """Distances of the targets; ends when all of them are settled."""
+        dist, heap, left, out = {start: 0}, [(0, start)], set(targets), {}
+        first, head, weight = self.first, self.head, self.weight
+        while heap and left:
+            d, u = heapq.heappop(heap)
+            if d > dist[u]:
+                continue
+            if u in left:
+                left.discard(u)
+                out[u] = d
+            for k in range(first[u], first[u + 1]):
+                v, new = head[k], d + weight[k]
+                if new < dist.get(v, new + 1):
+                    dist[v] = new
+                    heapq.heappush(heap, (new, v))
+        return out
+
+    def astar(self, start: int, target: int, potential: Callable[[int], int | None]) -> tuple[int | None, int]:
+        """Distance (None: no way) and the number of settled nodes. Nodes come in order of distance plus potential, a
+        lower bound of what is left (None: target out of reach); the search ends when that order passes the best way
+        found, so potentials needn't be consistent."""
+        pi = potential(start)
+        dist, heap, settled, best = {start: 0}, [] if pi is None else [(pi, 0, start)], 0, None
+        while heap:
+            key, d, u = heapq.heappop(heap)
+            if best is not None and key >= best:
+                break
+            if d > dist[u]:
+                continue
+            settled += 1
+            if u == target:
+                best = d
+                continue
+            for k in range(self.first[u], self.first[u + 1]):
+                v, new = self.head[k], d + self.weight[k]
+                if new < dist.get(v, new + 1) and (pi := potential(v)) is not None and (best is None or new + pi < best):
+                    dist[v] = new
+                    heapq.heappush(heap, (new + pi, new, v))
+        return best, settled
+
+    def meet(self, back: Csr, start: int, target: int, policy: str = "min_key", potential: Callable[[int, int], int] | None = None) -> tuple[int | None, int]:
+        """Distance (None: no way) and settled nodes of a search from both ends; `back` is this network backwards with the
+        same positions. policy: min_key goes on at the side with the smaller key, alternating in turns. potential(side,
+        node): bounds of what is left of the way, pruning only; it ends when no meeting can be shorter than the best."""
+        graphs, ends = (self, back), (start, target)
+        dist, heaps = [{start: 0}, {target: 0}], [[(0, start)], [(0, target)]]
+        best, settled, side = (0 if start == target else None), 0, 1
+        while heaps[0] and heaps[1] and (best is None or heaps[0][0][0] + heaps[1][0][0] < best):
+            side = 1 - side if policy == "alternating" else int(heaps[1][0] < heaps[0][0])
+            d, u = heapq.heappop(heaps[side])
+            if d > dist[side][u] or (potential and best is not None and d + potential(side, u) >= best):
+                continue
+            settled += 1
+            g = graphs[side]
+            for k in range(g.first[u], g.first[u + 1]):
+                v, new = g.head[k], d + g.weight[k]
+                if new < dist[side].get(v, new + 1):
+                    dist[side][v] = new
+                    heapq.heappush(heaps[side], (new, v))
+                    if v in dist[1 - side] and (best is None or new + dist[1 - side][v] < best):
+                        best = new + dist[1 - side][v]
+        return best, settled
+
 
 def csr(edges: DataFrame) -> Csr | None:
     """The network's arrays if it is small enough to send to tasks."""
@@ -128,14 +197,49 @@ def one_to_all(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return search(edges, seeds).select(F.col("q").alias("source"), "node", "dist")
 
 
+def _by_query(graph: Csr, od: DataFrame, answer: Callable[[Csr, pd.DataFrame], list[tuple]], partitions: int = 16) -> DataFrame:
+    """query_id, src, dst, dist, settled by answer(network, queries), a row for each query, on the tasks."""
+    shared = od.sparkSession.sparkContext.broadcast(graph)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = answer(shared.value, part)
+            yield pd.DataFrame({"query_id": part["query_id"], "src": part["src"], "dst": part["dst"], "dist": pd.array([x[0] for x in found], "Int64"), "settled": pd.array([x[1] for x in found], "Int64")})
+
+    return od.select("query_id", "src", "dst").repartition(partitions, "src").mapInPandas(run, "query_id long, src long, dst long, dist long, settled long")
+
+
 def pairs(edges: DataFrame, od: DataFrame) -> DataFrame:
-    """query_id, src, dst, dist (null if unreachable) of od (query_id, src, dst)."""
-    reached = one_to_all(edges, od.select(F.col("src").alias("node")).distinct())
-    return od.join(reached, (od.src == reached.source) & (od.dst == reached.node), "left").select("query_id", "src", "dst", "dist")
+    """query_id, src, dst, dist (null if unreachable) of od (query_id, src, dst); a local search ends when all
+    targets of a source are settled."""
+    graph = csr(edges)
+    if graph is None:
+        reached = one_to_all(edges, od.select(F.col("src").alias("node")).distinct())
+        return od.join(reached, (od.src == reached.source) & (od.dst == reached.node), "left").select("query_id", "src", "dst", "dist")
+
+    def answer(g: Csr, part: pd.DataFrame) -> list[tuple]:
+        known = {}
+        for src, rows in part.groupby("src"):
+            at = {t: g.at(t) for t in rows["dst"]}
+            found = g.to_all(g.at(src), {k for k in at.values() if k is not None}) if g.at(src) is not None else {}
+            known |= {(src, t): 0 if t == src else found.get(k) for t, k in at.items()}
+        return [(known[x], None) for x in zip(part["src"], part["dst"])]
+
+    return _by_query(graph, od, answer).select("query_id", "src", "dst", "dist")
 
 
-def bidirectional(edges: DataFrame, od: DataFrame) -> DataFrame:
-    """As `pairs`, by a forward and a backward search that meet in the best common node."""
+def bidirectional(edges: DataFrame, od: DataFrame, policy: str = "min_key") -> DataFrame:
+    """As `pairs`, by a search from both ends that stops when no meeting can be better (policy min_key or
+    alternating); networks that don't fit into a task are searched to the end from both sides."""
+    graph = csr(edges)
+    if graph is not None:
+
+        def answer(g: Csr, part: pd.DataFrame) -> list[tuple]:
+            back = g.turned()
+            ends = [(s, t, g.at(s), g.at(t)) for s, t in zip(part["src"], part["dst"])]
+            return [(0 if s == t else None, 0) if a is None or b is None else g.meet(back, a, b, policy) for s, t, a, b in ends]
+
+        return _by_query(graph, od, answer).select("query_id", "src", "dst", "dist")
     forward = one_to_all(edges, od.select(F.col("src").alias("node")).distinct()).select(F.col("source").alias("src"), "node", F.col("dist").alias("df"))
     reverse = edges.select(F.col("head").alias("tail"), F.col("tail").alias("head"), "weight")
     backward = one_to_all(reverse, od.select(F.col("dst").alias("node")).distinct()).select(F.col("source").alias("dst"), "node", F.col("dist").alias("db"))
@@ -143,24 +247,79 @@ def bidirectional(edges: DataFrame, od: DataFrame) -> DataFrame:
     return od.join(met, "query_id", "left").select("query_id", "src", "dst", "dist")
 
 
-def astar(edges: DataFrame, od: DataFrame, potential: DataFrame) -> DataFrame:
-    """As `pairs`; candidates whose distance plus potential (dst, node, pi) exceeds a known upper bound
-    are pruned. Exact for potentials that never overestimate; nodes without one can't reach dst."""
-    bound = pairs(edges, od).select("query_id", F.col("dist").alias("ub"))
-    seeds = od.select(F.col("query_id").alias("q"), F.col("src").alias("node"), F.lit(0).cast("long").alias("dist"))
-    # a row per query and node that can reach the query's target
-    allowed = cut(od.select(F.col("query_id").alias("q"), "dst").join(bound.withColumnRenamed("query_id", "q"), "q").join(potential, "dst").select("q", "node", (F.col("ub") - F.col("pi")).alias("most")))
+def astar(edges: DataFrame, od: DataFrame, potential: DataFrame | None = None) -> DataFrame:
+    """As `pairs`, with settled (the number of nodes settled; null beyond LOCAL_EDGES): nodes come in order of
+    distance plus potential (dst, node, pi), which must not overestimate; nodes without one can't reach dst. No
+    potential: 0 everywhere. Queries of one target meet its potentials in one task."""
+    graph = csr(edges)
+    if graph is None:
+        return _astar_loop(edges, od, potential).withColumn("settled", F.lit(None).cast("long"))
+    if potential is None:
+        return _by_query(graph, od, lambda g, part: [(0 if s == t else None, 0) if g.at(s) is None or g.at(t) is None else g.astar(g.at(s), g.at(t), lambda v: 0) for s, t in zip(part["src"], part["dst"])])
+    shared = od.sparkSession.sparkContext.broadcast(graph)
+
+    def run(queries: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
+        g, rows = shared.value, []
+        pi = {g.at(v): p for v, p in zip(bounds["node"], bounds["pi"])}
+        for q, s, t in zip(queries["query_id"], queries["src"], queries["dst"]):
+            a, b = g.at(s), g.at(t)
+            rows.append((q, s, t, *((0 if s == t else None, 0) if a is None or b is None else g.astar(a, b, pi.get))))
+        return pd.DataFrame(rows, columns=["query_id", "src", "dst", "dist", "settled"]).astype({"dist": "Int64"})
+
+    asked, bounds = od.select("query_id", "src", "dst").groupBy("dst"), potential.select("dst", "node", "pi").where("pi is not null").groupBy("dst")
+    return asked.cogroup(bounds).applyInPandas(run, "query_id long, src long, dst long, dist long, settled long").where("query_id is not null")
+
+
+def _astar_loop(edges: DataFrame, od: DataFrame, potential: DataFrame | None) -> DataFrame:
+    """By rounds: a candidate goes on while its distance and potential stay below the way to the target that its
+    query has found so far; that bound falls from round to round."""
     edges = cut(edges.select("tail", "head", "weight"))
-    state = cut(seeds.withColumn("fresh", F.lit(True)))
+    asked = od.select(F.col("query_id").alias("q"), "dst")
+    state = cut(od.select(F.col("query_id").alias("q"), F.col("src").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(True).alias("fresh")))
     while state.where("fresh").head(1):
+        bound = state.join(asked, "q").where("node = dst").select("q", F.col("dist").alias("bound"))  # a row for each query
         cand = state.where("fresh").alias("f").join(edges.alias("e"), F.col("f.node") == F.col("e.tail")).select("f.q", F.col("e.head").alias("node"), (F.col("f.dist") + F.col("e.weight")).alias("dist"))
-        cand = cand.join(allowed, ["q", "node"]).where("dist <= most").select("q", "node", "dist", F.lit(None).cast("long").alias("old"))
+        cand = cand.join(asked, "q").join(bound, "q", "left")
+        if potential is None:
+            cand = cand.withColumn("pi", F.lit(0))
+        else:
+            cand = cand.join(potential.select("dst", "node", "pi"), ["dst", "node"])
+        cand = cand.where("bound is null or dist + pi < bound").select("q", "node", "dist", F.lit(None).cast("long").alias("old"))
         best = state.select("q", "node", "dist", F.col("dist").alias("old")).union(cand).groupBy("q", "node").agg(F.min("dist").alias("dist"), F.max("old").alias("old"))
         state = cut(best.select("q", "node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
     found = state.select(F.col("q").alias("query_id"), F.col("node").alias("dst"), "dist")
     return od.join(found, ["query_id", "dst"], "left").select("query_id", "src", "dst", "dist")
 
 
+def unreachable(edges: DataFrame, od: DataFrame, look: int = 200) -> DataFrame:
+    """query_id of the queries whose target can't be reached. Backwards from a target up to `look` nodes are looked at,
+    which settles most cases; the rest is decided by the whole backward search."""
+    graph = csr(edges.select("tail", "head", F.lit(0).alias("weight")))
+    if graph is None:
+        return pairs(edges, od).where("dist is null").select("query_id")
+
+    def answer(g: Csr, part: pd.DataFrame) -> list[tuple]:
+        back, out = g.turned(), []
+        for s, t in zip(part["src"], part["dst"]):
+            a, b = g.at(s), g.at(t)
+            if a is None or b is None:
+                out.append((0 if s == t else None, 0))
+                continue
+            seen, todo = {b}, [b]
+            while todo and len(seen) < look and a not in seen:
+                u = todo.pop()
+                fresh = {back.head[k] for k in range(back.first[u], back.first[u + 1])} - seen
+                seen |= fresh
+                todo += fresh
+            if a in seen or not todo:
+                out.append((0 if a in seen else None, len(seen)))
+            else:
+                out.append((0 if a in back.dijkstra([(b, 0)])[0] else None, len(seen)))
+        return out
+
+    return _by_query(graph, od, answer).where("dist is null").select("query_id")
+
+
 def paths(edges: DataFrame, od: DataFrame) -> DataFrame:
     """query_id, idx, node, dist along a shortest path; the predecessor of a node is the smallest tail
     of an edge that lies on a shortest path to it. Walks back by pointer doubling."""

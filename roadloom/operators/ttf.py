@@ -336,3 +336,85 @@ def profile(edges: DataFrame, ttf: DataFrame, od: DataFrame, most: int = 5_000_0
                     yield pd.DataFrame({"query_id": q, "dep": label[dst][0], "tt": label[dst][1]})
 
     return od.select("query_id", "src", "dst").repartition(8).mapInPandas(run, "query_id long, dep double, tt double")
+
+
+def crop(ttf: DataFrame, start: int, end: int) -> DataFrame:
+    """edge_id, dep, tt: the part of each function over [start, end] of the day, with its values at both borders."""
+    inside = ttf.where((F.col("dep") > start) & (F.col("dep") < end)).select("edge_id", "dep", "tt")
+    border = segments(ttf).select("*", F.explode(F.array(F.lit(start).cast("long"), F.lit(end).cast("long"))).alias("x"))
+    # the end of the day belongs to the last segment
+    at = border.where("(dep <= x and x < dep1) or (x = dep1 and dep1 = " + str(DAY) + ")")
+    return inside.union(at.select("edge_id", F.col("x").alias("dep"), F.when(F.col("x") == F.col("dep1"), F.col("tt1")).otherwise(at_line("x")).alias("tt")))
+
+
+def append(first: DataFrame, second: DataFrame, at: int) -> DataFrame:
+    """edge_id, dep, tt: the first function before `at` and the second from there on; both end and begin at it."""
+    return crop(first, 0, at).where(F.col("dep") < at).union(crop(second, at, DAY))
+
+
+def turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """1 if a, b, c turn left (counter-clockwise), -1 if right, 0 if they lie on a line."""
+    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)).cast("long")
+
+
+def crossing(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+    """Where in [0, 1] of a common interval two lines cross that go from a0 to a1 and from b0 to b1; null if they don't."""
+    d0, d1 = a0 - b0, a1 - b1
+    return F.when((d0 != d1) & (F.signum(d0) * F.signum(d1) <= 0), d0 / (d0 - d1))
+
+
+def switch_points(ttf: DataFrame, live: DataFrame, soon: int) -> DataFrame:
+    """edge_id, switch: when the live value (edge_id, live_tt), held until `soon` and then falling or rising by as much as
+    time passes, meets the function again; null: not on this day. Whole milliseconds, rounded down."""
+    seg = segments(ttf).join(live, "edge_id").where(F.col("dep1") > soon)
+    at_soon = evaluate(ttf, live.select("edge_id", F.col("edge_id").alias("key"), F.lit(soon).cast("long").alias("t"))).select("edge_id", F.col("tt").alias("now"))
+    both = seg.join(at_soon, "edge_id").withColumn("way", F.when(F.col("live_tt") > F.col("now"), -1).otherwise(1))
+    # function: tt + slope (t - dep); ramp: live_tt + way (t - soon)
+    slope = (F.col("tt1") - F.col("tt")) / (F.col("dep1") - F.col("dep"))
+    t = (F.col("live_tt") - F.col("way") * soon - F.col("tt") + slope * F.col("dep")) / (slope - F.col("way"))
+    hit = both.withColumn("t", F.floor(t).cast("long")).where((F.col("t") >= soon) & (F.col("t") >= F.col("dep")) & (F.col("t") < F.col("dep1")))
+    return live.select("edge_id").join(hit.groupBy("edge_id").agg(F.min("t").alias("switch")), "edge_id", "left")
+
+
+def delay_statistics(ttf: DataFrame) -> DataFrame:
+    """One row: mean of (highest - lowest) / lowest over all functions and over those that aren't constant, and the same
+    ratio of the sums."""
+    low, high, n = F.col("low"), F.col("high"), F.count(F.lit(1))
+    per = ttf.groupBy("edge_id").agg(F.min("tt").alias("low"), F.max("tt").alias("high"))
+    rel = F.when(low > 0, (high - low) / low).otherwise(0.0)
+    varies = low < high
+    return per.agg(
+        (F.sum(F.when(varies, rel)) / F.count_if(varies)).alias("nonconst_mean"),
+        (F.sum(rel) / n).alias("mean"),
+        (F.sum(F.when(varies, high - low)) / F.sum(F.when(varies, low))).alias("nonconst_total"),
+        (F.sum(high - low) / F.sum(low)).alias("total"),
+    )
+
+
+def along_paths(edges: DataFrame, ttf: DataFrame, trips: DataFrame) -> DataFrame:
+    """query_id, idx, node, t of trips (query_id, departure, path): when each node of a given path is reached; the fastest
+    parallel edge counts. A step without an edge ends the trip there."""
+    steps = trips.select("query_id", "departure", F.posexplode("path").alias("idx", "node")).withColumn("next", F.lead("node").over(Window.partitionBy("query_id").orderBy("idx")))
+    points = edges.join(ttf, "edge_id").groupBy("edge_id", "tail", "head").agg(F.array_sort(F.collect_list(F.struct("dep", "tt"))).alias("p"))
+    ways = points.groupBy("tail", "head").agg(F.collect_list("p").alias("ways"))
+    both = steps.join(ways, (F.col("node") == F.col("tail")) & (F.col("next") == F.col("head")), "left").select("query_id", "departure", "idx", "node", "ways")
+
+    def run(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        from bisect import bisect_right
+
+        part, rows = part.sort_values("idx"), []
+        t = int(part["departure"].iloc[0])
+        for k, node, ways in zip(part["idx"], part["node"], part["ways"]):
+            rows.append((keys[0], k, node, t))
+            if ways is None:
+                break
+            best = None
+            for p in ways:
+                dep, tt, x = [a["dep"] for a in p], [a["tt"] for a in p], t % DAY
+                j = min(bisect_right(dep, x) - 1, len(dep) - 2)
+                d = tt[0] if len(dep) <= 2 else dep[j] + tt[j] + (x - dep[j]) * (dep[j + 1] + tt[j + 1] - dep[j] - tt[j]) // (dep[j + 1] - dep[j]) - x
+                best = d if best is None else min(best, d)
+            t += best
+        return pd.DataFrame(rows, columns=["query_id", "idx", "node", "t"])
+
+    return both.groupBy("query_id").applyInPandas(run, "query_id long, idx long, node long, t long")

@@ -8,6 +8,7 @@ from ..fixtures import view, with_sql
 from ..operators import coop as c
 from ..operators import search as s
 from ..operators import workload as w
+from ..operators.ordered import number_rows
 from .static import ARCS_G, sssp
 
 QUERIES: dict = {}
@@ -158,14 +159,9 @@ def od_population(spark, d):
     return w.by_population(spark, 1000, cells, nodes, 20)
 
 
-@query("od_geometric", sssp(ARCS_G, "select distinct src as q, src as v, 0::bigint as d from od where query_id <= 3000", "select q, min(row(d, v))[2] as node, min(d) as dist from sp where d >= 100000 group by q"))
+@query("od_geometric", sssp(ARCS_G, "select distinct src as q, src as v, 0::bigint as d from od", "select q, min(row(d, v))[2] as node, min(d) as dist from sp where d >= 100000 group by q"))
 def od_geometric(spark, d):
     """The first node beyond a distance, per source."""
-    return od_geometric_of(spark, d, view(spark, d, "od").where("query_id <= 3000"))
-
-
-@query("od_geometric_all")
-def od_geometric_all(spark, d):
     return od_geometric_of(spark, d, view(spark, d, "od"))
 
 
@@ -176,9 +172,7 @@ def od_geometric_of(spark, d, od):
 
 @query("od_sorted_departures", with_sql("select query_id, row_number() over (order by departure, query_id) - 1 as position from od"))
 def od_sorted_departures(spark, d):
-    from pyspark.sql import Window
-
-    return view(spark, d, "od").select("query_id", (F.row_number().over(Window.orderBy("departure", "query_id")) - 1).cast("long").alias("position"))
+    return number_rows(view(spark, d, "od").select("query_id", "departure"), ["departure", "query_id"], "position").select("query_id", "position")
 
 
 @query("query_text_export", with_sql("select query_id as line, src || ' ' || dst || ' ' || departure as text from od"))

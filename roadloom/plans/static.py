@@ -20,7 +20,7 @@ SSSP = (
        left join recurring.sp r on r.q = f.q and r.v = e.head
        where r.d is null or f.d + e.weight < r.d group by f.q, e.head""",
 )
-OD10 = "select * from od where src <> dst and query_id <= 3000"
+OD = "select * from od where src <> dst"
 
 
 def sssp(arcs: str, seeds: str, body: str, **more: str) -> str:
@@ -38,12 +38,10 @@ def query(name: str, sql: str | None = None):
 
 
 def workload(name: str, sql: str, query=query):
-    """Registers f(spark, d, od) twice: as `name` over the part of the workload that its SQL names, and as
-    `name`_all, which has no SQL, over the whole of it."""
+    """Registers f(spark, d, od) over the whole workload."""
 
     def keep(f):
-        query(name, sql)(lambda spark, d: f(spark, d, od10(spark, d)))
-        query(f"{name}_all")(lambda spark, d: f(spark, d, od_all(spark, d)))
+        query(name, sql)(lambda spark, d: f(spark, d, od_all(spark, d)))
         return f
 
     return keep
@@ -57,10 +55,6 @@ def longs(spark: SparkSession, rows, names: str) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names.split()))
 
 
-def od10(spark: SparkSession, d: str) -> DataFrame:
-    return od_all(spark, d).where("query_id <= 3000")
-
-
 def od_all(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "od").where("src <> dst")
 
@@ -78,7 +72,7 @@ def one_to_all_local(spark, d):
     return s.one_to_all(view(spark, d, "g_grid"), longs(spark, [(0,), (17,), (101,)], "node"))
 
 
-PAIRS = sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD10})", f"select query_id, src, dst, d as dist from ({OD10}) o left join sp on q = src and v = dst")
+PAIRS = sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD})", f"select query_id, src, dst, d as dist from ({OD}) o left join sp on q = src and v = dst")
 
 
 @workload("p2p_distance", PAIRS)
@@ -91,17 +85,17 @@ def bidirectional(spark, d, od):
     return s.bidirectional(view(spark, d, "g_grid"), od)
 
 
-T_PAIRS = sssp(ARCS_T, f"select distinct src as q, src as v, 0::bigint as d from ({OD10})", f"select query_id, src, dst, d as dist from ({OD10}) o left join sp on q = src and v = dst")
+T_PAIRS = sssp(ARCS_T, f"select distinct src as q, src as v, 0::bigint as d from ({OD})", f"select query_id, src, dst, d as dist from ({OD}) o left join sp on q = src and v = dst")
 
 
 @workload("astar_zero", T_PAIRS)
 def astar_zero(spark, d, od):
-    edges = view(spark, d, "g_trans")
-    nodes = edges.select(F.col("head").alias("node")).distinct()
-    targets = od.select("dst").distinct()
-    # no information: 0 wherever a target exists
-    pi = nodes.crossJoin(targets).select("dst", "node", F.lit(0).cast("long").alias("pi"))
-    return s.astar(edges, od, pi)
+    return s.astar(view(spark, d, "g_trans"), od).drop("settled")
+
+
+@workload("bidirectional_alternating", PAIRS)
+def bidirectional_alternating(spark, d, od):
+    return s.bidirectional(view(spark, d, "g_grid"), od, "alternating")
 
 
 @workload("astar_exact_potential", T_PAIRS)
@@ -109,7 +103,7 @@ def astar_exact_potential(spark, d, od):
     edges = view(spark, d, "g_trans")
     back = edges.select(F.col("head").alias("tail"), F.col("tail").alias("head"), "weight")
     pi = s.one_to_all(back, od.select(F.col("dst").alias("node")).distinct()).select(F.col("source").alias("dst"), "node", F.col("dist").alias("pi"))
-    return s.astar(edges, od, pi)
+    return s.astar(edges, od, pi).drop("settled")
 
 
 @query("multi_source", sssp(ARCS_T, "select * from (values (0::bigint, 0::bigint, 0::bigint), (0, 5, 3), (0, 9, 1)) t(q, v, d)", "select v as node, d as dist from sp"))
@@ -131,10 +125,10 @@ def edge_filtered_search(spark, d):
     "shortest_path_nodes",
     sssp(
         ARCS_G,
-        f"select distinct src as q, src as v, 0::bigint as d from ({OD10})",
+        f"select distinct src as q, src as v, 0::bigint as d from ({OD})",
         "select query_id, row_number() over (partition by query_id order by dist) - 1 as idx, node, dist from walk",
         tight="select b.q, b.v, min(e.tail) as pred from sp a join arcs e on e.tail = a.v join sp b on b.q = a.q and b.v = e.head and b.d = a.d + e.weight group by b.q, b.v",
-        **{"walk(query_id, q, node, dist)": f"select query_id, src, dst, d from ({OD10}) o join sp on q = src and v = dst union all select w.query_id, w.q, t.pred, p.d from walk w join tight t on t.q = w.q and t.v = w.node join sp p on p.q = w.q and p.v = t.pred"},
+        **{"walk(query_id, q, node, dist)": f"select query_id, src, dst, d from ({OD}) o join sp on q = src and v = dst union all select w.query_id, w.q, t.pred, p.d from walk w join tight t on t.q = w.q and t.v = w.node join sp p on p.q = w.q and p.v = t.pred"},
     ),
 )
 def shortest_path_nodes(spark, d, od):
@@ -189,16 +183,11 @@ def farthest_landmarks(spark, d):
     return longs(spark, list(enumerate(chosen)), "idx node")
 
 
-MANY = "select distinct src as q, src as v, 0::bigint as d from od where query_id <= 3000"
+MANY = "select distinct src as q, src as v, 0::bigint as d from od"
 
 
-@query("many_to_many", sssp(ARCS_G, MANY, "select q as src, v as dst, d as dist from sp where v in (select dst from od where query_id <= 3000)"))
+@query("many_to_many", sssp(ARCS_G, MANY, "select q as src, v as dst, d as dist from sp where v in (select dst from od)"))
 def many_to_many(spark, d):
-    return many_to_many_of(spark, d, view(spark, d, "od").where("query_id <= 3000"))
-
-
-@query("many_to_many_all")
-def many_to_many_all(spark, d):
     return many_to_many_of(spark, d, view(spark, d, "od"))
 
 
@@ -209,7 +198,7 @@ def many_to_many_of(spark, d, od):
 
 @workload(
     "penalty_metrics_base",
-    sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD10})", f"select query_id, (d * 125 // 100)::bigint as accept, (d // 100)::bigint as rejoin from ({OD10}) o join sp on q = src and v = dst"),
+    sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD})", f"select query_id, (d * 125 // 100)::bigint as accept, (d // 100)::bigint as rejoin from ({OD}) o join sp on q = src and v = dst"),
 )
 def penalty_metrics_base(spark, d, od):
     """What an alternative may cost at most, and the penalty for rejoining the base path."""
@@ -419,16 +408,11 @@ def vector_compare(spark, d):
 @query(
     "nearest_node",
     with_sql(
-        "select point_id, min(row(dx * dx + dy * dy, node_id))[2] as node_id, min(dx * dx + dy * dy) as d2 from (select point_id, node_id, n.x * 3 - p.x as dx, n.y * 5 - p.y as dy from p cross join grid_nodes n where node_id % 3 = 0) group by point_id",
-        extra={"p": "select o_orderkey::bigint as point_id, (o_orderkey * 7919 % 200)::bigint as x, (o_orderkey * 104729 % 260)::bigint as y from orders where o_orderkey % 50 = 0"},
+        "select point_id, min(row(dx * dx + dy * dy, node_id))[2] as node_id, min(dx * dx + dy * dy) as d2 from (select point_id, node_id, n.x * 3 - p.x as dx, n.y * 5 - p.y as dy from p cross join grid_nodes n) group by point_id",
+        extra={"p": "select o_orderkey::bigint as point_id, (o_orderkey * 7919 % 200)::bigint as x, (o_orderkey * 104729 % 260)::bigint as y from orders"},
     ),
 )
 def nearest_node(spark, d):
-    return nearest_node_of(view(spark, d, "orders").where("o_orderkey % 50 = 0"), view(spark, d, "grid_nodes").where("node_id % 3 = 0"))
-
-
-@query("nearest_node_all")
-def nearest_node_all(spark, d):
     return nearest_node_of(view(spark, d, "orders"), view(spark, d, "grid_nodes"))
 
 
@@ -471,13 +455,8 @@ def path_cycles(spark, d):
     return g.cycles(view(spark, d, "links").selectExpr("trip as path_id", "seq as idx", "link_id % 40 as node"))
 
 
-@query("distinct_paths", with_sql("select count(distinct p) as variants from (select string_agg(node::varchar, ',' order by idx) as p from (select trip as path_id, seq as idx, link_id % 3 as node from links where seq < 4) group by path_id)"))
+@query("distinct_paths", with_sql("select count(distinct p) as variants from (select string_agg(node::varchar, ',' order by idx) as p from (select trip as path_id, seq as idx, link_id % 3 as node from links) group by path_id)"))
 def distinct_paths(spark, d):
-    return distinct_paths_of(view(spark, d, "links").where("seq < 4"))
-
-
-@query("distinct_paths_all")
-def distinct_paths_all(spark, d):
     return distinct_paths_of(view(spark, d, "links"))
 
 
@@ -487,16 +466,11 @@ def distinct_paths_of(links):
     return whole.agg(F.count_distinct(F.array_join(F.col("p.node").cast("array<string>"), ",")).alias("variants"))
 
 
-RANGES = "select distinct seq as a, seq + 1 + link_id % 7 as b from links where trip % 3 = 0"
+RANGES = "select distinct seq as a, seq + 1 + link_id % 7 as b from links"
 
 
 @query("filter_covered", with_sql("select a, b from r where not exists (select 1 from r q where q.a >= r.a and q.b <= r.b and (q.a > r.a or q.b < r.b))", extra={"r": RANGES}))
 def filter_covered(spark, d):
-    return filter_covered_of(view(spark, d, "links").where("trip % 3 = 0"))
-
-
-@query("filter_covered_all")
-def filter_covered_all(spark, d):
     return filter_covered_of(view(spark, d, "links"))
 
 
@@ -506,10 +480,10 @@ def filter_covered_of(links):
 
 @workload("path_prefix_dist", sssp(
     ARCS_G,
-    f"select distinct src as q, src as v, 0::bigint as d from ({OD10})",
+    f"select distinct src as q, src as v, 0::bigint as d from ({OD})",
     "select query_id as path_id, row_number() over (partition by query_id order by dist) - 1 as idx, node, dist from walk",
     tight="select b.q, b.v, min(e.tail) as pred from sp a join arcs e on e.tail = a.v join sp b on b.q = a.q and b.v = e.head and b.d = a.d + e.weight group by b.q, b.v",
-    **{"walk(query_id, q, node, dist)": f"select query_id, src, dst, d from ({OD10}) o join sp on q = src and v = dst union all select w.query_id, w.q, t.pred, p.d from walk w join tight t on t.q = w.q and t.v = w.node join sp p on p.q = w.q and p.v = t.pred"},
+    **{"walk(query_id, q, node, dist)": f"select query_id, src, dst, d from ({OD}) o join sp on q = src and v = dst union all select w.query_id, w.q, t.pred, p.d from walk w join tight t on t.q = w.q and t.v = w.node join sp p on p.q = w.q and p.v = t.pred"},
 ))
 def path_prefix_dist(spark, d, od):
     edges = view(spark, d, "g_grid")

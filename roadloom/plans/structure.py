@@ -9,7 +9,7 @@ from ..operators import graph as g
 from ..operators import hierarchy as h
 from ..session import cut
 from ..streaming import traces as tr
-from .static import ARCS_G, OD10, PAIRS, PERMUTED, od_all, sssp, workload
+from .static import ARCS_G, OD, PAIRS, PERMUTED, od_all, sssp, workload
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def ranked(spark, d):
-    return g.permute(view(spark, d, "g_grid"), view(spark, d, "grid_order"))
+    return g.ranked(view(spark, d, "g_grid"), view(spark, d, "grid_order"))
 
 
 def completed(spark, d):
@@ -81,18 +81,9 @@ def cch_query(spark, d, od):
     return od.select("query_id", "src", "dst").join(found, "query_id")
 
 
-@query("cch_perfect_distances", with_sql(
-    "select a.rank as lo, b.rank as hi, sp.d as up from (select distinct least(tail, head) as t, greatest(tail, head) as h from g_grid where tail < 20) e join grid_order a on a.node_id = e.t join grid_order b on b.node_id = e.h join sp on sp.q = e.t and sp.v = e.h where a.rank < b.rank",
-    extra={"arcs": ARCS_G, "seeds": "select distinct tail as q, tail as v, 0::bigint as d from g_grid where tail < 20 union select distinct head, head, 0::bigint from g_grid where tail < 20", "sp(q, v, d) using key (q, v)": "select q, v, d from seeds union select f.q, e.head, min(f.d + e.weight) from sp f join arcs e on e.tail = f.v left join recurring.sp r on r.q = f.q and r.v = e.head where r.d is null or f.d + e.weight < r.d group by f.q, e.head"},
-    recursive=True,
-))
+@query("cch_perfect_distances")
 def cch_perfect_distances(spark, d):
     """After perfect customization an edge's weight is the distance between its ends."""
-    return cch_perfect_distances_of(spark, d, view(spark, d, "g_grid").where("tail < 20"))
-
-
-@query("cch_perfect_distances_all")
-def cch_perfect_distances_all(spark, d):
     return cch_perfect_distances_of(spark, d, view(spark, d, "g_grid"))
 
 
@@ -112,7 +103,7 @@ def hub_label_query(spark, d, od):
     return od.select("query_id", "src", "dst").join(found, "query_id")
 
 
-@workload("rphast", sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD10})", f"select q as src, v as dst, d as dist from sp where v in (select dst from ({OD10}))"), query)
+@workload("rphast", sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD})", f"select q as src, v as dst, d as dist from sp where v in (select dst from ({OD}))"), query)
 def rphast(spark, d, od):
     """All sources to all targets: labels restricted to the targets' upward space, joined by hub."""
     od = rank_od(spark, d, od)

@@ -131,13 +131,8 @@ EA = (
 )
 
 
-@query("td_earliest_arrival", with_sql("select query_id, d - departure as duration from o left join sp on q = query_id and v = dst", extra={"s": SEG, "o": "select * from od where src <> dst and query_id <= 3000", EA[0]: EA[1]}, recursive=True))
+@query("td_earliest_arrival", with_sql("select query_id, d - departure as duration from o left join sp on q = query_id and v = dst", extra={"s": SEG, "o": "select * from od where src <> dst", EA[0]: EA[1]}, recursive=True))
 def td_earliest_arrival(spark, d):
-    return td_earliest_arrival_of(spark, d, view(spark, d, "od").where("src <> dst and query_id <= 3000"))
-
-
-@query("td_earliest_arrival_all")
-def td_earliest_arrival_all(spark, d):
     return td_earliest_arrival_of(spark, d, view(spark, d, "od").where("src <> dst"))
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import number_rows
+
 TYPES = {"i8": ("<i1", "tinyint"), "u8": ("<u1", "smallint"), "i16": ("<i2", "smallint"), "u16": ("<u2", "int"), "i32": ("<i4", "int"), "u32": ("<u4", "bigint"), "i64": ("<i8", "bigint"), "f32": ("<f4", "float"), "f64": ("<f8", "double")}
 
 
@@ -132,8 +134,7 @@ def import_vendor(links: DataFrame, nodes: DataFrame, box: tuple[float, float, f
     kmh = F.least(F.element_at(F.lit(CATEGORY_KMH), F.col("category")), F.coalesce("limit_kmh", F.lit(999)))
     tail, head = F.when(F.col("way") == 0, F.col("u")).otherwise(F.col("v")), F.when(F.col("way") == 0, F.col("v")).otherwise(F.col("u"))
     e = both.select("link_id", "way", tail.alias("tail"), head.alias("head"), F.round(F.col("length_m") * 1000).cast("long").alias("length_mm"), F.round(F.col("length_m") * 3600 / kmh).cast("long").alias("weight_ms"))
-    number = F.row_number().over(Window.orderBy("tail", "head", "link_id", "way")) - 1
-    return e.select(number.cast("long").alias("edge_id"), "tail", "head", "length_mm", "weight_ms")
+    return number_rows(e, ["tail", "head", "link_id", "way"], "edge_id").select("edge_id", "tail", "head", "length_mm", "weight_ms")
 
 
 def smooth_speeds(profile: DataFrame, night_until: int, night_from: int) -> DataFrame:
@@ -190,3 +191,112 @@ class Report:
 
     def json(self) -> str:
         return json.dumps(self.root, sort_keys=True)
+
+
+def to_seconds(ttf: DataFrame) -> DataFrame:
+    """edge_id, idx, dep, tt of a function in milliseconds as seconds, in floating point."""
+    return ttf.select("edge_id", "idx", (F.col("dep") / 1000.0).alias("dep"), (F.col("tt") / 1000.0).alias("tt"))
+
+
+def store(tables: dict[str, DataFrame], path: str) -> None:
+    """A structure of several tables as one Parquet folder each: networks, hierarchies, customized functions,
+    interval minima, query sets."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables that `store` wrote; a table with other columns than its schema's is refused."""
+    out = {}
+    for name, schema in schemas.items():
+        df = spark.read.parquet(f"{path}/{name}")
+        want = [c.split()[0] for c in schema.split(", ")]
+        if not set(want) <= set(df.columns):
+            raise ValueError(f"{name} lacks columns: {sorted(set(want) - set(df.columns))}")
+        out[name] = df.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")))
+    return out
+
+
+#: Columns of the stored structures.
+CH_TABLES = {"hierarchy": "dir string, low long, high long, weight long, middle long", "order": "node_id long, rank long"}
+CCH_TABLES = {"edges": "lo long, hi long", "tree": "rank long, parent long"}
+CUSTOMIZED_TABLES = {"weights": "lo long, hi long, up long, down long"}
+METRIC_TABLES = {"intervals": "metric_id long, start long, end long", "minima": "metric_id long, edge_id long, lo long"}
+QUERY_TABLES = {"queries": "query_id long, src long, dst long, departure long"}
+
+
+def pack_profiles(profiles: DataFrame) -> DataFrame:
+    """edge_id, starts, speeds: a row for each edge with the points (edge_id, start, kmh) of its speed profile in order."""
+    points = F.array_sort(F.collect_list(F.struct("start", "kmh")))
+    return profiles.groupBy("edge_id").agg(points.alias("p")).select("edge_id", F.col("p.start").alias("starts"), F.col("p.kmh").alias("speeds"))
+
+
+def unpack_profiles(packed: DataFrame) -> DataFrame:
+    """edge_id, start, kmh again."""
+    return packed.select("edge_id", F.explode(F.arrays_zip("starts", "speeds")).alias("p")).select("edge_id", F.col("p.starts").alias("start"), F.col("p.speeds").alias("kmh"))
+
+
+def population_cells(grid: DataFrame) -> DataFrame:
+    """cell, x, y, population of grid rows (grid_x, grid_y, population); a cell's rows are added up, cells without
+    people are left out."""
+    cells = grid.groupBy(F.col("grid_x").alias("x"), F.col("grid_y").alias("y")).agg(F.sum("population").alias("population")).where("population > 0")
+    return cells.select((F.col("x") * 100_000 + F.col("y")).alias("cell"), "x", "y", "population")
+
+
+def live_times(edges: DataFrame, speeds: DataFrame) -> DataFrame:
+    """edge_id, live_tt: 3600 * length div speed of edges (edge_id, dist_m) with a live speed (edge_id, kmh), else 0."""
+    return edges.join(speeds.where("kmh > 0").groupBy("edge_id").agg(F.max("kmh").alias("kmh")), "edge_id", "left").select("edge_id", F.expr("coalesce(3600 * dist_m div kmh, 0)").alias("live_tt"))
+
+
+def strip_constant(profiles: DataFrame, start: int, end: int) -> DataFrame:
+    """edge_id, idx, kmh of profiles (edge_id, version, idx, kmh): the last version of each edge, without edges of one
+    speed; of the rest the values start <= idx < end."""
+    last = profiles.groupBy("edge_id").agg(F.max("version").alias("version"))
+    own = profiles.join(last, ["edge_id", "version"]).where((F.col("idx") >= start) & (F.col("idx") < end))
+    changing = own.groupBy("edge_id").agg(F.min("kmh").alias("a"), F.max("kmh").alias("b")).where("a <> b").select("edge_id")
+    return own.join(changing, "edge_id", "left_semi").select("edge_id", "idx", "kmh")
+
+
+def known_share(rows: DataFrame, id_col: str, known: DataFrame, known_col: str) -> DataFrame:
+    """One row: rows, known (those whose id is among the known ones), per_cent (whole)."""
+    ids = known.select(F.col(known_col).alias("k")).distinct()
+    both = rows.join(ids, F.col(id_col) == F.col("k"), "left").agg(F.count(F.lit(1)).alias("rows"), F.count("k").alias("known"))
+    return both.select("rows", "known", F.expr("100 * known div rows").alias("per_cent"))
+
+
+def text_values(df: DataFrame, order: str, value: str) -> DataFrame:
+    """idx, text: a vector's values as lines."""
+    return df.select(F.col(order).alias("idx"), F.col(value).cast("string").alias("text"))
+
+
+def parsed_values(lines: DataFrame, kind: str) -> DataFrame:
+    """idx, value of lines (idx, text) as a type of TYPES; text that isn't such a number is an error."""
+    return lines.select("idx", F.col("text").cast(TYPES[kind][1]).alias("value"))
+
+
+def link_lines(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """line, text: tail,head,length,link,direction of edges (edge_id, tail, head, dist_m) and their links (edge_id, link_id,
+    forward)."""
+    both = edges.join(links, "edge_id")
+    return both.select(F.col("edge_id").alias("line"), F.concat_ws(",", "tail", "head", "dist_m", "link_id", F.when(F.col("forward"), "1").otherwise("0")).alias("text"))
+
+
+def csv_lines(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """line, text: a result's columns as lines of comma-separated values; null is empty."""
+    return df.select(F.col(order).alias("line"), F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("text"))
+
+
+#: What one unit of the networks' columns is: milliseconds in a second, metres in a kilometre, and so on.
+UNITS = {"ms_per_second": 1000, "seconds_per_hour": 3600, "metres_per_kilometre": 1000, "ms_per_day": 86_400_000}
+
+
+def unit_table(spark: SparkSession) -> DataFrame:
+    """name, value of the unit scalars."""
+    return spark.createDataFrame(sorted(UNITS.items()), "name string, value long")
+
+
+def tikz_lines(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """line, text: a TikZ path for each edge (edge_id, tail, head) between nodes (node_id, x, y)."""
+    a, b = (nodes.select(F.col("node_id").alias(end), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}")) for end in ("tail", "head"))
+    both = edges.join(a, "tail").join(b, "head")
+    return both.select(F.col("edge_id").alias("line"), F.format_string("\\draw (%d,%d) -- (%d,%d);", "x_tail", "y_tail", "x_head", "y_head").alias("text"))

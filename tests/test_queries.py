@@ -1,5 +1,7 @@
 """Every registered network query against its SQL in DuckDB."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -21,7 +23,7 @@ def con():
 def rows(df):
     df = df[sorted(df.columns)]
     plain = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, float) else v
-    return list(df.columns), sorted(str(tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in map(plain, r))) for r in df.itertuples(index=False, name=None))
+    return list(df.columns), sorted(str(tuple(float(v) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v) for v in map(plain, r))) for r in df.itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

@@ -44,7 +44,7 @@ def dijkstra(edges, src):
 def test_whole_distances(spark, later, name):
     od, edges = tables(spark, later, "od", "g_trans" if name.startswith("astar") else "g_grid")
     want = {r["query_id"]: dijkstra(edges, r["src"]).get(r["dst"]) for r in od if r["src"] != r["dst"]}
-    got = catalog.queries()[f"{name}_all"](spark, later).collect()
+    got = catalog.queries()[f"{name}"](spark, later).collect()
     assert want and {r["query_id"]: r["dist"] for r in got} == want and len(got) == len(want)
 
 
@@ -54,7 +54,7 @@ def test_whole_tables(spark, later, name):
     od = [r for r in od if name == "many_to_many" or r["src"] != r["dst"]]
     ends = {r["dst"] for r in od}
     want = {(s, t, d) for s in {r["src"] for r in od} for t, d in dijkstra(edges, s).items() if t in ends}
-    assert want and {(r["src"], r["dst"], r["dist"]) for r in catalog.queries()[f"{name}_all"](spark, later).collect()} == want
+    assert want and {(r["src"], r["dst"], r["dist"]) for r in catalog.queries()[f"{name}"](spark, later).collect()} == want
 
 
 @pytest.mark.parametrize("name", ["shortest_path_nodes", "path_prefix_dist"])
@@ -62,7 +62,7 @@ def test_whole_paths(spark, later, name):
     od, edges = tables(spark, later, "od", "g_grid")
     step = {(e["tail"], e["head"]): e["weight"] for e in edges}
     ways = {}
-    for r in sorted(catalog.queries()[f"{name}_all"](spark, later).collect(), key=lambda r: r["idx"]):
+    for r in sorted(catalog.queries()[f"{name}"](spark, later).collect(), key=lambda r: r["idx"]):
         ways.setdefault(r[0] if name == "shortest_path_nodes" else r["path_id"], []).append((r["node"], r["dist"]))
     assert set(ways) == {r["query_id"] for r in od if r["src"] != r["dst"]}
     for r in od:
@@ -75,9 +75,9 @@ def test_whole_paths(spark, later, name):
 def test_whole_bounds(spark, later):
     od, edges = tables(spark, later, "od", "g_grid")
     dist = {r["query_id"]: dijkstra(edges, r["src"])[r["dst"]] for r in od if r["src"] != r["dst"]}
-    assert sorted(map(tuple, catalog.queries()["penalty_metrics_base_all"](spark, later).collect())) == sorted((q, x * 125 // 100, x // 100) for q, x in dist.items())
+    assert sorted(map(tuple, catalog.queries()["penalty_metrics_base"](spark, later).collect())) == sorted((q, x * 125 // 100, x // 100) for q, x in dist.items())
     far = {s: min(((x, v) for v, x in dijkstra(edges, s).items() if x >= 100_000), default=None) for s in {r["src"] for r in od}}
-    got = {r["q"]: (r["dist"], r["node"]) for r in catalog.queries()["od_geometric_all"](spark, later).collect()}
+    got = {r["q"]: (r["dist"], r["node"]) for r in catalog.queries()["od_geometric"](spark, later).collect()}
     assert got == {s: x for s, x in far.items() if x}
 
 
@@ -105,7 +105,7 @@ def test_whole_time_dependent(spark, later):
                             heapq.heappush(heap, (t + cost(e["edge_id"], t), e["head"]))
             want[r["query_id"]] = best[r["dst"]] - r["departure"]
     run = catalog.queries()
-    assert {r["query_id"]: r["duration"] for r in run["td_earliest_arrival_all"](spark, later).collect()} == want
+    assert {r["query_id"]: r["duration"] for r in run["td_earliest_arrival"](spark, later).collect()} == want
     corridor = {r["query_id"]: r["duration"] for r in run["td_sampled_corridor"](spark, later).collect()}
     assert set(corridor) == set(want) and all(corridor[q] >= want[q] for q in want)
     way = {}
@@ -139,18 +139,18 @@ def test_whole_nearest(spark):
         k = r["o_orderkey"]
         x, y = k * 7919 % 200, k * 104729 % 260
         want.add((k, *min(((n["x"] * 3 - x) ** 2 + (n["y"] * 5 - y) ** 2, n["node_id"]) for n in nodes)[::-1]))
-    assert {(r["point_id"], r["node_id"], r["d2"]) for r in catalog.queries()["nearest_node_all"](spark, SMALL).collect()} == want
+    assert {(r["point_id"], r["node_id"], r["d2"]) for r in catalog.queries()["nearest_node"](spark, SMALL).collect()} == want
 
 
 def test_whole_links(spark):
     links = sorted(view(spark, SMALL, "links").collect(), key=lambda r: r["seq"])
     ranges = {(r["seq"], r["seq"] + 1 + r["link_id"] % 7) for r in links}
     want = {r for r in ranges if not any(q != r and q[0] >= r[0] and q[1] <= r[1] for q in ranges)}
-    assert {tuple(r) for r in catalog.queries()["filter_covered_all"](spark, SMALL).collect()} == want
+    assert {tuple(r) for r in catalog.queries()["filter_covered"](spark, SMALL).collect()} == want
     paths = {}
     for r in links:
         paths.setdefault(r["trip"], []).append(r["link_id"] % 3)
-    assert catalog.queries()["distinct_paths_all"](spark, SMALL).first()["variants"] == len(set(map(tuple, paths.values())))
+    assert catalog.queries()["distinct_paths"](spark, SMALL).first()["variants"] == len(set(map(tuple, paths.values())))
 
 
 def test_whole_perfect_distances(spark):
@@ -161,7 +161,7 @@ def test_whole_perfect_distances(spark):
     # an edge from t to h, t < h by id, counts where its ranks rise as well, as in the query's SQL
     pairs = {(a, b) for a, b in pairs if node[a] < node[b]}
     dist = {a: dijkstra(edges, node[a]) for a in {a for a, _ in pairs}}
-    got = {tuple(r) for r in catalog.queries()["cch_perfect_distances_all"](spark, SMALL).select("lo", "hi", "up").collect()}
+    got = {tuple(r) for r in catalog.queries()["cch_perfect_distances"](spark, SMALL).select("lo", "hi", "up").collect()}
     assert got == {(a, b, dist[a][node[b]]) for a, b in pairs}
 
 
