@@ -20,7 +20,7 @@ from ..session import cut
 from ..sources import files
 from .cooperative import CELLS, DRAW, NET, USED, net, usage_buckets
 from .static import ARCS_G, OD, PAIRS, od_all, sssp
-from .structure import completed, rank_od, ranked, weights
+from .structure import CCH, CELL, below, cch_sql, completed, rank_od, ranked, weights
 from .timed import EA, LINE, SEG
 
 QUERIES: dict = {}
@@ -130,7 +130,11 @@ def cch_perfect_query(spark, d):
     return with_ends(spark, d, h.label_query(cut(label), by_ranks(spark, d)))
 
 
-@query("cch_unpack_arcs")
+W = CCH | dict([below("up", "a", "b"), below("dn", "b", "a")]) | {"w": "select lo, hi, u.d as up, w.d as down from cch left join up u on u.q = lo and u.v = hi left join dn w on w.q = lo and w.v = hi"}
+ARCS_UNPACKED = "select x.lo, x.hi, min(case when y.down + z.up = x.up then y.lo end) as up_mid, min(case when z.down + y.up = x.down then y.lo end) as down_mid from w x left join (w y join w z on y.lo = z.lo) on y.hi = x.lo and z.hi = x.hi group by x.lo, x.hi"
+
+
+@query("cch_unpack_arcs", cch_sql(ARCS_UNPACKED, W))
 def cch_unpack_arcs(spark, d):
     return h.unpack_arcs(weights(spark, d))
 
@@ -145,12 +149,18 @@ def tree(spark, d):
     return cut(h.full_tree(completed(spark, d), view(spark, d, "grid_order")))
 
 
-@query("separator_tree")
+@query("separator_tree", cch_sql("select rank, cell from cells", CELL))
 def separator_tree(spark, d):
     return h.separator_tree(tree(spark, d))
 
 
-@query("separator_levels")
+LEVELS = CELL | {
+    "up": "select distinct a.cell, b.cell as top from tree t join cells a on a.rank = t.rank join cells b on b.rank = t.parent where a.cell <> b.cell",
+    "l(cell, level)": "select cell, 0::bigint from cells where cell not in (select cell from up) group by cell union all select up.cell, level + 1 from l join up on up.top = l.cell",
+}
+
+
+@query("separator_levels", cch_sql("select level, count(distinct cell) as cells, count(*) as nodes from l join cells using (cell) group by level", LEVELS))
 def separator_levels(spark, d):
     return h.separator_levels(tree(spark, d))
 

@@ -29,31 +29,59 @@ def ranked(spark, d):
     return g.ranked(view(spark, d, "g_grid"), view(spark, d, "grid_order"))
 
 
+#: The completion: two ranks are joined if a way between them has only lower ranks inside.
+CCH = {
+    "ra": "select a.rank as a, b.rank as b, weight from g_grid join grid_order a on a.node_id = tail join grid_order b on b.node_id = head",
+    "sym": "select a, b from ra where a <> b union select b, a from ra where a <> b",
+    "r(q, x)": "select rank, rank from grid_order union select r.q, sym.b from r join sym on sym.a = r.x where r.x <= r.q",
+    "cch": "select q as lo, x as hi from r where x > q",
+}
+TREE = CCH | {"tree": "select rank, (select min(hi) from cch where lo = rank) as parent from grid_order"}
+CELL = TREE | {
+    "single": "select parent from tree where parent is not null group by parent having count(*) = 1",
+    "c(rank, top)": "select rank, rank from tree union all select c.rank, t.parent from c join tree t on t.rank = c.top join single s on s.parent = t.parent",
+    "cells": "select rank, max(top) as cell from c group by rank",
+}
+
+
+def below(name: str, start: str, end: str) -> tuple[str, str]:
+    """Shortest ways from (or to) a rank whose inner ranks are lower than it."""
+    return (
+        f"{name}(q, v, d) using key (q, v)",
+        f"""select rank, rank, 0::bigint from grid_order union select f.q, e.{end}, min(f.d + e.weight) from {name} f join ra e on e.{start} = f.v
+            left join recurring.{name} x on x.q = f.q and x.v = e.{end} where f.v <= f.q and (x.d is null or f.d + e.weight < x.d) group by f.q, e.{end}""",
+    )
+
+
+def cch_sql(body: str, more: dict[str, str] = CCH) -> str:
+    return with_sql(body, extra=more, recursive=True)
+
+
 def completed(spark, d):
     return cut(h.contract(ranked(spark, d)))
 
 
-@query("cch_edges")
+@query("cch_edges", cch_sql("select lo, hi from cch"))
 def cch_edges(spark, d):
     return h.contract(ranked(spark, d))
 
 
-@query("elimination_tree")
+@query("elimination_tree", cch_sql("select lo as rank, min(hi) as parent from cch group by lo"))
 def elimination_tree(spark, d):
     return h.elimination_tree(completed(spark, d))
 
 
-@query("cch_degrees")
+@query("cch_degrees", cch_sql("select coalesce(a.rank, b.rank) as rank, coalesce(u, 0) as up_degree, coalesce(w, 0) as down_degree from (select lo as rank, count(*) as u from cch group by lo) a full join (select hi as rank, count(*) as w from cch group by hi) b on a.rank = b.rank"))
 def cch_degrees(spark, d):
     return h.levels(completed(spark, d))
 
 
-@query("cch_respecting")
+@query("cch_respecting", cch_sql("select lo, hi, (select min(weight) from ra where a = lo and b = hi) as up, (select min(weight) from ra where a = hi and b = lo) as down from cch"))
 def cch_respecting(spark, d):
     return h.respecting(completed(spark, d), ranked(spark, d))
 
 
-@query("cch_triangles")
+@query("cch_triangles", cch_sql("select x.lo as low, count(*) as triangles from cch x join cch y on x.lo = y.lo and x.hi < y.hi group by x.lo"))
 def cch_triangles(spark, d):
     return h.lower_triangles(completed(spark, d)).groupBy("low").agg(F.count(F.lit(1)).alias("triangles"))
 
@@ -62,7 +90,7 @@ def weights(spark, d, perfect=False):
     return cut(h.customize(h.respecting(completed(spark, d), ranked(spark, d)), perfect))
 
 
-@query("cch_customized")
+@query("cch_customized", cch_sql("select lo, hi, u.d as up, w.d as down from cch left join up u on u.q = lo and u.v = hi left join dn w on w.q = lo and w.v = hi", CCH | dict([below("up", "a", "b"), below("dn", "b", "a")])))
 def cch_customized(spark, d):
     return weights(spark, d)
 
