@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences: quality, exact copies, near copies, personal data, packing."""
+"""From raw documents to packed sequences: quality, exact copies, near copies, personal data, packing.
+
+Null texts are scored and compared as empty ones, stay null where they stay, and are one token long when packed. A null id
+is the lowest for exact copies and the largest for near copies. Of rows that repeat an id and a text one stays. Other
+columns, whatever their names, go with their rows; empty tables give empty ones.
+"""
 
 from __future__ import annotations
 

@@ -119,6 +119,18 @@ class Model:
 ALONE, TOGETHER = 10.83, 42.0
 
 
+def tell_alone(labels: np.ndarray, row: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    """Features whose 2 x 2 table with the class has a G statistic over the threshold; words in three rows at least."""
+    n, positive = len(labels), labels.sum()
+    known, place = np.unique(feature, return_inverse=True)
+    hit, seen = np.bincount(place, labels[row], len(known)), np.bincount(place, minlength=len(known)).astype(float)
+    g = np.zeros(len(known))
+    for count, mean in ((hit, seen * positive / n), (seen - hit, seen * (n - positive) / n), (positive - hit, (n - seen) * positive / n), (n - seen - (positive - hit), (n - seen) * (n - positive) / n)):
+        g += 2 * np.where(count > 0, count * np.log(np.maximum(count, 1e-9) / np.maximum(mean, 1e-9)), 0)
+    g[(seen < 3) & (known < 1 << TERM_BITS)] = 0
+    return known[g > ALONE]
+
+
 def pairs_that_tell(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, support: float = 0.01) -> np.ndarray:
     """Features of pairs whose rows' labels differ from what the two features' single effects, added on the
     logistic scale, lead to expect. Tested are all pairs with `support` of the rows in common and enough of
@@ -162,13 +174,7 @@ def train(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, factors: int
     bias = float(np.log((positive + 1) / (n - positive + 1)))
     if not 0 < positive < n:
         return Model(bias, keep, np.zeros(0), np.zeros((0, factors)))
-    hit = np.bincount(feature, labels[row], FEATURES)
-    seen = np.bincount(feature, minlength=FEATURES).astype(float)
-    # G statistic of the 2 x 2 table of feature and class
-    cells = [(hit, seen * positive / n), (seen - hit, seen * (n - positive) / n), (positive - hit, (n - seen) * positive / n), (n - seen - (positive - hit), (n - seen) * (n - positive) / n)]
-    g = 2 * sum(np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(e, 1e-9)), 0) for a, e in cells)
-    g[(seen < 3) & (np.arange(FEATURES) < 1 << TERM_BITS)] = 0
-    chosen = np.union1d(np.flatnonzero(g > ALONE), pairs_that_tell(labels, row, feature))
+    chosen = np.union1d(tell_alone(labels, row, feature), pairs_that_tell(labels, row, feature))
     keep[chosen] = np.arange(len(chosen))
     row, feature = row[keep[feature] >= 0], keep[feature[keep[feature] >= 0]]
     rng = np.random.default_rng(seed)
@@ -227,9 +233,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int,
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_featurise, "doc_id long, label int, features binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["features"]))
-    parts = [np.frombuffer(r["features"], np.int32).astype(np.int64) for r in rows]
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return train(np.array([float(r["label"] > 0) for r in rows]), row, np.concatenate([np.zeros(0, np.int64), *parts]), decay=decay)
+    parts, truth = [np.frombuffer(r["features"], np.int32) for r in rows], np.array([float(r["label"] > 0) for r in rows])
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    feature = np.concatenate([np.zeros(0, np.int32), *parts])
+    del rows, parts
+    return train(truth, row, feature, decay=decay)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterator[pa.RecordBatch]:

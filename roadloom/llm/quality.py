@@ -20,5 +20,6 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
-    """The rows of `docs` that `quality` predicts 1 for, with all their columns."""
+    """The rows of `docs` that `quality` predicts 1 for, with all their columns. Null texts are scored as empty ones;
+    repeated rows share their score, so they stay or go together; an empty table gives an empty one."""
     return fm.keep_rows(docs, fm.fit(docs, labels, "quality", MODULUS, REST, sample, 1e-4), THRESHOLD)

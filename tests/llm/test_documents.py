@@ -71,8 +71,8 @@ def test_fingerprints(odd, none, spark):
             t, n = row[1] or "", rows[(k + 1) % len(rows)][1] or ""
             q = len(t) // 4
             e = t[: len(t) - q] + n[:q]
-            same = float(fingerprint.canonical(t) == fingerprint.canonical(n))
-            assert any((r["n_chars"], r["edited_sha256"], r["near_next"]) == (len(t), hashlib.sha256(e.encode()).hexdigest(), same) for r in got[row[0]])
+            same, kept = float(fingerprint.canonical(t) == fingerprint.canonical(n)), float(fingerprint.canonical(t) == fingerprint.canonical(e))
+            assert any((r["n_chars"], r["edited_sha256"], r["near_next"], r["near_edited"]) == (len(t), hashlib.sha256(e.encode()).hexdigest(), same, kept) for r in got[row[0]])
             whole.setdefault(fingerprint.canonical(t), set()).update(r["fingerprint"] for r in got[row[0]] if len([x for x in rows if x[0] == row[0]]) == 1)
         prints = [next(iter(v)) for v in whole.values() if v]
         assert all(len(v) <= 1 for v in whole.values()) and len(set(prints)) == len(prints)
