@@ -13,7 +13,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         base = sc.getConf().get("spark.checkpoint.dir")
         if not base:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="roadloom-")
         sc.setCheckpointDir(base)
