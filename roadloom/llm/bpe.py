@@ -175,7 +175,7 @@ _SPLIT_SCHEMA = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("word", p
 def _split(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Rows of several texts as word numbers of their chunk (chunk, ids, sizes, refs), and the chunk's words
     (chunk, at, word)."""
-    tokens, chunk, numbers, refs = Tokens.of(path, "word"), TaskContext.get().partitionId() << 32, Numbers(), 0
+    tokens, chunk, numbers = Tokens.of(path, "word"), TaskContext.get().partitionId() << 32, Numbers()
     ids, sizes, own = [], [], array("I")
 
     def out(n, **columns):
@@ -183,14 +183,22 @@ def _split(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SPLIT_SCHEMA], schema=_SPLIT_SCHEMA)
 
     def close():
-        words = list(numbers)
+        # anew by frequency, so that most numbers are small
+        refs = np.frombuffer(own, np.uint32)
+        order = np.argsort(-np.bincount(refs, minlength=len(numbers)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        refs, words, ends = rank[refs], list(numbers), np.cumsum(sizes)
+        lo = 0
+        while lo < len(ids):
+            start = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, start + ROW_REFS, side="right")))
+            yield out(1, ids=[ids[lo:hi]], sizes=[sizes[lo:hi]], refs=[squeezed(refs[start : int(ends[hi - 1])])])
+            lo = hi
         for lo in range(0, len(words), 16384):
-            part = words[lo : lo + 16384]
+            part = [words[i] for i in order[lo : lo + 16384].tolist()]
             yield out(len(part), at=range(lo, lo + len(part)), word=part)
 
-    def texts():
-        return out(1, ids=[ids], sizes=[sizes], refs=[squeezed(np.frombuffer(own, np.uint32))])
-
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             before = len(own)
@@ -199,16 +207,11 @@ def _split(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
                     own.extend(map(numbers.__getitem__, block))
             ids.append(doc_id)
             sizes.append(len(own) - before)
-            full = len(numbers) > CHUNK_WORDS or refs + len(own) > CHUNK_REFS
-            if full or len(own) > ROW_REFS:
-                yield texts()
-                refs, ids, sizes, own = refs + len(own), [], [], array("I")
-            if full:
+            if len(numbers) > CHUNK_WORDS or len(own) > CHUNK_REFS:
                 yield from close()
-                chunk, numbers, refs = chunk + 1, Numbers(), 0
+                chunk, numbers, ids, sizes, own = chunk + 1, Numbers(), [], [], array("I")
     if ids:
-        yield texts()
-    yield from close()
+        yield from close()
 
 
 _IDS = "chunk long, at binary, sizes binary, ids binary"
