@@ -453,3 +453,18 @@ def core(edges: DataFrame) -> DataFrame:
             return both.select(F.col("tail").alias("node_id")).distinct()
         rest = both.join(single, "tail", "left_anti")
         both = cut(rest.join(single.withColumnRenamed("tail", "head"), "head", "left_anti").select("tail", "head"))
+
+
+def tree_levels(tree: DataFrame) -> DataFrame:
+    """rank, level: the longest way down from a node (rank, parent, null for roots) to a leaf, whose level is 0. A round
+    for each level; every round only the nodes whose level grows are looked at."""
+    from ..session import cut
+
+    tree = cut(tree.select("rank", "parent"))
+    now = cut(tree.select("rank", F.lit(0).cast("long").alias("level")))
+    grown = now
+    while grown.head(1):
+        up = grown.join(tree.where("parent is not null"), "rank").groupBy(F.col("parent").alias("rank")).agg((F.max("level") + 1).alias("new"))
+        both = cut(now.join(up, "rank", "left").select("rank", F.greatest("level", "new").alias("level"), (F.col("new") > F.col("level")).alias("more")))
+        now, grown = both.select("rank", "level"), both.where("more").select("rank", "level")
+    return now

@@ -365,3 +365,19 @@ def dijkstra_ranks(edges: DataFrame, source: int) -> DataFrame:
     start = edges.sparkSession.createDataFrame([(source, source, 0)], "q long, node long, dist long")
     ranked = search(edges, start).select("node", "dist", F.row_number().over(Window.partitionBy("q").orderBy("dist", "node")).cast("long").alias("rank"))
     return ranked.where(F.col("rank").bitwiseAND(F.col("rank") - 1) == 0)
+
+
+def label_search(edges: DataFrame, seeds: DataFrame, link: Callable[[Column, Callable[[str], Column]], Column], merge: Callable[[Column], Column], better: Callable[[Column, Column], Column]) -> DataFrame:
+    """q, node, label for labels of any kind that a column can hold. seeds (q, node, label); link(label, edge) is the label
+    after an edge, of whose columns edge(name) gives one; merge aggregates a node's labels into its best; better(a, b)
+    says that a improves on b. It ends when no label improves, so links must not improve labels around a circle."""
+    edges = cut(edges)
+    state = cut(seeds.groupBy("q", "node").agg(merge(F.col("label")).alias("label")).withColumn("fresh", F.lit(True)))
+    while state.where("fresh").head(1):
+        moved = state.where("fresh").alias("f").join(edges.alias("e"), F.col("f.node") == F.col("e.tail"))
+        cand = moved.select("f.q", F.col("e.head").alias("node"), link(F.col("f.label"), lambda c: F.col(f"e.{c}")).alias("label"))
+        best = cand.where("label is not null").groupBy("q", "node").agg(merge(F.col("label")).alias("new"))
+        both = state.select("q", "node", "label").join(best, ["q", "node"], "full")
+        gain = F.col("new").isNotNull() & (F.col("label").isNull() | better(F.col("new"), F.col("label")))
+        state = cut(both.select("q", "node", F.when(gain, F.col("new")).otherwise(F.col("label")).alias("label"), gain.alias("fresh")))
+    return state.drop("fresh")

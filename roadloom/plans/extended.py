@@ -175,6 +175,35 @@ def reordered_size(spark, d):
     return h.reordered(tree(spark, d), "size")
 
 
+@query("cch_levels", cch_sql("select rank, max(level) as level from h group by rank", CELL | {"h(rank, level)": "select rank, 0::bigint from tree union select t.parent, level + 1 from h join tree t on t.rank = h.rank where t.parent is not null"}))
+def cch_levels(spark, d):
+    return h.tree_levels(tree(spark, d))
+
+
+CORE = "select v from (select tail as v, head as o from g_grid union select head, tail from g_grid) where v <> o group by v having count(*) > 2"
+
+
+@query("topological_core", sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from od where src in ({CORE})", f"select q as source, v as node, d as dist from sp where v in ({CORE})"))
+def topological_core(spark, d):
+    """Distances from the workload's sources that lie in the core to all of its nodes, on the core alone."""
+    left = cut(ch.topological_core(view(spark, d, "g_grid")))
+    nodes = left.select(F.col("tail").alias("node")).union(left.select("head")).distinct()
+    return s.one_to_all(left, nodes.join(view(spark, d, "od").select(F.col("src").alias("node")).distinct(), "node", "left_semi"))
+
+
+WIDEST = ("sp(q, v, d) using key (q, v)", """select 0::bigint as q, 0::bigint as v, 1000000000::bigint as d union
+    select f.q, e.head, max(least(f.d, e.weight)) from sp f join g_trans e on e.tail = f.v left join recurring.sp r on r.q = f.q and r.v = e.head
+    where r.d is null or least(f.d, e.weight) > r.d group by f.q, e.head""")
+
+
+@query("widest_paths", with_sql("select v as node, d as width from sp", extra=dict([WIDEST]), recursive=True))
+def widest_paths(spark, d):
+    """The largest smallest weight on a way from part 0: another label algebra than sums and minima."""
+    seeds = spark.createDataFrame([(0, 0, 1_000_000_000)], "q long, node long, label long")
+    found = s.label_search(view(spark, d, "g_trans"), seeds, lambda label, edge: F.least(label, edge("weight")), F.max, lambda a, b: a > b)
+    return found.select("node", F.col("label").alias("width"))
+
+
 UPDATED = ARCS_G.replace("g_grid", "(select tail, head, case when u.edge_id is null then weight else weight + 7000 end as weight from g_grid left join (select edge_id from g_grid where edge_id % 5 = 0) u using (edge_id))")
 
 
