@@ -18,11 +18,21 @@ from pyspark.sql import functions as F
 from .ordered import number_rows
 
 #: Largest completion that one task may build and customize.
-MOST_EDGES = 20_000_000
+MOST_EDGES = 4_000_000
 #: Largest customized completion that goes to every task, as four arrays (128 MB).
 MOST_SHARED = 4_000_000
 
 
+def _one_task(df: DataFrame, run, schema: str) -> DataFrame:
+    """run over the whole table in one task, if the table isn't too large for that; it is written before it is counted."""
+    from ..session import cut
+
+    df = cut(df)
+    if df.count() > MOST_EDGES:
+        raise ValueError("the table is too large for one task")
+    return df.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, schema)
+
+
 def contract(ranked: DataFrame) -> DataFrame:
     """lo, hi: edges between ranks (tail, head) completed so that the higher neighbours of every node form
     a clique. The neighbours of the lowest node go to its lowest neighbour, in ascending order."""
@@ -43,7 +53,7 @@ def contract(ranked: DataFrame) -> DataFrame:
         return pd.DataFrame([(v, w) for v in sorted(above) for w in sorted(above[v])], columns=["lo", "hi"])
 
     pairs = ranked.where("tail <> head").select(F.least("tail", "head").alias("lo"), F.greatest("tail", "head").alias("hi")).distinct()
-    return pairs.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "lo long, hi long")
+    return _one_task(pairs, run, "lo long, hi long")
 
 
 def elimination_tree(cch: DataFrame) -> DataFrame:
@@ -93,7 +103,7 @@ def customize(weights: DataFrame, perfect: bool = False) -> DataFrame:
         rows = [(v, w, up[v][w], down[v][w]) for v in up for w in up[v]]
         return pd.DataFrame([(v, w, None if x == inf else int(x), None if y == inf else int(y)) for v, w, x, y in rows], columns=["lo", "hi", "up", "down"]).astype({"up": "Int64", "down": "Int64"})
 
-    return weights.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "lo long, hi long, up long, down long")
+    return _one_task(weights, run, "lo long, hi long, up long, down long")
 
 
 def ancestors(tree: DataFrame, starts: DataFrame) -> DataFrame:
@@ -396,7 +406,7 @@ def levels(cch: DataFrame) -> DataFrame:
 
 def biconnected(edges: DataFrame) -> DataFrame:
     """lo, hi, component: biconnected components of the undirected edges, numbered by their smallest edge.
-    Depth-first search is sequential; connected parts are dealt to tasks by `part` if there is such a column."""
+    Depth-first search is sequential: one task, over a network of checked size."""
 
     def run(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
@@ -438,7 +448,7 @@ def biconnected(edges: DataFrame) -> DataFrame:
         return frame[["lo", "hi", "component"]]
 
     pairs = edges.where("tail <> head").select(F.least("tail", "head").alias("lo"), F.greatest("tail", "head").alias("hi")).distinct()
-    return pairs.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "lo long, hi long, component long")
+    return _one_task(pairs, run, "lo long, hi long, component long")
 
 
 def core(edges: DataFrame) -> DataFrame:
