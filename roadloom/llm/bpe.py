@@ -6,6 +6,7 @@
      the chunks that have it, in one row for each chunk and task.
   3. The numbered texts meet their chunk's ids and put them back by position; the ids are decoded by a join with
      the id-to-piece table, which is as large as the tokenizer file and is looked up in the task.
+The texts pass through the exchange of step 2 as rows of numbers, so that both exchanges are all that is written.
 A chunk's distinct words and its length are bounded, so a task holds one dictionary of bounded size; a word that
 all chunks have is one short row for each of them.
 """
@@ -22,21 +23,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
-
 #: Texts over so many characters are split into words block by block.
 LONG_TEXT = 1 << 18
 BLOCK_WORDS = 1 << 16
 #: Words that a task keeps encoded at once (packing).
 TASK_WORDS = 200_000
 #: Distinct words of a chunk of texts, and its words in all; words of the texts that travel in one row.
-CHUNK_WORDS, CHUNK_REFS, ROW_REFS = 500_000, 8 << 20, 1 << 17
+CHUNK_WORDS, CHUNK_REFS, ROW_REFS = 500_000, 8 << 20, 1 << 15
 #: Rows (word, chunk) whose ids a task gathers before it passes them on by chunk.
 GATHERED = 500_000
 
@@ -214,11 +214,17 @@ def _split(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
         yield from close()
 
 
-_IDS = "chunk long, at binary, sizes binary, ids binary"
+_MET = "chunk long, text boolean, doc_ids array<long>, lengths array<long>, refs binary, at binary, sizes binary, ids binary"
+_MET_SCHEMA = pa.schema([("chunk", pa.int64()), ("text", pa.bool_()), ("doc_ids", _LONGS), ("lengths", _LONGS), *((n, pa.binary()) for n in ("refs", "at", "sizes", "ids"))])
+
+
+def _met(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _MET_SCHEMA], schema=_MET_SCHEMA)
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Rows (word, chunk, at) sorted by word: each word's ids, made once, gathered by chunk."""
+    """Rows of `_split`, those without a word first, the others by word: texts go on as they are; each word's ids are made
+    once and gathered by chunk."""
     tokens = Tokens.of(path, "word")
     ids, chunks, ats, which, last, gathered = [], [], [], [], None, 0
 
@@ -233,20 +239,26 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
             mine = order[lo:hi]
             n = sizes[word[mine]]
             place = np.repeat(starts[word[mine]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            row = [[int(chunk[mine[0]])], [squeezed(np.diff(at[mine], prepend=0))], [squeezed(n)], [squeezed(flat[place])]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, [pa.int64()] + [pa.binary()] * 3)], names=["chunk", "at", "sizes", "ids"])
+            yield _met(1, chunk=[int(chunk[mine[0]])], text=[False], at=[squeezed(np.diff(at[mine], prepend=0))], sizes=[squeezed(n)], ids=[squeezed(flat[place])])
 
     for batch in batches:
-        words = batch.column(0).to_pylist()
+        spoken = batch.column(3).is_valid()
+        texts, batch = batch.filter(pc.invert(spoken)), batch.filter(spoken)
+        for lo in range(0, texts.num_rows, 16):
+            part = texts.slice(lo, 16)
+            yield _met(part.num_rows, chunk=part.column(0), text=[True] * part.num_rows, doc_ids=part.column(2), lengths=part.column(4), refs=part.column(5))
+        words = batch.column(3).to_pylist()
+        if not words:
+            continue
         new = [i for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
         base = len(ids)
         ids += [e.ids for e in tokens.tokenizer.encode_batch([words[i] for i in new], add_special_tokens=False)]
         mark = np.zeros(len(words), np.int64)
         mark[new] = 1
         which.append(base - 1 + np.cumsum(mark))
-        chunks.append(batch.column(1).to_numpy())
-        ats.append(batch.column(2).to_numpy())
-        last, gathered = words[-1] if words else last, gathered + len(words)
+        chunks.append(batch.column(0).to_numpy())
+        ats.append(batch.column(1).to_numpy())
+        last, gathered = words[-1], gathered + len(words)
         if gathered >= GATHERED:
             yield from out()
             ids, chunks, ats, which, gathered = ids[-1:], [], [], [], 0
@@ -312,13 +324,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     Tokens.of(path, "word")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    split = stage(source.mapInArrow(lambda b: _split(b, path), _SPLIT), "split")
-    met = split.where("word is not null").select("word", "chunk", "at").repartition("word").sortWithinPartitions("word")
-    encoded = met.mapInArrow(lambda b: _encode_words(b, path), _IDS)
-    none = lambda kind: F.lit(None).cast(kind)
-    words = encoded.select("chunk", F.lit(False).alias("text"), none("array<long>").alias("doc_ids"), none("array<long>").alias("lengths"), none("binary").alias("refs"), "at", "sizes", "ids")
-    texts = split.where("refs is not null").select("chunk", F.lit(True).alias("text"), F.col("ids").alias("doc_ids"), F.col("sizes").alias("lengths"), "refs", none("binary").alias("at"), none("binary").alias("sizes"), none("binary").alias("ids"))
-    dealt = words.union(texts).repartition("chunk").sortWithinPartitions("chunk", "text")
+    split = source.mapInArrow(lambda b: _split(b, path), _SPLIT).select("chunk", "at", "ids", "word", "sizes", "refs")
+    # words by word, and texts anywhere, in one exchange: nothing is written twice
+    met = split.repartition(F.coalesce("word", F.concat(F.lit("\n"), F.xxhash64("refs").cast("string")))).sortWithinPartitions(F.asc_nulls_first("word"))
+    dealt = met.mapInArrow(lambda b: _encode_words(b, path), _MET).repartition("chunk").sortWithinPartitions("chunk", "text")
     return dealt.mapInArrow(lambda b: _join_back(b, path), "doc_id long, ids array<int>, decoded string")
 
 

@@ -126,9 +126,11 @@ def test_bpe_chunks(monkeypatch, words, refs, gathered):
     rows = [r for b in bpe._split(iter(source), path) for r in b.to_pylist()]
     met = sorted((r["word"], r["chunk"], r["at"]) for r in rows if r["word"] is not None)
     assert len(set(met)) == len(met)
-    batches = [pa.RecordBatch.from_pydict(dict(zip(("word", "chunk", "at"), map(list, zip(*met[lo : lo + 5]))))) for lo in range(0, len(met), 5)]
-    back = [(r["chunk"], False, None, None, None, r["at"], r["sizes"], r["ids"]) for b in bpe._encode_words(iter(batches), path) for r in b.to_pylist()]
-    back += [(r["chunk"], True, r["ids"], r["sizes"], r["refs"], None, None, None) for r in rows if r["refs"] is not None]
+    columns = ("chunk", "at", "ids", "word", "sizes", "refs")
+    rows.sort(key=lambda r: (r["word"] is not None, r["word"] or ""))
+    kinds = [bpe._SPLIT_SCHEMA.field(c).type for c in columns]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[lo : lo + 5]], k) for c, k in zip(columns, kinds)], names=list(columns)) for lo in range(0, len(rows), 5)]
+    back = [tuple(r.values()) for b in bpe._encode_words(iter(batches), path) for r in b.to_pylist()]
     back.sort(key=lambda r: r[:2])
     types = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     joined = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*back[lo : lo + 4]), types)], names=list("abcdefgh")) for lo in range(0, len(back), 4)]
