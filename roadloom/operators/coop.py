@@ -161,22 +161,26 @@ def reduce_metrics(metrics: DataFrame, k: int) -> DataFrame:
     return metrics.sparkSession.createDataFrame([(i, dense[r]) for i, r in into.items()], "metric_id long, reduced long")
 
 
-def cooperative(network: DataFrame, od: DataFrame, size: int, batch: int = 1) -> DataFrame:
-    """query_id, duration, realised: trips in order of departure; each answered trip uses its edges'
+def cooperative(network: DataFrame, od: DataFrame, size: int, batch: int = 1, used: DataFrame | None = None) -> DataFrame:
+    """query_id, duration, realised, uses: trips in order of departure; each answered trip uses its edges'
     buckets, which slows later ones (square of the load).
 
     The exact order is sequential by nature: one task with the network (of checked size) as its state.
-    batch > 1 lets that many trips see the same state. `realised` is the time on the final state."""
+    batch > 1 lets that many trips see the same state. `realised` is the time on the final state, `uses`
+    the edges and buckets (edge_id, bucket) that the trip counts for. used (edge_id, bucket, used): earlier trips' uses."""
     if network.count() > 5_000_000:
         raise ValueError("the network is too large for one task")
     rows = network.where("capacity > 0").select("edge_id", "tail", "head", "ff_time", "capacity").collect()
-    shared = network.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+    if used is not None and used.count() > 5_000_000:
+        raise ValueError("the state is too large for one task")
+    before = {} if used is None else {(r["edge_id"], r["bucket"] // size): r["used"] for r in used.groupBy("edge_id", "bucket").agg(F.sum("used").alias("used")).collect()}
+    shared = network.sparkSession.sparkContext.broadcast(([tuple(r) for r in rows], before))
 
     def run(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
         graph: dict[int, list] = {}
-        for e, u, v, ff, cap in shared.value:
+        for e, u, v, ff, cap in shared.value[0]:
             graph.setdefault(u, []).append((v, e, ff, cap))
-        used: dict[tuple[int, int], int] = {}
+        used: dict[tuple[int, int], int] = dict(shared.value[1])
 
         def cost(e, ff, cap, t):
             load = used.get((e, t % DAY // size), 0) / cap
@@ -220,7 +224,7 @@ def cooperative(network: DataFrame, od: DataFrame, size: int, batch: int = 1) ->
             now = t
             for _, e, ff, cap, _ in path:
                 now += cost(e, ff, cap, now)
-            out.append((q, took, now - t if took is not None else None))
-        return pd.DataFrame(out, columns=["query_id", "duration", "realised"]).astype({"duration": "Int64", "realised": "Int64"})
+            out.append((q, took, now - t if took is not None else None, [(e, at % DAY // size * size) for _, e, _, _, at in path]))
+        return pd.DataFrame(out, columns=["query_id", "duration", "realised", "uses"]).astype({"duration": "Int64", "realised": "Int64"})
 
-    return od.select("query_id", "src", "dst", "departure").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "query_id long, duration long, realised long")
+    return od.select("query_id", "src", "dst", "departure").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "query_id long, duration long, realised long, uses array<struct<edge_id: long, bucket: long>>")

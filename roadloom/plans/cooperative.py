@@ -121,12 +121,12 @@ def invalid_updates(spark, d):
 
 @query("cooperative_trips")
 def cooperative_trips(spark, d):
-    return c.cooperative(net(spark, d), view(spark, d, "od"), 900_000)
+    return c.cooperative(net(spark, d), view(spark, d, "od"), 900_000).drop("uses")
 
 
 @query("cooperative_batched")
 def cooperative_batched(spark, d):
-    return c.cooperative(net(spark, d), view(spark, d, "od"), 900_000, batch=10)
+    return c.cooperative(net(spark, d), view(spark, d, "od"), 900_000, batch=10).drop("uses")
 
 
 DRAW = "(({k} * 7919 + {s} * 104729 + 12345) % 1000003 * 48271 % 2147483647) % {n}"
