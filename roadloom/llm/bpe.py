@@ -6,7 +6,8 @@
      the chunks that have it, in one row for each chunk and task.
   3. The numbered texts meet their chunk's ids and put them back by position; the ids are decoded by a join with
      the id-to-piece table, which is as large as the tokenizer file and is looked up in the task.
-The texts pass through the exchange of step 2 as rows of numbers, so that both exchanges are all that is written.
+Splitting is repeated for step 3 instead of keeping its results, so that both exchanges are all that is written; a chunk's name
+has its words' hash, so that a table that gives other rows the second time is noticed.
 A chunk's distinct words and its length are bounded, so a task holds one dictionary of bounded size; a word that
 all chunks have is one short row for each of them.
 """
@@ -23,10 +24,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ BLOCK_WORDS = 1 << 16
 #: Words that a task keeps encoded at once (packing).
 TASK_WORDS = 200_000
 #: Distinct words of a chunk of texts, and its words in all; words of the texts that travel in one row.
-CHUNK_WORDS, CHUNK_REFS, ROW_REFS = 500_000, 8 << 20, 1 << 15
+CHUNK_WORDS, CHUNK_REFS, ROW_REFS = 500_000, 8 << 20, 1 << 17
 #: Rows (word, chunk) whose ids a task gathers before it passes them on by chunk.
 GATHERED = 500_000
 
@@ -172,13 +172,14 @@ _LONGS = pa.list_(pa.int64())
 _SPLIT_SCHEMA = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("word", pa.string()), ("ids", _LONGS), ("sizes", _LONGS), ("refs", pa.binary())])
 
 
-def _split(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Rows of several texts as word numbers of their chunk (chunk, ids, sizes, refs), and the chunk's words
-    (chunk, at, word)."""
-    tokens, chunk, numbers = Tokens.of(path, "word"), TaskContext.get().partitionId() << 32, Numbers()
+def _split(batches: Iterator[pa.RecordBatch], path: str, spoken: bool) -> Iterator[pa.RecordBatch]:
+    """The chunks' words (chunk, at, word) if `spoken`; else rows of several texts as word numbers of their chunk (chunk, ids,
+    sizes, refs). A chunk is named by a hash of its words in their order, so both calls name it alike or, should the
+    table have changed between them, differently; chunks with the same words share their name and ids."""
+    tokens, numbers = Tokens.of(path, "word"), Numbers()
     ids, sizes, own = [], [], array("I")
 
-    def out(n, **columns):
+    def out(chunk, n, **columns):
         columns["chunk"] = [chunk] * n
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SPLIT_SCHEMA], schema=_SPLIT_SCHEMA)
 
@@ -189,15 +190,17 @@ def _split(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         refs, words, ends = rank[refs], list(numbers), np.cumsum(sizes)
+        words = [words[i] for i in order.tolist()]
+        chunk = xxhash.xxh3_64_intdigest(("\n".join(words) or f"\0{ids}").encode("utf-8", "surrogatepass")) - (1 << 63)
         lo = 0
-        while lo < len(ids):
+        while lo < len(ids) and not spoken:
             start = int(ends[lo - 1]) if lo else 0
             hi = max(lo + 1, int(np.searchsorted(ends, start + ROW_REFS, side="right")))
-            yield out(1, ids=[ids[lo:hi]], sizes=[sizes[lo:hi]], refs=[squeezed(refs[start : int(ends[hi - 1])])])
+            yield out(chunk, 1, ids=[ids[lo:hi]], sizes=[sizes[lo:hi]], refs=[squeezed(refs[start : int(ends[hi - 1])])])
             lo = hi
-        for lo in range(0, len(words), 16384):
-            part = [words[i] for i in order[lo : lo + 16384].tolist()]
-            yield out(len(part), at=range(lo, lo + len(part)), word=part)
+        for lo in range(0, len(words) if spoken else 0, 16384):
+            part = words[lo : lo + 16384]
+            yield out(chunk, len(part), at=range(lo, lo + len(part)), word=part)
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -209,7 +212,7 @@ def _split(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
             sizes.append(len(own) - before)
             if len(numbers) > CHUNK_WORDS or len(own) > CHUNK_REFS:
                 yield from close()
-                chunk, numbers, ids, sizes, own = chunk + 1, Numbers(), [], [], array("I")
+                numbers, ids, sizes, own = Numbers(), [], [], array("I")
     if ids:
         yield from close()
 
@@ -223,8 +226,7 @@ def _met(n: int, **columns) -> pa.RecordBatch:
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Rows of `_split`, those without a word first, the others by word: texts go on as they are; each word's ids are made
-    once and gathered by chunk."""
+    """Rows (word, chunk, at) sorted by word: each word's ids, made once, gathered by chunk."""
     tokens = Tokens.of(path, "word")
     ids, chunks, ats, which, last, gathered = [], [], [], [], None, 0
 
@@ -234,7 +236,7 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
         flat = np.array(list(itertools.chain.from_iterable(ids)), np.int64)
         starts = np.cumsum(sizes) - sizes
         order = np.lexsort((at, chunk))
-        cuts = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+        cuts = np.flatnonzero(np.concatenate([[True], chunk[order][1:] != chunk[order][:-1]]))
         for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
             mine = order[lo:hi]
             n = sizes[word[mine]]
@@ -242,12 +244,7 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
             yield _met(1, chunk=[int(chunk[mine[0]])], text=[False], at=[squeezed(np.diff(at[mine], prepend=0))], sizes=[squeezed(n)], ids=[squeezed(flat[place])])
 
     for batch in batches:
-        spoken = batch.column(3).is_valid()
-        texts, batch = batch.filter(pc.invert(spoken)), batch.filter(spoken)
-        for lo in range(0, texts.num_rows, 16):
-            part = texts.slice(lo, 16)
-            yield _met(part.num_rows, chunk=part.column(0), text=[True] * part.num_rows, doc_ids=part.column(2), lengths=part.column(4), refs=part.column(5))
-        words = batch.column(3).to_pylist()
+        words = batch.column(0).to_pylist()
         if not words:
             continue
         new = [i for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
@@ -256,8 +253,8 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
         mark = np.zeros(len(words), np.int64)
         mark[new] = 1
         which.append(base - 1 + np.cumsum(mark))
-        chunks.append(batch.column(0).to_numpy())
-        ats.append(batch.column(1).to_numpy())
+        chunks.append(batch.column(1).to_numpy())
+        ats.append(batch.column(2).to_numpy())
         last, gathered = words[-1], gathered + len(words)
         if gathered >= GATHERED:
             yield from out()
@@ -293,6 +290,8 @@ def _join_back(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
                 parts.append((np.cumsum(expanded(at.as_py())), expanded(sizes.as_py()), expanded(ids.as_py())))
                 continue
             if starts is None:
+                if not parts and sum(lengths.as_py()):
+                    raise RuntimeError("the documents changed while they were read")
                 places, n, flat = (np.concatenate([none, *(p[k] for p in parts)]) for k in range(3))
                 parts, starts, counts = [], np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
                 starts[places], counts[places] = np.cumsum(n) - n, n
@@ -324,10 +323,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     Tokens.of(path, "word")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    split = source.mapInArrow(lambda b: _split(b, path), _SPLIT).select("chunk", "at", "ids", "word", "sizes", "refs")
-    # words by word, and texts anywhere, in one exchange: nothing is written twice
-    met = split.repartition(F.coalesce("word", F.concat(F.lit("\n"), F.xxhash64("refs").cast("string")))).sortWithinPartitions(F.asc_nulls_first("word"))
-    dealt = met.mapInArrow(lambda b: _encode_words(b, path), _MET).repartition("chunk").sortWithinPartitions("chunk", "text")
+    # The texts are split twice, for their words and for their numbers, so that neither is written but for its exchange.
+    words = source.mapInArrow(lambda b: _split(b, path, True), _SPLIT).select("word", "chunk", "at").repartition("word").sortWithinPartitions("word")
+    texts = source.mapInArrow(lambda b: _split(b, path, False), _SPLIT)
+    none = lambda c: F.lit(None).cast("binary").alias(c)
+    texts = texts.select("chunk", F.lit(True).alias("text"), F.col("ids").alias("doc_ids"), F.col("sizes").alias("lengths"), "refs", none("at"), none("sizes"), none("ids"))
+    dealt = words.mapInArrow(lambda b: _encode_words(b, path), _MET).union(texts).repartition("chunk").sortWithinPartitions("chunk", "text")
     return dealt.mapInArrow(lambda b: _join_back(b, path), "doc_id long, ids array<int>, decoded string")
 
 

@@ -114,23 +114,18 @@ def test_bpe_chunks(monkeypatch, words, refs, gathered):
     """The steps one by one, with chunks and gathered rows of any size."""
     import pyarrow as pa
 
-    class Task:
-        get = staticmethod(lambda: Task)
-        partitionId = staticmethod(lambda: 3)
-
-    for name, value in (("CHUNK_WORDS", words), ("CHUNK_REFS", refs), ("ROW_REFS", refs // 2), ("GATHERED", gathered), ("TaskContext", Task)):
+    for name, value in (("CHUNK_WORDS", words), ("CHUNK_REFS", refs), ("ROW_REFS", refs // 2), ("GATHERED", gathered)):
         monkeypatch.setattr(bpe, name, value)
     path = queries.tokenizer_path("word_bpe_49k.json")
     docs = [(r[0], r[1]) for r in odd_docs()]
     source = [pa.RecordBatch.from_pydict({"doc_id": pa.array([d[0] for d in docs[lo : lo + 3]], pa.int64()), "text": pa.array([d[1] for d in docs[lo : lo + 3]], pa.string())}) for lo in range(0, len(docs), 3)]
-    rows = [r for b in bpe._split(iter(source), path) for r in b.to_pylist()]
-    met = sorted((r["word"], r["chunk"], r["at"]) for r in rows if r["word"] is not None)
-    assert len(set(met)) == len(met)
-    columns = ("chunk", "at", "ids", "word", "sizes", "refs")
-    rows.sort(key=lambda r: (r["word"] is not None, r["word"] or ""))
-    kinds = [bpe._SPLIT_SCHEMA.field(c).type for c in columns]
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[lo : lo + 5]], k) for c, k in zip(columns, kinds)], names=list(columns)) for lo in range(0, len(rows), 5)]
+    words, texts = ([r for b in bpe._split(iter(source), path, spoken) for r in b.to_pylist()] for spoken in (True, False))
+    assert {r["chunk"] for r in words} <= {r["chunk"] for r in texts}
+    met = sorted((r["word"], r["chunk"], r["at"]) for r in words)
+    assert all(r["refs"] is not None for r in texts)
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("word", "chunk", "at"), map(list, zip(*met[lo : lo + 5]))))) for lo in range(0, len(met), 5)]
     back = [tuple(r.values()) for b in bpe._encode_words(iter(batches), path) for r in b.to_pylist()]
+    back += [(r["chunk"], True, r["ids"], r["sizes"], r["refs"], None, None, None) for r in texts]
     back.sort(key=lambda r: r[:2])
     types = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     joined = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*back[lo : lo + 4]), types)], names=list("abcdefgh")) for lo in range(0, len(back), 4)]
