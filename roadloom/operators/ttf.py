@@ -358,9 +358,11 @@ def turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column)
 
 
 def crossing(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """Where in [0, 1] of a common interval two lines cross that go from a0 to a1 and from b0 to b1; null if they don't."""
+    """Where in a common interval, in whole millionths of it (halves up), two lines of whole numbers cross that go from a0
+    to a1 and from b0 to b1; null if they don't."""
     d0, d1 = a0 - b0, a1 - b1
-    return F.when((d0 != d1) & (F.signum(d0) * F.signum(d1) <= 0), d0 / (d0 - d1))
+    whole = F.abs(d0 - d1)
+    return F.when((d0 != d1) & (F.signum(d0) * F.signum(d1) <= 0), F.call_function("div", 2_000_000 * F.abs(d0) + whole, 2 * whole))
 
 
 def switch_points(ttf: DataFrame, live: DataFrame, soon: int) -> DataFrame:

@@ -129,20 +129,27 @@ def cooperative_batched(spark, d):
     return c.cooperative(net(spark, d), view(spark, d, "od"), 900_000, batch=10).drop("uses")
 
 
-DRAW = "(({k} * 7919 + {s} * 104729 + 12345) % 1000003 * 48271 % 2147483647) % {n}"
+DRAW = "('0x' || substr(md5({k} || ':{s}'), 1, 13))::bigint % {n}"
+KEYS = "(select o_orderkey::bigint as i from orders)"
 
 
-@query("od_uniform", f"select i as query_id, {DRAW.format(k='i', s=1, n=2000)} as src, ({DRAW.format(k='i', s=1, n=2000)} + 1 + {DRAW.format(k='i', s=2, n=1999)}) % 2000 as dst, {DRAW.format(k='i', s=3, n=86400000)} as departure from range(0, 5000) t(i)")
+def keys(spark, d):
+    """A trip for each order."""
+    return view(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("query_id"))
+
+
+@query("od_uniform", f"select i as query_id, {DRAW.format(k='i', s=1, n='n')} as src, ({DRAW.format(k='i', s=1, n='n')} + 1 + {DRAW.format(k='i', s=2, n='(n - 1)')}) % n as dst, {DRAW.format(k='i', s=3, n=86400000)} as departure from {KEYS}, (select count(*) as n from part)")
 def od_uniform(spark, d):
-    return w.uniform(spark, 5000, 2000, 1)
+    return w.uniform(keys(spark, d), view(spark, d, "part").count(), 1)
 
 
-HOURS = ", ".join(f"({h}::bigint, {n}::bigint)" for h, n in enumerate(w.RUSH_HOUR))
+#: The first of 245 trips in each hour, written out apart from the operator's own values.
+HOURS = "(0, 0), (2, 1), (3, 2), (4, 3), (5, 4), (7, 5), (10, 6), (15, 7), (25, 8), (45, 9), (63, 10), (78, 11), (90, 12), (102, 13), (116, 14), (131, 15), (146, 16), (162, 17), (180, 18), (200, 19), (217, 20), (230, 21), (238, 22), (242, 23)"
 
 
-@query("departure_rush_hour", f"with h as (select hour, sum(n) over (order by hour) - n as low, sum(n) over (order by hour) as high from (values {HOURS}) t(hour, n)) select i as query_id, hour * 3600000 + {DRAW.format(k='i', s=6, n=3600000)} as departure from range(0, 5000) t(i) join h on low <= {DRAW.format(k='i', s=5, n=245)} and {DRAW.format(k='i', s=5, n=245)} < high")
+@query("departure_rush_hour", f"select i as query_id, (select max(hour) from (values {HOURS}) t(low, hour) where low <= {DRAW.format(k='i', s=5, n=245)})::bigint * 3600000 + {DRAW.format(k='i', s=6, n=3600000)} as departure from {KEYS}")
 def departure_rush_hour(spark, d):
-    return w.rush_hour(spark, 5000, 5)
+    return w.departures(keys(spark, d), "rush_hour", 5)
 
 
 CELLS = {"n": "select node_id, (x // 8) * 1000 + y // 8 as cell, sz from grid_nodes", "p": "select cell, sum(sz)::bigint as population from n group by cell", "r": "select cell, sum(population) over (order by cell) - population as low, sum(population) over (order by cell) as high from p", "k": "select cell, node_id, row_number() over (partition by cell order by node_id) - 1 as k, count(*) over (partition by cell) as size from n"}

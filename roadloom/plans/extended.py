@@ -18,7 +18,7 @@ from ..operators import workload as w
 from ..operators.ordered import number_rows
 from ..session import cut
 from ..sources import files
-from .cooperative import CELLS, DRAW, NET, USED, net, usage_buckets
+from .cooperative import CELLS, DRAW, KEYS, NET, USED, keys, net, usage_buckets
 from .static import ARCS_G, OD, PAIRS, od_all, sssp
 from .structure import CCH, CELL, below, cch_sql, completed, rank_od, ranked, weights
 from .timed import EA, LINE, SEG
@@ -323,13 +323,13 @@ def ttf_turns(spark, d):
     return points.select("edge_id", "dep", t.turn(*map(F.col, ("dep", "tt", "dep1", "tt1", "dep2", "tt2"))).alias("turn"))
 
 
-@query("ttf_crossings", with_sql("select a.edge_id, a.dep, round((a.tt - b.tt)::double / ((a.tt - b.tt) - (a.tt1 - b.tt1)), 6) + 0 as at from s a join s b on b.edge_id = a.edge_id + 1 and a.dep = b.dep where a.edge_id % 2 = 0 and (a.tt - b.tt) <> (a.tt1 - b.tt1) and sign(a.tt - b.tt) * sign(a.tt1 - b.tt1) <= 0", extra={"s": SEG}))
+@query("ttf_crossings", with_sql("select a.edge_id, a.dep, (2000000 * abs(a.tt - b.tt) + abs((a.tt - b.tt) - (a.tt1 - b.tt1))) // (2 * abs((a.tt - b.tt) - (a.tt1 - b.tt1))) as at_millionths from s a join s b on b.edge_id = a.edge_id + 1 and a.dep = b.dep where a.edge_id % 2 = 0 and (a.tt - b.tt) <> (a.tt1 - b.tt1) and sign(a.tt - b.tt) * sign(a.tt1 - b.tt1) <= 0", extra={"s": SEG}))
 def ttf_crossings(spark, d):
-    """Where the functions of an even edge and the next one cross, in shares of their common segment."""
+    """Where the functions of an even edge and the next one cross, in millionths of their common segment."""
     seg = t.segments(view(spark, d, "ttf"))
     b = seg.select((F.col("edge_id") - 1).alias("edge_id"), "dep", F.col("tt").alias("ub"), F.col("tt1").alias("ub1"))
     both = seg.where("edge_id % 2 = 0").join(b, ["edge_id", "dep"])
-    return both.select("edge_id", "dep", F.round(t.crossing(F.col("tt"), F.col("tt1"), F.col("ub"), F.col("ub1")), 6).alias("at")).where("at is not null")
+    return both.select("edge_id", "dep", t.crossing(F.col("tt"), F.col("tt1"), F.col("ub"), F.col("ub1")).alias("at_millionths")).where("at_millionths is not null")
 
 
 SWITCH = f"""select l.edge_id, (select min(t) from (select dep, dep1, floor((live_tt - way * 30000000 - tt + (tt1 - tt)::double / (dep1 - dep) * dep) / ((tt1 - tt)::double / (dep1 - dep) - way))::bigint as t
@@ -415,14 +415,14 @@ def static_vs_cooperative(spark, d):
 BIG = "(select count(*) from grid_nodes)"
 
 
-@query("departures_normal", f"select i as query_id, greatest(floor(43200 + 7200 * sqrt(-2 * ln(({DRAW.format(k='i', s=3, n=999983)} + 1) / 999984.0::double)) * cos(2 * pi() * (({DRAW.format(k='i', s=4, n=999983)}) / 999983.0::double))), 0)::bigint * 1000 as departure from range(0, 5000) t(i)")
+@query("departures_normal", f"select i as query_id, greatest(floor(43200 + 7200 * sqrt(-2 * ln(({DRAW.format(k='i', s=3, n=999983)} + 1) / 999984.0::double)) * cos(2 * pi() * (({DRAW.format(k='i', s=4, n=999983)}) / 999983.0::double))), 0)::bigint * 1000 as departure from {KEYS}")
 def departures_normal(spark, d):
-    return w.departures(spark.range(5000).select(F.col("id").alias("query_id")), "normal", 3)
+    return w.departures(keys(spark, d), "normal", 3)
 
 
-@query("departures_constant", "select i as query_id, 0::bigint as departure from range(0, 5000) t(i)")
+@query("departures_constant", f"select i as query_id, 0::bigint as departure from {KEYS}")
 def departures_constant(spark, d):
-    return w.departures(spark.range(5000).select(F.col("id").alias("query_id")), "constant", 0)
+    return w.departures(keys(spark, d), "constant", 0)
 
 
 def starts(spark, d):

@@ -109,17 +109,19 @@ def cch_query(spark, d, od):
     return od.select("query_id", "src", "dst").join(found, "query_id")
 
 
-@query("cch_perfect_distances")
-def cch_perfect_distances(spark, d):
-    """After perfect customization an edge's weight is the distance between its ends."""
-    return cch_perfect_distances_of(spark, d, view(spark, d, "g_grid"))
+#: Distances from each rank, as far as its longest edge to a higher one; the edge itself bounds what is asked for.
+NEAR = {
+    "reach": "select a as q, max(weight) as cap from ra where a < b group by a",
+    "sp(q, v, d) using key (q, v)": """select q, q, 0::bigint from reach union select f.q, e.b, min(f.d + e.weight) from sp f join ra e on e.a = f.v join reach c on c.q = f.q
+        left join recurring.sp x on x.q = f.q and x.v = e.b where f.d + e.weight <= c.cap and (x.d is null or f.d + e.weight < x.d) group by f.q, e.b""",
+}
 
 
-def cch_perfect_distances_of(spark, d, edges):
-    order = view(spark, d, "grid_order")
-    e = edges.select(F.least("tail", "head").alias("t"), F.greatest("tail", "head").alias("hd")).distinct()
-    e = e.join(order.select(F.col("node_id").alias("t"), F.col("rank").alias("lo")), "t").join(order.select(F.col("node_id").alias("hd"), F.col("rank").alias("hi")), "hd").where("lo < hi")
-    return e.select("lo", "hi").join(weights(spark, d, True).select("lo", "hi", "up"), ["lo", "hi"])
+@query("cch_perfect_distances", cch_sql("select distinct a as lo, b as hi, d as up from ra join sp on q = a and v = b where a < b", {"ra": CCH["ra"]} | NEAR))
+def cch_perfect_distances(spark, d):
+    """After perfect customization an edge's weight is the distance between its ends."""
+    own = ranked(spark, d).where("tail < head").select(F.col("tail").alias("lo"), F.col("head").alias("hi")).distinct()
+    return own.join(weights(spark, d, True).select("lo", "hi", "up"), ["lo", "hi"])
 
 
 @workload("hub_label_query", PAIRS, query)
