@@ -21,12 +21,12 @@ from .hierarchy import INFINITE, Cch, SharedCch, customize, respecting
 from .ttf import DAY, interval_minima
 
 
-def bound_weights(cch: DataFrame, ranked: DataFrame, ttf: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bound_weights(cch: DataFrame, ranked: DataFrame, ttf: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The customized completion under lower and under upper bounds of the functions; ranked (edge_id, tail, head)
     between ranks."""
     bounds = ttf.groupBy("edge_id").agg(F.min("tt").alias("lower"), F.max("tt").alias("upper"))
     edges = ranked.select("edge_id", "tail", "head").join(bounds, "edge_id")
-    return tuple(cut(customize(respecting(cch, edges.select("tail", "head", F.col(c).alias("weight"))))) for c in ("lower", "upper"))
+    return tuple(cut(customize(respecting(cch, edges.select("tail", "head", F.col(c).alias("weight"))), cells=cells)) for c in ("lower", "upper"))
 
 
 def interval_query(lower: DataFrame, upper: DataFrame, od: DataFrame) -> DataFrame:
@@ -133,12 +133,12 @@ def earliest_arrival(lower: DataFrame, upper: DataFrame, ranked: DataFrame, ttf:
     return asked.fillna({"metric_id": -1}).repartition(8, "query_id").mapInPandas(run, "query_id long, duration long, settled long")
 
 
-def metric_weights(cch: DataFrame, ranked: DataFrame, ttf: DataFrame, metrics: DataFrame) -> dict[int, DataFrame]:
+def metric_weights(cch: DataFrame, ranked: DataFrame, ttf: DataFrame, metrics: DataFrame, cells: DataFrame | None = None) -> dict[int, DataFrame]:
     """For each metric (metric_id, start, end; a few dozen) the customized completion under the functions' minima in it."""
     minima = cut(interval_minima(ttf, metrics.select(F.col("metric_id").alias("interval_id"), "start", "end")))
     out = {}
     for r in metrics.select("metric_id").collect():
         k = r["metric_id"]
         own = ranked.select("edge_id", "tail", "head").join(minima.where(F.col("interval_id") == k), "edge_id").select("tail", "head", F.col("lowest").alias("weight"))
-        out[k] = cut(customize(respecting(cch, own)))
+        out[k] = cut(customize(respecting(cch, own), cells=cells))
     return out

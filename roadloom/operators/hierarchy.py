@@ -1,7 +1,7 @@
 """Customizable hierarchies: chordal completion, elimination tree, customization, hub labels.
 
-The elimination itself is sequential in the order of ranks and runs in one task over a network of checked
-size; everything else is relational on its result: cch(lo, hi) with the weights up and down.
+Eliminations run by cells (`cells`); everything else is relational on their result: cch(lo, hi) with the weights
+up and down.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .cells import cells_of, descend, eliminate  # noqa: F401
 from .ordered import number_rows
 
-#: Largest completion that one task may build and customize.
+INFINITE = float("inf")
+#: Largest network that one task may search depth first.
 MOST_EDGES = 4_000_000
 #: Largest customized completion that goes to every task, as four arrays (128 MB).
 MOST_SHARED = 4_000_000
@@ -25,8 +28,6 @@ MOST_SHARED = 4_000_000
 
 def _one_task(df: DataFrame, run, schema: str) -> DataFrame:
     """run over the whole table in one task, if the table isn't too large for that; it is written before it is counted."""
-    from ..session import cut
-
     df = cut(df)
     if df.count() > MOST_EDGES:
         raise ValueError("the table is too large for one task")
@@ -35,25 +36,20 @@ def _one_task(df: DataFrame, run, schema: str) -> DataFrame:
 
 def contract(ranked: DataFrame) -> DataFrame:
     """lo, hi: edges between ranks (tail, head) completed so that the higher neighbours of every node form
-    a clique. The neighbours of the lowest node go to its lowest neighbour, in ascending order."""
+    a clique, cell by cell. The neighbours of the lowest node go to its lowest neighbour, in ascending order."""
 
-    def run(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    def run(nodes: set[int], part: pd.DataFrame) -> pd.DataFrame:
         above: dict[int, set[int]] = {}
-        for a, b in zip(part["lo"], part["hi"]):
+        for a, b in zip(part["lo"].tolist(), part["hi"].tolist()):
             above.setdefault(a, set()).add(b)
-        total = 0
-        for v in range(int(part["hi"].max()) + 1):
-            own = above.get(v)
-            if own:
-                total += len(own)
-                if total > MOST_EDGES:
-                    raise ValueError("the completion is too large; use a better order")
-                low = min(own)
-                above.setdefault(low, set()).update(own - {low})
-        return pd.DataFrame([(v, w) for v in sorted(above) for w in sorted(above[v])], columns=["lo", "hi"])
+        for v in sorted(nodes):
+            own = sorted(above.get(v, ()))
+            if len(own) > 1:
+                above.setdefault(own[0], set()).update(own[1:])
+        return pd.DataFrame([(v, w) for v in above for w in above[v]], columns=["lo", "hi"]).assign(none=None)
 
-    pairs = ranked.where("tail <> head").select(F.least("tail", "head").alias("lo"), F.greatest("tail", "head").alias("hi")).distinct()
-    return _one_task(pairs, run, "lo long, hi long")
+    pairs = ranked.where("tail <> head").select(F.least("tail", "head").alias("lo"), F.greatest("tail", "head").alias("hi"), F.lit(None).cast("boolean").alias("none"))
+    return eliminate(pairs, run, "none boolean", lambda df: df.distinct()).select("lo", "hi")
 
 
 def elimination_tree(cch: DataFrame) -> DataFrame:
@@ -74,42 +70,72 @@ def lower_triangles(cch: DataFrame) -> DataFrame:
     return a.join(b, "low").where("mid < high")
 
 
-def customize(weights: DataFrame, perfect: bool = False) -> DataFrame:
-    """lo, hi, up, down with every lower triangle applied bottom-up; perfect: then upper and intermediate
-    ones top-down, so that weights are distances."""
+def _lightest(df: DataFrame) -> DataFrame:
+    return df.groupBy("lo", "hi").agg(F.min("up").alias("up"), F.min("down").alias("down"))
 
-    def run(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        inf = float("inf")
-        up: dict[int, dict[int, float]] = {}
-        down: dict[int, dict[int, float]] = {}
-        for lo, hi, u, d in zip(part["lo"], part["hi"], part["up"], part["down"]):
-            up.setdefault(lo, {})[hi] = inf if pd.isna(u) else u
-            down.setdefault(lo, {})[hi] = inf if pd.isna(d) else d
-        for v in sorted(up):
+
+def _tables(part: pd.DataFrame) -> tuple[dict[int, dict[int, float]], dict[int, dict[int, float]]]:
+    up: dict[int, dict[int, float]] = {}
+    down: dict[int, dict[int, float]] = {}
+    for lo, hi, u, d in zip(part["lo"].tolist(), part["hi"].tolist(), part["up"].tolist(), part["down"].tolist()):
+        up.setdefault(lo, {})[hi] = INFINITE if pd.isna(u) else u
+        down.setdefault(lo, {})[hi] = INFINITE if pd.isna(d) else d
+    return up, down
+
+
+def _rows(up: dict[int, dict[int, float]], down: dict[int, dict[int, float]]) -> pd.DataFrame:
+    rows = [(v, w, x, down[v][w]) for v in up for w, x in up[v].items()]
+    plain = [(v, w, None if x == INFINITE else int(x), None if y == INFINITE else int(y)) for v, w, x, y in rows]
+    return pd.DataFrame(plain, columns=["lo", "hi", "up", "down"]).astype({"up": "Int64", "down": "Int64"})
+
+
+def _through_lower(nodes: set[int], part: pd.DataFrame) -> pd.DataFrame:
+    """Lower triangles of a cell's nodes, bottom-up."""
+    up, down = _tables(part)
+    for v in sorted(nodes):
+        if v in up:
             above, u, d = sorted(up[v]), up[v], down[v]
             for i, a in enumerate(above):
-                ua, da = up.get(a), down.get(a)
+                ua, da = up.setdefault(a, {}), down.setdefault(a, {})
                 for b in above[i + 1 :]:
-                    ua[b] = min(ua[b], d[a] + u[b])  # a down to v, up to b
-                    da[b] = min(da[b], d[b] + u[a])
-        if perfect:
-            for v in sorted(up, reverse=True):
-                above, u, d = sorted(up[v], reverse=True), up[v], down[v]
-                for i, b in enumerate(above):
-                    for a in above[i + 1 :]:  # a < b, both above v
-                        ab, ba = up[a][b], down[a][b]
-                        u[b], d[b] = min(u[b], u[a] + ab), min(d[b], ba + d[a])
-                        u[a], d[a] = min(u[a], u[b] + ba), min(d[a], ab + d[b])
-        rows = [(v, w, up[v][w], down[v][w]) for v in up for w in up[v]]
-        return pd.DataFrame([(v, w, None if x == inf else int(x), None if y == inf else int(y)) for v, w, x, y in rows], columns=["lo", "hi", "up", "down"]).astype({"up": "Int64", "down": "Int64"})
-
-    return _one_task(weights, run, "lo long, hi long, up long, down long")
+                    ua[b] = min(ua.get(b, INFINITE), d[a] + u[b])  # a down to v, up to b
+                    da[b] = min(da.get(b, INFINITE), d[b] + u[a])
+    return _rows(up, down)
+
+
+def _through_higher(nodes: set[int], part: pd.DataFrame) -> pd.DataFrame:
+    """Upper and intermediate triangles of a cell's nodes, top-down."""
+    up, down = _tables(part)
+    for v in sorted(nodes, reverse=True):
+        above, u, d = sorted(up[v], reverse=True), up[v], down[v]
+        for i, b in enumerate(above):
+            for a in above[i + 1 :]:  # a < b, both above v
+                ab, ba = up[a][b], down[a][b]
+                u[b], d[b] = min(u[b], u[a] + ab), min(d[b], ba + d[a])
+                u[a], d[a] = min(u[a], u[b] + ba), min(d[a], ab + d[b])
+    return _rows(up, down)
+
+
+def customized_cells(weights: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """lo, hi, up, down with every lower triangle applied bottom-up, cell by cell, and cell and round. cells: of an earlier
+    customization of the same edges (`cells_of`)."""
+    return eliminate(weights.select("lo", "hi", "up", "down"), _through_lower, "up long, down long", _lightest, cells)
+
+
+def perfected(customized: DataFrame) -> DataFrame:
+    """lo, hi, up, down of a customization with its cells, with upper and intermediate triangles applied top-down, so that
+    weights are distances."""
+    return descend(cut(customized), _through_higher, "up long, down long").select("lo", "hi", "up", "down")
+
+
+def customize(weights: DataFrame, perfect: bool = False, cells: DataFrame | None = None) -> DataFrame:
+    """lo, hi, up, down after customization; perfect: weights are distances."""
+    done = customized_cells(weights, cells)
+    return perfected(done) if perfect else done.select("lo", "hi", "up", "down")
 
 
 def ancestors(tree: DataFrame, starts: DataFrame) -> DataFrame:
     """start, rank: every node with all nodes on its way to the root, itself included, by doubling."""
-    from ..session import cut
-
     walk = cut(starts.select(F.col("rank").alias("start"), "rank").distinct())
     jump = cut(tree.select("rank", "parent"))
     while True:
@@ -207,7 +233,6 @@ class Cch:
         return to_target
 
 
-INFINITE = float("inf")
 _made: dict[str, Cch] = {}
 
 
@@ -292,8 +317,6 @@ def directed(cch: DataFrame, ranked: DataFrame) -> DataFrame:
 def separator_tree(tree: DataFrame) -> DataFrame:
     """rank, cell: the elimination tree (rank, parent, one row a node, null for roots) with chains of single children
     joined into cells, each named by its highest rank."""
-    from ..session import cut
-
     children = tree.where("parent is not null").groupBy(F.col("parent").alias("rank")).agg(F.count(F.lit(1)).alias("children"))
     # a node goes with its parent if it is the only child
     single = children.where("children = 1").select(F.col("rank").alias("parent"))
@@ -308,8 +331,6 @@ def separator_tree(tree: DataFrame) -> DataFrame:
 
 def separator_levels(tree: DataFrame) -> DataFrame:
     """level, cells, nodes: how many cells of the separator tree there are at each depth (roots: 0), and their sizes in sum."""
-    from ..session import cut
-
     cells = cut(separator_tree(tree))
     above = tree.where("parent is not null").join(cells.select("rank", "cell"), "rank").join(cells.select(F.col("rank").alias("parent"), F.col("cell").alias("up")), "parent").where("cell <> up").select("cell", "up").distinct()
     size = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("nodes"))
@@ -330,8 +351,6 @@ def full_tree(cch: DataFrame, nodes: DataFrame) -> DataFrame:
 def reordered(tree: DataFrame, by: str = "breadth") -> DataFrame:
     """rank, position: another order of the same separator tree, cells above others later: 'breadth' level by level,
     'size' with the larger of a cell's subtrees first. Inside a cell ranks stay in order."""
-    from ..session import cut
-
     cells = cut(separator_tree(tree))
     above = tree.where("parent is not null").join(cells.select("rank", "cell"), "rank").join(cells.select(F.col("rank").alias("parent"), F.col("cell").alias("up")), "parent").where("cell <> up").select("cell", "up").distinct()
     links, sizes = {r["cell"]: r["up"] for r in _few(above)}, {r["cell"]: r["n"] for r in _few(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))}
@@ -453,8 +472,6 @@ def biconnected(edges: DataFrame) -> DataFrame:
 
 def core(edges: DataFrame) -> DataFrame:
     """node_id: what is left after nodes with one neighbour are taken away again and again."""
-    from ..session import cut
-
     both = edges.select("tail", "head").union(edges.select("head", "tail")).where("tail <> head").distinct()
     both = cut(both)
     while True:
@@ -468,8 +485,6 @@ def core(edges: DataFrame) -> DataFrame:
 def tree_levels(tree: DataFrame) -> DataFrame:
     """rank, level: the longest way down from a node (rank, parent, null for roots) to a leaf, whose level is 0. A round
     for each level; every round only the nodes whose level grows are looked at."""
-    from ..session import cut
-
     tree = cut(tree.select("rank", "parent"))
     now = cut(tree.select("rank", F.lit(0).cast("long").alias("level")))
     grown = now

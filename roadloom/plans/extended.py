@@ -20,7 +20,7 @@ from ..session import cut
 from ..sources import files
 from .cooperative import CELLS, DRAW, KEYS, NET, USED, keys, net, usage_buckets
 from .static import ARCS_G, OD, PAIRS, od_all, sssp
-from .structure import CCH, CELL, below, cch_sql, completed, rank_od, ranked, weights
+from .structure import CCH, CELL, below, built, cch_sql, cells, completed, rank_od, ranked, weights
 from .timed import EA, LINE, SEG
 
 QUERIES: dict = {}
@@ -44,6 +44,11 @@ def by_ranks(spark, d):
     return rank_od(spark, d, od_all(spark, d)).select("query_id", F.col("s").alias("src"), F.col("t").alias("dst"))
 
 
+def bounds(spark, d):
+    """The completion customized under lower and upper bounds of the functions."""
+    return built(spark, d, "bounds", lambda: cu.bound_weights(completed(spark, d), ranked(spark, d), view(spark, d, "ttf"), cells(spark, d)))
+
+
 def with_ends(spark, d, found):
     return od_all(spark, d).select("query_id", "src", "dst").join(found, "query_id")
 
@@ -215,7 +220,7 @@ def metric_swap(spark, d):
     edges = ranked(spark, d)
     updates = edges.where("edge_id % 5 = 0").select("edge_id", F.lit(1).alias("version"), (F.col("weight") + 7000).alias("weight"))
     changed = edges.drop("weight").join(tr.apply_updates(edges.select("edge_id", "weight"), updates), "edge_id")
-    anew = cut(h.customize(h.respecting(completed(spark, d), changed)))
+    anew = cut(h.customize(h.respecting(completed(spark, d), changed), cells=cells(spark, d)))
     return with_ends(spark, d, h.etree_query(anew, by_ranks(spark, d)))
 
 
@@ -253,7 +258,7 @@ def by_ranks_at(spark, d):
 @query("td_corridor_query", EARLIEST)
 def td_corridor_query(spark, d):
     ttf = view(spark, d, "ttf")
-    low, high = cu.bound_weights(completed(spark, d), ranked(spark, d), ttf)
+    low, high = bounds(spark, d)
     return cu.earliest_arrival(low, high, ranked(spark, d), ttf, by_ranks_at(spark, d)).select("query_id", "duration")
 
 
@@ -261,11 +266,11 @@ def td_corridor_query(spark, d):
 def td_multi_metric_query(spark, d):
     """Led by the tightest of four metrics that covers the trip up to its latest arrival."""
     ttf, edges, cch, od = view(spark, d, "ttf"), ranked(spark, d), completed(spark, d), cut(by_ranks_at(spark, d))
-    low, high = cu.bound_weights(cch, edges, ttf)
+    low, high = bounds(spark, d)
     metrics = c.interval_pattern(spark, [24, 12])
     latest = cu.interval_query(low, high, od).select("query_id", "upper")
     chosen = c.tightest_metric(od.join(latest, "query_id").select("query_id", "departure", (F.col("departure") + F.coalesce("upper", F.lit(t.DAY))).alias("latest")), metrics)
-    led = cu.metric_weights(cch, edges, ttf, metrics)
+    led = cu.metric_weights(cch, edges, ttf, metrics, cells(spark, d))
     return cu.earliest_arrival(low, high, edges, ttf, od, led, chosen).select("query_id", "duration")
 
 
@@ -276,13 +281,13 @@ def _bound(name: str, f: str) -> str:
 
 @query("td_lower_bounds", _bound("lower", "min"))
 def td_lower_bounds(spark, d):
-    low, high = cu.bound_weights(completed(spark, d), ranked(spark, d), view(spark, d, "ttf"))
+    low, high = bounds(spark, d)
     return cu.interval_query(low, high, by_ranks(spark, d)).select("query_id", "lower")
 
 
 @query("td_upper_bounds", _bound("upper", "max"))
 def td_upper_bounds(spark, d):
-    low, high = cu.bound_weights(completed(spark, d), ranked(spark, d), view(spark, d, "ttf"))
+    low, high = bounds(spark, d)
     return cu.interval_query(low, high, by_ranks(spark, d)).select("query_id", "upper")
 
 

@@ -57,8 +57,28 @@ def cch_sql(body: str, more: dict[str, str] = CCH) -> str:
     return with_sql(body, extra=more, recursive=True)
 
 
+_built: dict[tuple, object] = {}
+
+
+def built(spark, d, name, make):
+    """What `make` gives, kept under its name for this application: a hierarchy is built once, and customized for each metric."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
 def completed(spark, d):
-    return cut(h.contract(ranked(spark, d)))
+    return built(spark, d, "completion", lambda: cut(h.contract(ranked(spark, d))))
+
+
+def cells(spark, d):
+    """rank, cell, round of the completion's elimination."""
+    return built(spark, d, "cells", lambda: cut(h.cells_of(customized(spark, d))))
+
+
+def customized(spark, d):
+    return built(spark, d, "customized", lambda: cut(h.customized_cells(h.respecting(completed(spark, d), ranked(spark, d)))))
 
 
 @query("cch_edges", cch_sql("select lo, hi from cch"))
@@ -87,7 +107,10 @@ def cch_triangles(spark, d):
 
 
 def weights(spark, d, perfect=False):
-    return cut(h.customize(h.respecting(completed(spark, d), ranked(spark, d)), perfect))
+    """The completion customized for the network's weights."""
+    if perfect:
+        return built(spark, d, "perfect", lambda: cut(h.perfected(customized(spark, d))))
+    return customized(spark, d).select("lo", "hi", "up", "down")
 
 
 @query("cch_customized", cch_sql("select lo, hi, u.d as up, w.d as down from cch left join up u on u.q = lo and u.v = hi left join dn w on w.q = lo and w.v = hi", CCH | dict([below("up", "a", "b"), below("dn", "b", "a")])))
