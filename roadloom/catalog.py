@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cooperative, extended, static, structure, timed
+from .plans import cooperative, extended, profiles, static, structure, timed
 
-_MODULES = [static, timed, cooperative, structure, extended]
+_MODULES = [static, timed, cooperative, structure, extended, profiles]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
