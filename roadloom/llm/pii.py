@@ -10,7 +10,8 @@ pseudonym meets a value that is left alone:
   dates     the day within its 400 years: 146,097 = 189 x 773 days, a network over these two radices
   social security numbers  898 areas x (99 groups x 9,999 serials), likewise
 Names before @ and secrets have no numeric format; they get a keyed digest, of 64 bits at least for names.
-The round function is the SHA-256 of key, kind, round and half. Expressions run in the JVM, on matches only.
+The round function is the SHA-256 of key, kind, round and half. Expressions run in the JVM, on matches only. The key is
+the value of a one-row subquery, so that no plan, explained or logged, has it.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ def _quote(s: str) -> str:
 
 
 def _round(key: str, kind: str, number: str, half: str, size: str = "0") -> str:
-    """A keyed number below 2^52."""
-    return f"cast(conv(substr(sha2(concat_ws('|', {_quote(key)}, '{kind}', cast({size} as string), cast({number} as string), cast({half} as string)), 256), 1, 13), 16, 10) as bigint)"
+    """A keyed number below 2^52; key: SQL of the key."""
+    return f"cast(conv(substr(sha2(concat_ws('|', {key}, '{kind}', cast({size} as string), cast({number} as string), cast({half} as string)), 256), 1, 13), 16, 10) as bigint)"
 
 
 def permuted_digits(digits: str, key: str, kind: str) -> str:
@@ -168,12 +169,12 @@ def _lit(c: str) -> str:
 
 def _keyed(key: str, kind: str, value: str) -> str:
     """SQL: a keyed lower-case hexadecimal digest as long as `value`, 8 to 64 digits."""
-    return f"substr(sha2(concat_ws('|', {_quote(key)}, '{kind}', {value}), 256), 1, least(64, greatest(8, length({value}))))"
+    return f"substr(sha2(concat_ws('|', {key}, '{kind}', {value}), 256), 1, least(64, greatest(8, length({value}))))"
 
 
 def _value(key: str) -> str:
     """SQL: the pseudonym of the match m."""
-    email = f"concat(substr(sha2(concat_ws('|', {_quote(key)}, 'email', lower(m)), 256), 1, least(64, greatest(16, instr(m, '@') - 1))), substr(m, instr(m, '@')))"
+    email = f"concat(substr(sha2(concat_ws('|', {key}, 'email', lower(m)), 256), 1, least(64, greatest(16, instr(m, '@') - 1))), substr(m, instr(m, '@')))"
     head = "regexp_extract(m, '^[A-Za-z_]+[ \\\\t]*[:=][ \\\\t]*[\"\\']?', 0)"
     secret = _let(head, "h", _let("substr(m, length(h) + 1)", "r", f"concat(h, {_keyed(key, 'secret', 'r')})"))
     return (
@@ -210,14 +211,16 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
 
     count_col: the name of a new column for the number of values found, if wanted. Null texts stay null,
     empty ones empty. Invalid numbers, addresses and dates are left alone. Rows are independent, so
-    repeated rows and ties have no special case; an empty table gives an empty one. Columns of `docs` may
+    repeated rows and ties have no special case; an empty table gives an empty one. Very long texts are cut and
+    joined whole, in the memory of their row. Columns of `docs` may
     have any names, but for count_col.
     """
     if count_col and count_col.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the table has a column {count_col} already")
-    (cut,) = fresh(docs, "parts")
-    out = docs.withColumn(cut, F.expr(parts(f"`{text_col}`")))
-    out = out.withColumn(text_col, F.expr(f"array_join(transform(`{cut}`, (m, at) -> if(at % 2 = 1, {_value(key)}, m)), '')"))
+    cut, held = fresh(docs, "parts", "pii_key")
+    secret = docs.sparkSession.createDataFrame([(key,)], "value string").scalar()
+    out = docs.withColumn(held, secret).withColumn(cut, F.expr(parts(f"`{text_col}`")))
+    out = out.withColumn(text_col, F.expr(f"array_join(transform(`{cut}`, (m, at) -> if(at % 2 = 1, {_value(f'`{held}`')}, m)), '')"))
     if count_col:
         out = out.withColumn(count_col, F.coalesce((F.size(cut) - 1) / 2, F.lit(0)).cast("long") * F.when(F.col(text_col).isNull(), 0).otherwise(1))
-    return out.drop(cut)
+    return out.drop(cut, held)

@@ -118,7 +118,7 @@ def test_against_plain(spark):
 
 def test_permutation(spark):
     n = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
-    assert n.select(F.expr(pii.permuted_digits("d", KEY, "x")).alias("p")).distinct().where("length(p) = 4").count() == 10_000
+    assert n.select(F.expr(pii.permuted_digits("d", pii._quote(KEY), "x")).alias("p")).distinct().where("length(p) = 4").count() == 10_000
     days = spark.sql("select date_format(d, 'yyyy-MM-dd') as text from (select explode(sequence(date'1800-01-01', date'2199-12-31')) as d)")
     assert pii.pseudonymise(days, KEY).distinct().count() == 146_097
 
@@ -219,7 +219,7 @@ def test_cards_in_runs(spark):
     want = [regex.sub(pii._PARTS["card"], lambda m: cards(m[0]), t) for t in runs + fuzz]
     df = spark.createDataFrame([(k, "." * 3 + " x " + t + " x") for k, t in enumerate(runs + fuzz)], "n int, text string")
     only = spark.createDataFrame(list(enumerate(runs + fuzz)), "n int, m string")
-    got = [r["m"] for r in only.select("n", F.expr(f"case when m rlike '^[0-9][0-9 -]*$' then {pii._card(KEY)} else m end").alias("m")).orderBy("n").collect()]
+    got = [r["m"] for r in only.select("n", F.expr(f"case when m rlike '^[0-9][0-9 -]*$' then {pii._card(pii._quote(KEY))} else m end").alias("m")).orderBy("n").collect()]
     assert got[len(runs) :] == [cards(m) for m in fuzz]
     out = [r["text"] for r in pii.pseudonymise(df, KEY).orderBy("n").collect()]
     assert [o[6:-2] for o in out[: len(runs)]] == want[: len(runs)]
@@ -241,3 +241,13 @@ def test_values_after_cards(spark):
     assert a == f"{day.day}/{day.month}/{day.year}"
     back = one("2021-03-07").split("-")
     assert [int(x) for x in b.split("-")] == list(map(int, back)) and b != "2021-3-7" and c != "7.12.2021" and invalid == "29/2/2023"
+
+
+def test_no_plan_has_the_key(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@example.com, card 4111 1111 1111 1111, 10.1.2.3")], "doc_id long, text string")
+    out = pii.pseudonymise(docs, "topsecretkey123", count_col="n")
+    for mode in ("simple", "extended", "codegen", "cost", "formatted"):
+        assert "topsecret" not in out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+    assert out.collect()[0]["n"] == 3
+    assert "topsecret" not in out._jdf.queryExecution().toString()
+    assert pii.pseudonymise(docs, "other").collect() != pii.pseudonymise(docs, "topsecretkey123").collect()
