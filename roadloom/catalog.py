@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import bounds, cooperative, extended, profiles, static, structure, timed
+from .plans import bounds, chained, cooperative, extended, profiles, static, structure, timed
 
-_MODULES = [static, timed, cooperative, structure, extended, profiles, bounds]
+_MODULES = [static, timed, cooperative, structure, extended, profiles, bounds, chained]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
