@@ -352,3 +352,27 @@ def paths_at(functions: DataFrame, tree: DataFrame, od: DataFrame) -> DataFrame:
     at = od.select("query_id", "src", "dst", F.col("departure").alias("first"), F.col("departure").alias("last"))
     found = unpack(functions, arcs(functions, tree, at)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "edge_id", F.col("at")[0].alias("entered")))).alias("e"))
     return found.select("query_id", F.posexplode("e").alias("idx", "x")).select("query_id", "idx", "x.edge_id", "x.entered")
+
+
+def source_statistics(functions: DataFrame) -> DataFrame:
+    """One row: shortcuts, sources (how many they have in sum), most (of one), single (shortcuts with one). No shortcuts: 0, null, null, 0."""
+    n = F.size("vias")
+    return functions.agg(F.count(F.lit(1)).alias("shortcuts"), F.sum(n).cast("long").alias("sources"), F.max(n).cast("long").alias("most"), F.count_if(n == 1).alias("single"))
+
+
+def unique_paths(functions: DataFrame) -> DataFrame:
+    """lo, hi, dir of the shortcuts that lead over the same edges all day: they have one source, and so have all shortcuts below them. A round
+    for each level on which more of them turn out not to; it looks only at those above the last round's."""
+    keys = ["lo", "hi", "dir"]
+    one = functions.where(F.size("vias") == 1).select(*keys, F.col("vias")[0].alias("via"))
+    start = F.when(F.col("dir") == "up", F.col("lo")).otherwise(F.col("hi"))
+    end = F.when(F.col("dir") == "up", F.col("hi")).otherwise(F.col("lo"))
+    leg = F.explode(F.array(F.struct(start.alias("hi"), F.lit("down").alias("dir")), F.struct(end.alias("hi"), F.lit("up").alias("dir"))))
+    legs = cut(one.where("via >= 0").select(*keys, F.col("via").alias("leg_lo"), leg.alias("e")).select(*keys, "leg_lo", F.col("e.hi").alias("leg_hi"), F.col("e.dir").alias("leg_dir")))
+    fresh = cut(functions.where(F.size("vias") > 1).select(*keys))
+    varied = fresh
+    while fresh.head(1):
+        below = fresh.select(*(F.col(c).alias(f"leg_{c}") for c in keys))
+        fresh = cut(legs.join(below, [f"leg_{c}" for c in keys], "left_semi").select(*keys).distinct().join(varied, keys, "left_anti"))
+        varied = varied.union(fresh)
+    return functions.select(*keys).join(varied, keys, "left_anti")

@@ -77,3 +77,15 @@ def td_profile_paths(spark, d):
 def td_unpacked_paths(spark, d):
     """The edges of a fastest way of all trips at their own departure."""
     return p.paths_at(functions(spark, d), tree(spark, d), trips(spark, d))
+
+
+@query("td_source_statistics")
+def td_source_statistics(spark, d):
+    """How many sources the shortcuts have."""
+    return p.source_statistics(functions(spark, d))
+
+
+@query("td_unique_paths")
+def td_unique_paths(spark, d):
+    """Shortcuts that lead over the same edges all day."""
+    return p.unique_paths(functions(spark, d))

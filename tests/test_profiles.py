@@ -167,3 +167,27 @@ def test_merge_says_which_is_better():
     assert h.starts == [0.0, day / 4, day / 2, 3 * day / 4] and h.vias == [1, 2, 3, 1]
     assert h.tt.tolist() == [10.0, 10.0, 0.0, 10.0, 10.0]
     assert profiles.merge(f, f) is f
+
+
+def test_sources_and_unique_paths(built):
+    """Against a plain descent through all sources; all shortcuts are there, so both legs of each are."""
+    every = cut(profiles.customize(built["edges"], built["cells"]))
+    rows = {(r["lo"], r["hi"], r["dir"]): r["vias"] for r in every.collect()}
+    known = {}
+
+    def unique(lo, hi, way):
+        if (lo, hi, way) not in known:
+            vias = rows[lo, hi, way]
+            a, b = (lo, hi) if way == "up" else (hi, lo)
+            known[lo, hi, way] = len(vias) == 1 and (vias[0] < 0 or unique(vias[0], a, "down") and unique(vias[0], b, "up"))
+        return known[lo, hi, way]
+
+    expected = {k for k in rows if unique(*k)}
+    found = [tuple(r) for r in profiles.unique_paths(every).collect()]
+    assert set(found) == expected and len(found) == len(expected)
+    single = {k for k in rows if len(rows[k]) == 1}
+    assert expected < single < set(rows)
+    s = profiles.source_statistics(every).first()
+    assert tuple(s) == (len(rows), sum(map(len, rows.values())), max(map(len, rows.values())), len(single))
+    assert tuple(profiles.source_statistics(every.limit(0)).first()) == (0, None, None, 0)
+    assert profiles.unique_paths(every.limit(0)).count() == 0
