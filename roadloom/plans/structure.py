@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import view, with_sql
 from ..operators import graph as g
 from ..operators import hierarchy as h
+from ..operators import sweep as sw
 from ..session import cut
 from ..streaming import traces as tr
 from .static import ARCS_G, OD, PAIRS, PERMUTED, od_all, sssp, workload
@@ -156,16 +157,47 @@ def hub_label_query(spark, d, od):
     return od.select("query_id", "src", "dst").join(found, "query_id")
 
 
-@workload("rphast", sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD})", f"select q as src, v as dst, d as dist from sp where v in (select dst from ({OD}))"), query)
+RPHAST = sssp(ARCS_G, f"select distinct src as q, src as v, 0::bigint as d from ({OD})", f"select q as src, v as dst, d as dist from sp where v in (select dst from ({OD}))")
+
+
+@workload("rphast", RPHAST, query)
 def rphast(spark, d, od):
-    """All sources to all targets: labels restricted to the targets' upward space, joined by hub."""
-    od = rank_od(spark, d, od)
-    ends = od.select(F.col("s").alias("rank")).union(od.select("t")).distinct()
-    label = cut(h.labels(weights(spark, d), ends))
-    s, t = od.select("s", "src").distinct(), od.select("t", "dst").distinct()
-    a = label.where("dir = 'up'").join(s, F.col("node") == F.col("s")).select("src", "hub", F.col("dist").alias("df"))
-    b = label.where("dir = 'down'").join(t, F.col("node") == F.col("t")).select("dst", "hub", F.col("dist").alias("db"))
-    return a.join(b, "hub").groupBy("src", "dst").agg(F.min(F.col("df") + F.col("db")).alias("dist"))
+    """All sources, one by one, to all targets: the targets' part of the hierarchy is selected once and swept for each source."""
+    return swept(spark, d, od, 1)
+
+
+def swept(spark, d, od, size):
+    order, od = cut(view(spark, d, "grid_order")), rank_od(spark, d, od)
+    found = sw.one_to_many(customized(spark, d), od.select(F.col("s").alias("rank")), od.select(F.col("t").alias("rank")), size)
+    names = lambda c: order.select(F.col("rank").alias(c), F.col("node_id").alias(f"{c}_node"))
+    return found.join(names("src"), "src").join(names("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), "dist")
+
+
+@workload("rphast_batched", RPHAST, query)
+def rphast_batched(spark, d, od):
+    """As `rphast`, with the distances of 32 sources in one label."""
+    return swept(spark, d, od, sw.BATCH)
+
+
+#: The hierarchy's edges that can lead down, and the ranks above the workload's targets.
+CHOSEN = CCH | dict([below("dn", "b", "a")]) | {
+    "leads": "select lo, hi, w.d as down from cch join dn w on w.q = lo and w.v = hi",
+    "chosen(v)": f"select rank from grid_order join ({OD}) o on node_id = dst union select hi from chosen join leads on lo = chosen.v",
+}
+
+
+@query("rphast_selection", cch_sql("select lo, hi, down from leads where lo in (select v from chosen)", CHOSEN))
+def rphast_selection(spark, d):
+    """The edges that ways down to the workload's targets need."""
+    chosen = sw.selection(customized(spark, d), rank_od(spark, d, od_all(spark, d)).select(F.col("t").alias("rank")))
+    return weights(spark, d).where("down is not null").join(chosen, F.col("lo") == F.col("rank"), "left_semi").select("lo", "hi", "down")
+
+
+@query("rphast_work", cch_sql(f"select count(*) as edges, count(*) filter (where lo in (select v from chosen)) as selected, cast(count(*) filter (where lo in (select v from chosen)) * ceil((select count(distinct src) from ({OD})) / 32) as bigint) as relaxed from leads", CHOSEN))
+def rphast_work(spark, d):
+    """How many edges a sweep for the workload's targets looks at."""
+    od = rank_od(spark, d, od_all(spark, d))
+    return sw.work(customized(spark, d), od.select(F.col("s").alias("rank")), od.select(F.col("t").alias("rank")))
 
 
 @query("biconnected_components")
