@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view, with_sql
 from ..operators import graph as g
+from ..operators import landmarks as lm
 from ..operators import search as s
 
 QUERIES: dict = {}
@@ -183,6 +184,19 @@ def farthest_landmarks(spark, d):
     return longs(spark, list(enumerate(chosen)), "idx node")
 
 
+@query("avoid_landmarks")
+def avoid_landmarks(spark, d):
+    """Four landmarks, each in the part of a shortest-path tree that those before it bound worst."""
+    return lm.avoid_landmarks(view(spark, d, "g_grid"), 4)
+
+
+@query("avoid_bounds")
+def avoid_bounds(spark, d):
+    """Bounds of the workload's distances by two such landmarks."""
+    edges = view(spark, d, "g_grid")
+    return lm.bounds(lm.distances(edges, lm.avoid_landmarks(edges, 2).select("node")), od_all(spark, d))
+
+
 MANY = "select distinct src as q, src as v, 0::bigint as d from od"
 
 
