@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder that spark.checkpoint.dir names; to a temporary one only in local mode."""
+    """Checkpoint to the folder that spark.checkpoint.dir names; to a temporary one only in local mode.
+
+    A checkpoint keeps its plan's estimated size, and joins multiply these: after rounds of joins they are numbers of millions
+    of digits that cost the driver minutes. Where an estimate is beyond any size, a table is written there and read instead."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         base = sc.getConf().get("spark.checkpoint.dir")
@@ -17,4 +21,9 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="roadloom-")
         sc.setCheckpointDir(base)
-    return df.checkpoint()
+    size = df._jdf.queryExecution().optimizedPlan().stats().simpleString().split(",")[0]
+    if "E+" not in size:  # written with a unit: up to 2,048 EiB
+        return df.checkpoint()
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
