@@ -5,7 +5,11 @@ import time
 import numpy as np
 import pandas as pd
 
+from conftest import SMALL
+from roadloom import catalog
+from roadloom.operators import cells
 from roadloom.operators import hierarchy as h
+from roadloom.plans import structure
 
 
 def clique(n):
@@ -31,3 +35,11 @@ def test_a_dense_cell_is_customized_by_arrays():
     assert len(found) == len(part)
     print(f"{spent:.1f} s")
     assert spent < 8  # one triangle at a time takes tens of seconds
+
+
+def test_cells_are_found_once_for_all_customizations(spark, monkeypatch):
+    monkeypatch.setattr(structure, "_built", {})
+    edges = structure.completed(spark, SMALL).count()
+    monkeypatch.setattr(cells, "next_cells", None)
+    assert catalog.queries()["cch_customized"](spark, SMALL).count() == edges
+    assert catalog.queries()["cch_directed"](spark, SMALL).count() > 0
