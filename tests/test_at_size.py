@@ -2,7 +2,10 @@
 
 import random
 
+from roadloom.operators import hierarchy as h
 from roadloom.operators import search as s
+from roadloom.operators import sweep as sw
+from roadloom.session import cut
 
 
 def network(n, m, seed):
@@ -30,3 +33,23 @@ def test_exact_potentials_are_made_where_they_are_used(spark):
     od = [(k, k % 40, (k * 7) % 43) for k in range(90)]  # targets from 40 on have no edges
     got = s.astar_exact(spark.createDataFrame(edges, "tail long, head long, weight long"), spark.createDataFrame(od, "query_id long, src long, dst long")).collect()
     assert {(r["query_id"], r["src"], r["dst"], r["dist"]) for r in got} == {(q, a, b, dist[a][b] if b < 40 else None) for q, a, b in od}
+
+
+def test_hierarchies_larger_than_a_task(spark, monkeypatch):
+    """Labels, elimination tree queries and potentials send no hierarchy to tasks, and split what passes a cell."""
+    monkeypatch.setattr(h, "MOST_SHARED", 5)
+    monkeypatch.setattr(sw, "BLOCK", 3)
+    edges = network(40, 90, 2)
+    dist = plain(edges, 40)
+    net = spark.createDataFrame(edges, "tail long, head long, weight long")
+    hier = cut(h.customized_cells(h.respecting(cut(h.contract(net)), net)))
+    assert hier.count() > 5
+    od = spark.createDataFrame([(a * 40 + b, a, b) for a in range(40) for b in range(40) if a != b], "query_id long, src long, dst long")
+    want = {(a * 40 + b, dist[a][b]) for a in range(40) for b in range(40) if a != b}
+    assert {tuple(r) for r in h.etree_query(hier, od).select("query_id", "dist").collect()} == want
+    ranks = spark.createDataFrame([(v,) for v in range(40)], "rank long")
+    assert {tuple(r) for r in h.label_query(cut(h.labels(hier, ranks)), od).collect()} == want
+    pi = {(t, v, dist[v][t]) for t in range(40) for v in range(40) if dist[v][t] is not None}
+    assert {(r["dst"], r["node"], r["pi"]) for r in h.cch_potentials(hier, ranks, ranks).collect()} >= pi - {(v, v, 0) for v in range(40)}
+    found, dealt = sw.potentials(hier, ranks)
+    assert {(r["query_id"], r["dist"]) for r in s.astar_batched(net, od, found, dealt, sw.FAR).collect()} == want
