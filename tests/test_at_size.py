@@ -2,6 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from roadloom.operators import approximation as a
+from roadloom.operators import graph as g
 from roadloom.operators import hierarchy as h
 from roadloom.operators import search as s
 from roadloom.operators import sweep as sw
@@ -53,3 +57,28 @@ def test_hierarchies_larger_than_a_task(spark, monkeypatch):
     assert {(r["dst"], r["node"], r["pi"]) for r in h.cch_potentials(hier, ranks, ranks).collect()} >= pi - {(v, v, 0) for v in range(40)}
     found, dealt = sw.potentials(hier, ranks)
     assert {(r["query_id"], r["dist"]) for r in s.astar_batched(net, od, found, dealt, sw.FAR).collect()} == want
+
+
+def test_bounds_of_functions_go_to_all_tasks(spark):
+    """Only the asked sides are made, in more tasks than the few that so few bytes would get."""
+    point = lambda x, y: F.struct(F.lit(x).alias("dep"), F.lit(y).alias("tt"))
+    points = F.array(point(0, 5000), point(21_600_000, 5100), point(43_200_000, 9000), point(86_400_000, 5000))
+    some = spark.range(300).select(F.col("id").alias("key"), F.when(F.col("id") != 7, points).alias("p"))
+    found = a.reduced(some, 300.0, ("lower",))
+    assert found.columns == ["key", "p", "lower"] and found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    rows = {r["key"]: r for r in found.collect()}
+    assert len(rows) == 300 and rows[7]["lower"] is None
+    whole = {r["key"]: r for r in a.reduced(some, 300.0).collect()}
+    assert all(rows[k]["lower"] == whole[k]["lower"] and rows[k]["p"] == whole[k]["p"] for k in rows)
+
+
+def test_nearest_looks_once_for_each_place(spark):
+    """Many points of few places take no more rows through the rings than there are places."""
+    points = [(k, k % 7 * 13, k % 5 * 11) for k in range(200)] + [(999, None, 3)]
+    nodes = [(v, v % 9 * 10, v // 9 * 10) for v in range(60)]
+    got = g.nearest(spark.createDataFrame(points, "point_id long, x long, y long"), spark.createDataFrame(nodes, "node_id long, x long, y long"), 16).collect()
+    want = set()
+    for k, x, y in points[:-1]:
+        d2, v = min(((x - a) ** 2 + (y - b) ** 2, v) for v, a, b in nodes)
+        want.add((k, v, d2))
+    assert {tuple(r) for r in got} == want | {(999, None, None)}
