@@ -66,7 +66,7 @@ def td_reduced_shortcuts(spark, d):
 
 
 def _with_bounds(spark, d, parity, name):
-    day = a.reduced(_arrays(spark, d, parity), WITHIN)
+    day = a.reduced(_arrays(spark, d, parity), WITHIN, ("lower", "upper"))
     return day.select("key", F.col("p").alias(name), F.col("lower").alias(f"{name}_lower"), F.col("upper").alias(f"{name}_upper"))
 
 
