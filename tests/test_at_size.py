@@ -82,3 +82,50 @@ def test_nearest_looks_once_for_each_place(spark):
         d2, v = min(((x - a) ** 2 + (y - b) ** 2, v) for v, a, b in nodes)
         want.add((k, v, d2))
     assert {tuple(r) for r in got} == want | {(999, None, None)}
+
+
+def test_completion_comes_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(h, "STREAMED", 3)
+    edges = network(60, 110, 4)
+    near = {v: set() for v in range(60)}
+    for a_, b_, _ in edges:
+        if a_ != b_:
+            near[min(a_, b_)].add(max(a_, b_))
+    for v in range(60):
+        if near[v]:
+            first = min(near[v])
+            near[first] |= near[v] - {first}
+    got = [tuple(r) for r in h.contract(spark.createDataFrame(edges, "tail long, head long, weight long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(v, w) for v in near for w in near[v]}
+
+
+def test_cells_are_put_in_order_by_levels(spark, monkeypatch):
+    """More cells than MOST_SHARED, in the order of a plain walk."""
+    monkeypatch.setattr(h, "MOST_SHARED", 5)
+    rng = random.Random(5)
+    parent = {v: rng.randrange(v + 1, min(v + 9, 60)) for v in range(59)} | {59: None, 60: None, 61: 63, 62: 63, 63: None}
+    tree = spark.createDataFrame(list(parent.items()), "rank long, parent long")
+    children = {}
+    for v, p in parent.items():
+        children.setdefault(p, []).append(v)
+    cell = {}
+    for v in sorted(parent, reverse=True):
+        p = parent[v]
+        cell[v] = cell[p] if p is not None and len(children[p]) == 1 else v
+    up = {c: cell[parent[c]] if parent[c] is not None else None for c in set(cell.values())}
+    size = {c: sum(x == c for x in cell.values()) for c in up}
+    below = {c: sorted(x for x in up if up[x] == c) for c in up}
+
+    def total(c):
+        return size[c] + sum(total(x) for x in below[c])
+
+    def walk(c):
+        return [c, *(y for x in sorted(below[c], key=lambda x: (-total(x), x)) for y in walk(x))]
+
+    roots = sorted(c for c in up if up[c] is None)
+    breadth, level = [], roots
+    while level:
+        breadth, level = breadth + level, [x for c in level for x in below[c]]
+    for by, order in (("breadth", breadth), ("size", [y for c in roots for y in walk(c)])):
+        ranks = [v for c in reversed(order) for v in sorted(cell) if cell[v] == c]
+        assert {tuple(r) for r in h.reordered(tree, by).collect()} == {(v, k) for k, v in enumerate(ranks)}
