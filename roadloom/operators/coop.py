@@ -6,11 +6,15 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ttf import DAY, small, speed_profile_times
 
+#: Points of functions that a task gives away at a time.
+POINTS = 100_000
+
 
 def init_capacity(edges: DataFrame, buckets: int) -> DataFrame:
     """capacity per bucket (0 under 50 an hour), free-flow speed, and free-flow time (null: closed)."""
@@ -90,14 +94,27 @@ def speed_profiles(network: DataFrame, used: DataFrame, size: int) -> DataFrame:
 
 
 def rebuild_functions(profiles: DataFrame, network: DataFrame) -> DataFrame:
-    """edge_id, dep, tt: travel-time functions of edges from their speed profiles."""
-
-    def run(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        p = part.sort_values("start")
-        points = speed_profile_times(list(zip(p["start"].tolist(), p["kmh"].tolist())), int(p["dist_m"].iloc[0]))
-        return pd.DataFrame({"edge_id": keys[0], "dep": [x for x, _ in points], "tt": [y for _, y in points]})
-
-    return profiles.join(network.select("edge_id", "dist_m"), "edge_id").groupBy("edge_id").applyInPandas(run, "edge_id long, dep long, tt long")
+    """edge_id, dep, tt: travel-time functions of edges from their speed profiles. Edges come to Python in batches of rows with their points, not one by one."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at, flat = part["p"].offsets.to_pylist(), part["p"].flatten()
+            start, kmh = flat.field("start").to_pylist(), flat.field("kmh").to_pylist()
+            first = at[0] if at else 0
+            ids, deps, tts = [], [], []
+            rows = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, deps, tts)], names=["edge_id", "dep", "tt"])
+            for edge, length, a, b in zip(part["edge_id"].to_pylist(), part["dist_m"].to_pylist(), at, at[1:]):
+                points = speed_profile_times(list(zip(start[a - first : b - first], kmh[a - first : b - first])), length)
+                ids += [edge] * len(points)
+                deps += [x for x, _ in points]
+                tts += [y for _, y in points]
+                if len(ids) >= POINTS:
+                    yield rows()
+                    ids, deps, tts = [], [], []
+            yield rows()
+
+    points = profiles.groupBy("edge_id").agg(F.array_sort(F.collect_list(F.struct("start", "kmh"))).alias("p"))
+    return points.join(network.select("edge_id", "dist_m"), "edge_id").select("edge_id", F.col("dist_m").cast("long").alias("dist_m"), "p").mapInArrow(run, "edge_id long, dep long, tt long")
 
 
 def tightest_metric(queries: DataFrame, metrics: DataFrame) -> DataFrame:
