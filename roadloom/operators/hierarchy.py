@@ -16,29 +16,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .cells import cells_of, descend, eliminate  # noqa: F401
+from .cells import cells_of, components, descend, eliminate  # noqa: F401
 from .ordered import number_rows, running_sum
 from .sweep import climb_each, potentials
 
 INFINITE = float("inf")
 #: No way, in whole numbers; two may be added.
 FAR = np.int64(1 << 61)
-#: Largest network that one task may search depth first.
-MOST_EDGES = 4_000_000
+#: Most pairs of nodes that one task searches depth first.
+SEARCHED_PAIRS = 250_000
 #: Edges of a cell that a task gives away at a time.
 STREAMED = 1_000_000
 #: Largest customized completion that goes to every task, as four arrays (128 MB).
 MOST_SHARED = 4_000_000
 
 
-def _one_task(df: DataFrame, run, schema: str) -> DataFrame:
-    """run over the whole table in one task, if the table isn't too large for that; it is written before it is counted."""
-    df = cut(df)
-    if df.count() > MOST_EDGES:
-        raise ValueError("the table is too large for one task")
-    return df.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, schema)
-
-
 def _edges(ids: np.ndarray, higher: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
     los = np.repeat(np.array([v for v, _ in higher], np.int64), [len(x) for _, x in higher])
     return pd.DataFrame({"lo": ids[los], "hi": ids[np.concatenate([x for _, x in higher])] if higher else ids[:0], "none": None})
@@ -482,9 +474,9 @@ def levels(cch: DataFrame) -> DataFrame:
     return up.join(down, "rank", "full").select("rank", F.coalesce("up_degree", F.lit(0)).alias("up_degree"), F.coalesce("down_degree", F.lit(0)).alias("down_degree"))
 
 
-def biconnected(edges: DataFrame) -> DataFrame:
+def biconnected(edges: DataFrame, most: int = SEARCHED_PAIRS) -> DataFrame:
     """lo, hi, component: biconnected components of the undirected edges, numbered by their smallest edge.
-    Depth-first search is sequential: one task, over a network of checked size."""
+    Up to `most` pairs of nodes are searched depth first in one task; more go by a forest (`_by_forest`)."""
 
     def run(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
@@ -525,8 +517,69 @@ def biconnected(edges: DataFrame) -> DataFrame:
         frame["component"] = frame.groupby(["a", "b"]).ngroup()
         return frame[["lo", "hi", "component"]]
 
-    pairs = edges.where("tail <> head").select(F.least("tail", "head").alias("lo"), F.greatest("tail", "head").alias("hi")).distinct()
-    return _one_task(pairs, run, "lo long, hi long, component long")
+    pairs = cut(edges.where("tail <> head").select(F.least("tail", "head").alias("lo"), F.greatest("tail", "head").alias("hi")).distinct())
+    if pairs.count() > most:
+        return _by_forest(pairs)
+    return pairs.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "lo long, hi long, component long")
+
+
+def _forest(pairs: DataFrame, both: DataFrame) -> list[DataFrame]:
+    """node, parent by their level in a forest that is grown from the highest node of each connected part, breadth first."""
+    nodes = both.select(F.col("u").alias("rank")).distinct()
+    roots = components(pairs, nodes).select(F.col("cell").alias("node")).distinct()
+    levels = [cut(roots.select("node", F.lit(None).cast("long").alias("parent")))]
+    while levels[-1].head(1):
+        near = both.join(levels[-1].select(F.col("node").alias("u")), "u")
+        for known in levels[-2:]:  # neighbours are at most one level apart
+            near = near.join(known.select(F.col("node").alias("v")), "v", "left_anti")
+        levels.append(cut(near.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))))
+    return levels[:-1]
+
+
+def _by_forest(pairs: DataFrame) -> DataFrame:
+    """`biconnected` after Tarjan and Vishkin: a forest, its nodes in preorder, for each subtree the first and the last node that an edge outside of the
+    forest leads to, and the connected parts of a graph on the forest's edges (named by their lower ends). A pass is a job a level; no task gets
+    more than rows of a join, nor one of a window more than a node's children."""
+    both = cut(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(pairs.select("hi", "lo")))
+    levels = _forest(pairs, both)
+    sized, below = [], None
+    for level in reversed(levels):
+        own = level.withColumn("size", F.lit(1).cast("long"))
+        if below is not None:
+            under = below.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("under"))
+            own = level.join(under, "node", "left").select("node", "parent", (F.coalesce("under", F.lit(0)) + 1).alias("size"))
+        below = cut(own)
+        sized.insert(0, below)
+    placed = [cut(running_sum(sized[0], ["node"], F.col("size"), "pre").select("node", "parent", "size", "pre"))]
+    earlier = F.sum("size").over(Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+    for level in sized[1:]:
+        above = placed[-1].select(F.col("node").alias("parent"), F.col("pre").alias("above"))
+        placed.append(cut(level.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(above, "parent").select("node", "parent", "size", (F.col("above") + 1 + F.col("earlier")).alias("pre"))))
+    tree = placed[0]
+    for level in placed[1:]:
+        tree = tree.union(level)
+    tree = cut(tree)
+    grown = tree.where("parent is not null").select(F.least("node", "parent").alias("lo"), F.greatest("node", "parent").alias("hi"), F.col("node").alias("named"))
+    others = cut(pairs.join(grown, ["lo", "hi"], "left_anti").select("lo", "hi"))
+    ends = others.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(others.select("hi", "lo"))
+    reach = cut(ends.join(tree.select(F.col("node").alias("v"), "pre"), "v").groupBy(F.col("u").alias("node")).agg(F.min("pre").alias("first"), F.max("pre").alias("last")))
+    spans, below = [], None
+    for level in reversed(placed):
+        own = level.join(reach, "node", "left")
+        if below is not None:
+            under = below.groupBy(F.col("parent").alias("node")).agg(F.min("first").alias("f"), F.max("last").alias("l"))
+            own = own.join(under, "node", "left").select("node", "parent", "size", "pre", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"))
+        below = cut(own)
+        spans.append(below)
+    links = others
+    for lower, upper in zip(spans, spans[1:]):  # an edge and the one above it, if something leads around the node between them
+        up = upper.where("parent is not null").select(F.col("node").alias("parent"), F.col("pre").alias("from"), (F.col("pre") + F.col("size")).alias("to"))
+        links = links.union(lower.join(up, "parent").where("first < from or last >= to").select("parent", "node"))
+    parts = cut(components(links, tree.where("parent is not null").select(F.col("node").alias("rank"))))
+    named = grown.union(others.select("lo", "hi", F.col("lo").alias("named"))).join(parts, F.col("named") == F.col("rank")).select("lo", "hi", "cell")
+    named = cut(named)
+    least = named.groupBy("cell").agg(F.min(F.struct("lo", "hi")).alias("e")).select("cell", F.col("e.lo").alias("a"), F.col("e.hi").alias("b"))
+    return named.join(number_rows(least, ["a", "b"], "component").select("cell", "component"), "cell").select("lo", "hi", "component")
 
 
 def core(edges: DataFrame) -> DataFrame:
