@@ -68,3 +68,51 @@ def test_band_makes_no_table_of_all_nodes(spark, monkeypatch):
     starts, nodes = spark.createDataFrame([(k, k % 50) for k in range(40)], "query_id long, src long"), spark.range(60).selectExpr("id as node_id", "id div 8 as cell")
     trips = w.population_band_trips(edges, starts, nodes.groupBy("cell").count().withColumnRenamed("count", "population"), nodes, 8, 20)
     assert trips.columns == ["query_id", "src", "dst"] and 0 < trips.count() <= 40
+
+
+def test_violations_search_no_farther_than_asked(spark):
+    import numpy as np
+
+    from roadloom.operators import alternatives as alt
+
+    n = 400  # a line with a detour at its begin
+    line = [(k, k + 1, 1) for k in range(n)] + [(0, n + 5, 9), (n + 5, 1, 9)]
+    g = s.Csr(*(np.array(x) for x in zip(*line)))
+    asked = []
+    g.first = type("Counted", (), {"__getitem__": lambda self, k, first=g.first: asked.append(k) or first[k]})()
+    path = [0, g.at(n + 5), *range(1, n + 1)]
+    assert alt._violations(g, path[:3], 0.1) == [(0, 2)]
+    assert len(asked) < 40
+
+
+def test_paths_are_dealt_to_many_tasks(spark):
+    from roadloom.operators import alternatives as alt
+
+    edges = spark.createDataFrame([(k, k + 1, 1) for k in range(30)], "tail long, head long, weight long")
+    paths = spark.createDataFrame([(p, k, k) for p in range(200) for k in range(5)], "path_id long, idx long, node long")
+    for found in (alt.fix_paths(paths, edges, 0.1), alt.local_optimality(paths, edges, 0.1)):
+        assert found.rdd.getNumPartitions() > 8
+    assert alt.ubs_violations(paths, edges, 0.1).rdd.getNumPartitions() > 8
+
+
+@pytest.mark.parametrize("eps", [0.0, 0.1, 0.5])
+def test_violations_equal_all_pairs(eps):
+    import numpy as np
+
+    from roadloom.operators import alternatives as alt
+
+    edges = network(7, 40)[:-1]
+    g, draw, seen = s.Csr(*(np.array(x) for x in zip(*edges))), random.Random(8), 0
+    dist = {v: distances(edges, v) for v in g.ids.tolist()}
+    for _ in range(60):
+        walk = [draw.choice(g.ids.tolist())]
+        while len(walk) < 12 and (on := [b for a, b, _ in edges if a == walk[-1]]):
+            walk.append(draw.choice(on))
+        prefix = [0]
+        for a, b in zip(walk, walk[1:]):
+            prefix.append(prefix[-1] + min(x for u, v, x in edges if (u, v) == (a, b)))
+        bad = [(i, j) for i in range(len(walk)) for j in range(i + 1, len(walk)) if prefix[j] - prefix[i] - dist[walk[i]][walk[j]] > int(dist[walk[i]][walk[j]] * eps)]
+        want = [(i, j) for i, j in bad if not any((a, b) != (i, j) and i <= a and b <= j for a, b in bad)]
+        assert alt._violations(g, [g.at(v) for v in walk], eps) == want
+        seen += len(want)
+    assert seen
